@@ -64,11 +64,11 @@ def link_target(html: Column, title: Column) -> Column:
         F.regexp_extract_all(html, link, F.lit(2)).alias("text"),
     )
     # A text wrapped in one chain of tags counts; text beside other tags does not.
-    bare = r"(?s)^(?:<[a-zA-Z][^>]*>)*([^<]*)(?:</[^>]*>)*$"
+    mixed = F.lit(r"[^>]<[a-zA-Z]|</[^>]*>(?:<[a-zA-Z]|[^<])")
     matching = F.filter(
         links,
-        lambda found: F.regexp_like(found["text"], F.lit(bare))
-        & (decode_entities(F.regexp_extract(found["text"], bare, 1)) == title),
+        lambda found: ~F.regexp_like(found["text"], mixed)
+        & (decode_entities(strip_tags(found["text"])) == title),
     )
     attributes = F.get(matching, F.lit(0))["attributes"]
     href = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""

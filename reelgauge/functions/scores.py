@@ -52,7 +52,9 @@ def release_year(released: Column) -> Column:
 
 
 def adjusted_amount(amount: Column, multiplier: Column) -> Column:
-    return F.round(amount * multiplier, 2)
+    """Amount in base-year prices, to the cent."""
+    # Cents times a 4-digit multiplier have 6 digits: restore them, then round.
+    return F.round(F.round(amount * multiplier, 6), 2)
 
 
 def arc_value(text: Column) -> Column:

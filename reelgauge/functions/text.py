@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 _WS = r"[\s\x1c-\x1f]"
 _EDGES = rf"(?U)^{_WS}+|{_WS}+\z"
 
-_SPEAKER = r"[A-Z](?:[A-Z\-]|[\s\x1c-\x1f])+"
+_SPEAKER = r"[A-Z][A-Z\s\x1c-\x1f\-]+"
 _LINE = rf"(.*?)(?=(?:\b{_SPEAKER}\b{_WS}|\z))"
 _SPOKEN = rf"(?sU)\b({_SPEAKER})(?:{_WS}*\(.*?\))?{_WS}+{_LINE}"
 
@@ -38,7 +38,7 @@ def lexical_diversity(text: Column) -> Column:
 
 def upper_cue_lines(text: Column) -> Column:
     """Upper-case each run of plain letters, digits and spaces that ends a line."""
-    cue = rf"(?mUd)^(?:[a-zA-Z0-9]|{_WS})+\n"
+    cue = r"(?mUd)^[a-zA-Z0-9\s\x1c-\x1f]+\n"
     between = F.split(text, cue, -1)
     cues = F.regexp_extract_all(text, F.lit(cue), F.lit(0))
     woven = F.zip_with(

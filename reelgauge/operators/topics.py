@@ -220,19 +220,21 @@ def similar_words(
 
         return words.mapInPandas(run, schema).distinct()
 
+    # Without copies a hash of the whole row spreads them evenly over blocks.
+    seeds, words = seeds.distinct(), words.distinct()
     seed_blocks = math.ceil(seeds.count() / block_rows)
     word_blocks = math.ceil(max(words.count(), 1) / block_rows)
 
-    def block_of(count: int) -> Column:
-        return F.pmod(F.xxhash64(F.to_json(F.struct("vector"))), F.lit(count)).cast("int")
+    def block_of(rows: DataFrame, count: int) -> Column:
+        return F.pmod(F.xxhash64(*rows.columns), F.lit(count)).cast("int")
 
     def every(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    cut_seeds = seeds.withColumn("_sb", block_of(seed_blocks)).withColumn(
+    cut_seeds = seeds.withColumn("_sb", block_of(seeds, seed_blocks)).withColumn(
         "_wb", every(word_blocks)
     )
-    cut_words = words.withColumn("_wb", block_of(word_blocks)).withColumn(
+    cut_words = words.withColumn("_wb", block_of(words, word_blocks)).withColumn(
         "_sb", every(seed_blocks)
     )
 
