@@ -115,8 +115,8 @@ FROM orders, ends
 """)
 def rescaled_prices(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    ends = stats.bounds(orders, "o_totalprice")
-    price, low, high = F.col("o_totalprice"), ends["o_totalprice_min"], ends["o_totalprice_max"]
+    low, high = stats.bounds(orders, "o_totalprice")["o_totalprice"]
+    price = F.col("o_totalprice")
     return rounded(orders.select(
         "o_orderkey",
         stats.min_max_scaled(price, low, high).alias("scaled"),

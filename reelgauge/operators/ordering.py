@@ -9,6 +9,7 @@ order, and only then are rows touched again.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +31,10 @@ def null_safe_join(
 def add_order_bucket(df: DataFrame, order_col: str, buckets: int = BUCKETS) -> DataFrame:
     """Add ``_slice``: rising with ``order_col``, near-equal shares of the table."""
     levels = max(1, (buckets - 1).bit_length())
-    shares = [i / 2**levels for i in range(1, 2**levels)]
+    # One JSON literal: a thousand separate ones would weigh on every plan step.
+    shares = F.from_json(
+        F.lit(json.dumps([i / 2**levels for i in range(1, 2**levels)])), "array<double>"
+    )
     splits = df.select(F.percentile_approx(order_col, shares, 16 * 2**levels)).scalar()
     steps = F.array(*[F.lit(2**level) for level in reversed(range(levels))])
 

@@ -12,14 +12,14 @@ from reelgauge.operators.ordering import exact_quantiles, null_safe_join
 from reelgauge.probability import t_two_sided
 
 
-def bounds(df: DataFrame, *columns: str) -> Column:
-    """One-row struct of ``<name>_min`` and ``<name>_max``, as a scalar subquery."""
-    ends = [
-        end(name).alias(f"{name}_{suffix}")
-        for name in columns
-        for end, suffix in ((F.min, "min"), (F.max, "max"))
-    ]
-    return df.select(F.struct(*ends)).scalar()
+def bounds(df: DataFrame, *columns: str) -> dict[str, tuple[float | None, float | None]]:
+    """(min, max) of each column, worked out at once.
+
+    Like fitting a scaler: one row comes back, and as literals the bounds keep
+    later plans small and reach the scan's pushed filters.
+    """
+    found = {name: (low, high) for name, low, high in min_max(df, *columns).collect()}
+    return {name: found[name] for name in columns}
 
 
 def min_max(df: DataFrame, *columns: str) -> DataFrame:
@@ -51,41 +51,44 @@ def group_gap(df: DataFrame, flag_col: str, *value_cols: str) -> DataFrame:
     )
 
 
-def quantiles(df: DataFrame, value_col: str, shares: Mapping[str, float]) -> Column:
-    """Global interpolated quantiles as a one-row struct."""
-    found = exact_quantiles(df, value_col, shares)
-    return found.select(F.struct(*shares)).scalar()
-
-
 def trim_outliers(
     df: DataFrame, value_col: str, shares: tuple[float, float] = TRIM_QUANTILES
 ) -> DataFrame:
-    """Rows whose value lies between two quantiles, both included."""
-    limits = quantiles(df, value_col, {"low": shares[0], "high": shares[1]})
-    value = F.col(value_col)
-    return df.where((value >= limits["low"]) & (value <= limits["high"]))
+    """Rows whose value lies between two quantiles, both included.
+
+    The two limits are worked out at once.
+    """
+    limits = exact_quantiles(df, value_col, {"low": shares[0], "high": shares[1]}).first()
+    if limits is None:
+        return df.where(F.col(value_col).isNotNull())
+    return df.where(F.col(value_col).between(F.lit(limits.low), F.lit(limits.high)))
 
 
-def min_max_scaled(value: Column, low: Column, high: Column) -> Column:
+def min_max_scaled(value: Column, low: float | None, high: float | None) -> Column:
     """Value on [0, 1]; NULL when the column is constant."""
-    return F.try_divide(value - low, F.nullif(high - low, F.lit(0.0)))
+    if low is None or low == high:
+        return F.lit(None).cast("double")
+    return (value - F.lit(low)) / F.lit(high - low)
 
 
-def min_max_scaler(value: Column, low: Column, high: Column) -> Column:
+def min_max_scaler(value: Column, low: float | None, high: float | None) -> Column:
     """Value on [0, 1]; 0 when the column is constant."""
-    return F.when(high == low, value - low).otherwise(min_max_scaled(value, low, high))
+    return value * 0 if low == high else min_max_scaled(value, low, high)
 
 
-def rescale_residual(value: Column, low: Column, high: Column, passes: int = 2) -> Column:
+def rescale_residual(
+    value: Column, low: float | None, high: float | None, passes: int = 2
+) -> Column:
     """``2 (value - low) / (high - low) - 1``, repeated; 0 when constant.
 
     Every pass uses the first pass's bounds, and verdict thresholds rest on
     two passes.
     """
-    scaled = value
+    if low is None or low == high:
+        return value * 0
     for _ in range(passes):
-        scaled = 2 * F.try_divide(scaled - low, F.nullif(high - low, F.lit(0.0))) - 1
-    return F.when(high == low, value * 0).otherwise(scaled)
+        value = 2 * (value - F.lit(low)) / F.lit(high - low) - 1
+    return value
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

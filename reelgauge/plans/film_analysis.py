@@ -66,7 +66,7 @@ def film_features(trimmed: DataFrame, award: Column | None = None) -> DataFrame:
     ends = stats.bounds(complete, "log_box_office", "weighted_iq")
 
     def scaled(name: str) -> Column:
-        return stats.min_max_scaled(F.col(name), ends[f"{name}_min"], ends[f"{name}_max"])
+        return stats.min_max_scaled(F.col(name), *ends[name])
 
     return complete.withColumns({
         "box_office_norm": scaled("log_box_office"),
@@ -79,10 +79,8 @@ def undervaluation(features: DataFrame, fit: OlsFit, passes: int = 2) -> DataFra
     residual = fit.predict(features, "predicted_log_box_office").withColumn(
         "_residual", F.col("predicted_log_box_office") - F.col("log_box_office")
     )
-    ends = stats.bounds(residual, "_residual")
-    money = stats.rescale_residual(
-        F.col("_residual"), ends["_residual_min"], ends["_residual_max"], passes
-    )
+    low, high = stats.bounds(residual, "_residual")["_residual"]
+    money = stats.rescale_residual(F.col("_residual"), low, high, passes)
     return residual.withColumns({
         "monetary_undervaluation": money,
         "creative_undervaluation": F.col("weighted_iq") - F.col("rt_norm"),
@@ -113,9 +111,7 @@ def scaled_scores(valued: DataFrame) -> DataFrame:
     names = ("monetary_undervaluation", "creative_undervaluation")
     ends = stats.bounds(valued, *names)
     scaled = valued.select("title", *[
-        stats.min_max_scaler(F.col(name), ends[f"{name}_min"], ends[f"{name}_max"]).alias(
-            f"{name}_norm"
-        )
+        stats.min_max_scaler(F.col(name), *ends[name]).alias(f"{name}_norm")
         for name in names
     ])
     return scaled.orderBy(F.desc_nulls_last("monetary_undervaluation_norm"), "title")
