@@ -131,7 +131,7 @@ bare AS (
     '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'),
     '<[a-zA-Z/!][^>]*>', '', 'g') AS body FROM inner_html)
 SELECT page_id, regexp_replace(replace(replace(replace(replace(body,
-  '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp([^;]|$)', '&\1', 'g')
+  '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp([^;a-zA-Z0-9]|$)', '&\1', 'g')
   AS page_text
 FROM bare
 """)

@@ -168,15 +168,16 @@ def top_character_series(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(PROFILE_SQL + """
 SELECT conv_id, max(role) FILTER (rank = 1) AS character1, max(role) FILTER (rank = 2) AS character2,
-  max(role) FILTER (rank = 3) AS character3, round(max(score_std) FILTER (rank = 1), 4) AS arc1,
-  round(max(score_std) FILTER (rank = 2), 4) AS arc2,
-  round(max(score_std) FILTER (rank = 3), 4) AS arc3
+  max(role) FILTER (rank = 3) AS character3, round(max(round(score_std, 10)) FILTER (rank = 1), 4) AS arc1,
+  round(max(round(score_std, 10)) FILTER (rank = 2), 4) AS arc2,
+  round(max(round(score_std, 10)) FILTER (rank = 3), 4) AS arc3
 FROM top3 GROUP BY conv_id
 """)
 def padded_arcs(spark: SparkSession, sf: str) -> DataFrame:
     """Arc texts in fixed slots, split again into name and value for the check."""
-    top = top3(spark, sf).withColumnRenamed("role", "character")
-    padded = D.padded_arcs(top, "conv_id")
+    # Ten digits first, so that halves round alike in both engines.
+    top = top3(spark, sf).withColumn("score_std", F.round("score_std", 10))
+    padded = D.padded_arcs(top.withColumnRenamed("role", "character"), "conv_id")
     return padded.select(
         "conv_id",
         *[F.split_part(f"arc{i}_raw", F.lit(": "), F.lit(1)).alias(f"character{i}")

@@ -13,7 +13,7 @@ from reelgauge.plans.script_features import script_themes
 
 STOP_WORDS = ("the", "and", "of", "de", "der", "la", "to", "in")
 
-_TOKENS_SQL = r"""regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}')"""
+_TOKENS_SQL = r"""regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"""
 _VOCABULARY_SQL = f"""
 WITH tokens AS (SELECT doc_id, lang, source, unnest({_TOKENS_SQL}) AS word FROM documents),
 kept AS (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from reelgauge.constants import BUDGET_LABEL, DETAIL_URL_PREFIX, DETAIL_URL_SUFFIX
 from reelgauge.functions.scores import currency
+from reelgauge.functions.text import once
 
 # Character references, with and without ";" as HTML allows, as one JSON map.
 _REFERENCES = json.dumps(
@@ -35,12 +36,15 @@ def decode_entities(text: Column) -> Column:
             F.coalesce(F.try_element_at(named, name), F.concat(F.lit("&"), name))
         )
 
-    woven = F.zip_with(
-        F.split(text, reference, -1),
-        F.regexp_extract_all(text, F.lit(reference), F.lit(1)),
-        lambda plain, name: F.concat(plain, F.coalesce(char(name), F.lit(""))),
-    )
-    return F.when(F.contains(text, F.lit("&")), F.array_join(woven, "")).otherwise(text)
+    def weave(whole: Column) -> Column:
+        woven = F.zip_with(
+            F.split(whole, reference, -1),
+            F.regexp_extract_all(whole, F.lit(reference), F.lit(1)),
+            lambda plain, name: F.concat(plain, F.coalesce(char(name), F.lit(""))),
+        )
+        return F.when(F.contains(whole, F.lit("&")), F.array_join(woven, "")).otherwise(whole)
+
+    return once(text, weave)
 
 
 def strip_tags(html: Column) -> Column:

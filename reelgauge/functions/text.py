@@ -1,15 +1,28 @@
-"""Column expressions over text. Regex flags keep Python's Unicode reading."""
+"""Column expressions over text.
+
+The patterns spell out Python's Unicode reading of white space and word
+characters, since Java's differs. None repeats a group: Java recurses there, and
+a long text would exhaust the stack.
+"""
+
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as Python's ``\s`` sees it, inside a Java ``(?U)`` pattern.
-_WS = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)^{_WS}+|{_WS}+\z"
+# What Python's \s and \w match, as members of a class.
+_SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTERS = r"\p{L}\p{N}_"
+
+_WS = f"[{_SPACES}]"
+_EDGES = rf"^{_WS}+|{_WS}+\z"
 
-_SPEAKER = r"[A-Z][A-Z\s\x1c-\x1f\-]+"
-_LINE = rf"(.*?)(?=(?:\b{_SPEAKER}\b{_WS}|\z))"
-_SPOKEN = rf"(?sU)\b({_SPEAKER})(?:{_WS}*\(.*?\))?{_WS}+{_LINE}"
+# A capital with no word character before it, tested after the cheap capital.
+_CAPITAL = rf"[A-Z](?<![{_LETTERS}][A-Z])"
+_NAME = rf"{_CAPITAL}[A-Z{_SPACES}\-]+"
+_WORD_END = rf"(?:(?<=[{_LETTERS}])(?![{_LETTERS}])|(?<![{_LETTERS}])(?=[{_LETTERS}]))"
+_CUE = rf"({_NAME})(?:{_WS}*\(.*?\))?{_WS}+"
+_SPEECH = rf"(?s){_CUE}.*?(?={_NAME}?{_WORD_END}{_WS}|\z)"
 
 # Stands for "(" while matching; a noncharacter, so real text does not hold it.
 _SHIELD = "\ufdd0"
@@ -21,7 +34,12 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words between white space, without empty ones."""
-    return F.filter(F.split(text, rf"(?U){_WS}+"), lambda word: word != "")
+    return F.filter(F.split(text, f"{_WS}+"), lambda word: word != "")
+
+
+def tokens(text: Column) -> Column:
+    """Lower-case runs of two or more word characters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"[{_LETTERS}]{{2,}}"), F.lit(0))
 
 
 def truncate_words(text: Column, max_words: int) -> Column:
@@ -36,22 +54,30 @@ def lexical_diversity(text: Column) -> Column:
     return F.round(F.coalesce(share, F.lit(0.0)), 4)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out a single time per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def upper_cue_lines(text: Column) -> Column:
     """Upper-case each run of plain letters, digits and spaces that ends a line."""
-    cue = r"(?mUd)^[a-zA-Z0-9\s\x1c-\x1f]+\n"
-    between = F.split(text, cue, -1)
-    cues = F.regexp_extract_all(text, F.lit(cue), F.lit(0))
-    woven = F.zip_with(
-        between, cues,
-        lambda plain, found: F.concat(plain, F.coalesce(F.upper(found), F.lit(""))),
-    )
-    return F.array_join(woven, "")
+    cue = rf"(?md)^[a-zA-Z0-9{_SPACES}]+\n"
+
+    def weave(script: Column) -> Column:
+        woven = F.zip_with(
+            F.split(script, cue, -1),
+            F.regexp_extract_all(script, F.lit(cue), F.lit(0)),
+            lambda plain, found: F.concat(plain, F.coalesce(F.upper(found), F.lit(""))),
+        )
+        return F.array_join(woven, "")
+
+    return once(text, weave)
 
 
 def clean_script(text: Column, max_chars: int | None = None) -> Column:
     """Squeeze white space and upper-case cue lines; whole text unless cut."""
     squeezed = F.regexp_replace(text, r"\n+", "\n")
-    squeezed = F.regexp_replace(squeezed, rf"(?Ud){_WS}{{2,}}", " ")
+    squeezed = F.regexp_replace(squeezed, f"{_WS}{{2,}}", " ")
     cleaned = upper_cue_lines(squeezed)
     return cleaned if max_chars is None else F.substring(cleaned, 1, max_chars)
 
@@ -62,26 +88,30 @@ def _shield_unclosed(script: Column) -> Column:
     Such a bracket can open no aside, yet the pattern would search to the end
     of the text for its close: hiding it keeps matching linear.
     """
-    head = F.regexp_extract(script, rf"(?sU)^(.*\){_WS})", 1)
-    tail = F.substr(script, F.length(head) + 1)
-    hidden = F.concat(head, F.translate(tail, "(", _SHIELD))
-    return F.when(F.contains(script, F.lit(_SHIELD)), script).otherwise(hidden)
-
+    return once(
+        F.regexp_extract(script, rf"(?s)^(.*\){_WS})", 1),
+        lambda head: F.concat(
+            head, F.translate(F.substr(script, F.length(head) + 1), "(", _SHIELD)
+        ),
+    )
 
-def dialogue_pairs(script: Column) -> Column:
-    """Ordered array of (character, line) spoken in a script."""
-    shielded = _shield_unclosed(script)
-    unshield = F.when(F.contains(script, F.lit(_SHIELD)), F.lit(_SHIELD)).otherwise(F.lit("("))
 
-    def tidy(pair: Column) -> Column:
-        spoken = F.replace(strip(pair["lines"]), F.lit("\n"), F.lit(" "))
+def _pairs(script: Column, unshield: str) -> Column:
+    def pair(speech: Column) -> Column:
+        # The cue of a speech reads the same on its own as within the script.
+        line = strip(F.regexp_replace(speech, f"(?s)^{_CUE}", ""))
         return F.struct(
-            strip(pair["names"]).alias("character"),
-            F.replace(spoken, F.lit(_SHIELD), unshield).alias("line"),
+            strip(F.regexp_extract(speech, f"(?s)^{_CUE}", 1)).alias("character"),
+            F.translate(line, "\n" + _SHIELD, " " + unshield).alias("line"),
         )
 
-    found = F.arrays_zip(
-        F.regexp_extract_all(shielded, F.lit(_SPOKEN), F.lit(1)).alias("names"),
-        F.regexp_extract_all(shielded, F.lit(_SPOKEN), F.lit(2)).alias("lines"),
+    speeches = F.regexp_extract_all(script, F.lit(_SPEECH), F.lit(0))
+    return F.filter(F.transform(speeches, pair), lambda spoken: spoken["line"] != "")
+
+
+def dialogue_pairs(script: Column) -> Column:
+    """Ordered array of (character, line) spoken in a script."""
+    shieldable = F.contains(script, F.lit("(")) & ~F.contains(script, F.lit(_SHIELD))
+    return F.when(shieldable, _pairs(_shield_unclosed(script), "(")).otherwise(
+        _pairs(script, _SHIELD)
     )
-    return F.filter(F.transform(found, tidy), lambda pair: pair["line"] != "")

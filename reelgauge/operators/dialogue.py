@@ -20,11 +20,14 @@ def extract_dialogue(
     pairs = scripts.select(
         F.col(title_col).alias("title"), dialogue_pairs(F.col(text_col)).alias("pairs")
     )
-    return pairs.select(
-        "title",
-        F.size("pairs").alias("line_count"),
-        F.posexplode("pairs").alias("seq", "pair"),
-    ).select("title", "seq", "line_count", "pair.character", "pair.line")
+    # Counted before the explode, so the array is not carried along with each of
+    # its rows; an outer one, as the plain one would add a filter that runs the
+    # patterns a second time.
+    counted = pairs.select("title", F.size("pairs").alias("line_count"), "pairs")
+    exploded = counted.select(
+        "title", "line_count", F.posexplode_outer("pairs").alias("seq", "pair")
+    ).where(F.col("pair").isNotNull())
+    return exploded.select("title", "seq", "line_count", "pair.character", "pair.line")
 
 
 def third_of(position: Column, count: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgauge import constants as C
+from reelgauge.functions.text import tokens
 from reelgauge.session import settle
 
 # Seeds up to this number travel with the tasks; more are matched in blocks.
@@ -25,9 +26,8 @@ _BLOCK_ROWS = 20_000
 
 def vocabulary_tokens(text: Column, stop_words: Iterable[str]) -> Column:
     """Lower-case tokens of two or more word characters, without stop words."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    skipped = list(stop_words)
-    return F.filter(tokens, lambda token: ~token.isin(skipped)) if skipped else tokens
+    found, skipped = tokens(text), list(stop_words)
+    return F.filter(found, lambda token: ~token.isin(skipped)) if skipped else found
 
 
 def default_stop_words() -> list[str]:
@@ -42,10 +42,10 @@ def vocabulary(
     max_share: float = 0.95,
 ) -> DataFrame:
     """(word, docs) for words in at least ``min_docs`` lines and not too many."""
-    tokens = F.array_distinct(vocabulary_tokens(F.col(text_col), stop_words))
+    used = F.array_distinct(vocabulary_tokens(F.col(text_col), stop_words))
     line_count = lines.select(F.count(text_col)).scalar()
     return (
-        lines.select(F.explode(tokens).alias("word"))
+        lines.select(F.explode(used).alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("docs"))
         .where((F.col("docs") >= min_docs) & (F.col("docs") <= line_count * F.lit(max_share)))
@@ -63,9 +63,9 @@ def bag_of_words(
     """Term counts per line, in long form, over the bounded vocabulary."""
     stop_words = list(stop_words)
     kept = vocabulary(lines, text_col, stop_words, min_docs, max_share).select("word")
-    tokens = vocabulary_tokens(F.col(text_col), stop_words)
+    used = vocabulary_tokens(F.col(text_col), stop_words)
     return (
-        lines.select(*id_cols, F.explode(tokens).alias("word"))
+        lines.select(*id_cols, F.explode(used).alias("word"))
         .groupBy(*id_cols, "word")
         .agg(F.count("*").alias("uses"))
         .join(kept, "word")
@@ -124,8 +124,8 @@ def fit_topics(
 ) -> TopicFit | None:
     """One model for all titles; None when no word passes the vocabulary bounds."""
     stop_words = default_stop_words() if stop_words is None else list(stop_words)
-    tokens = vocabulary_tokens(F.col(text_col), stop_words).alias("tokens")
-    tokenised = settle(lines.where(F.trim(text_col) != "").select(title_col, tokens))
+    used = vocabulary_tokens(F.col(text_col), stop_words).alias("tokens")
+    tokenised = settle(lines.where(F.trim(text_col) != "").select(title_col, used))
     if vocabulary(lines, text_col, stop_words).isEmpty():
         return None
     vectorizer = CountVectorizer(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,11 @@ def local_session(cores: int | str = 8, name: str = "reelgauge") -> SparkSession
     )
 
 
+@cache
+def _single_machine_folder() -> str:
+    return tempfile.mkdtemp(prefix="reelgauge-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
@@ -32,9 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="reelgauge-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _single_machine_folder()
 
 
 def settle(df: DataFrame) -> DataFrame:
