@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query, table
 from reelgauge.operators import topics as T
 from reelgauge.plans.script_features import script_themes
+from reelgauge.session import settle
 
 STOP_WORDS = ("the", "and", "of", "de", "der", "la", "to", "in")
 
@@ -78,7 +79,7 @@ def source_top_words(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_VOCABULARY_SQL + " SELECT source, theme, theme_order, matches FROM matches")
 def source_theme_matches(spark: SparkSession, sf: str) -> DataFrame:
-    bag = _bag(spark, sf)
+    bag = settle(_bag(spark, sf))
     return T.theme_matches(_source_words(bag), _lang_themes(bag), ["source"])
 
 
@@ -90,7 +91,7 @@ FROM (SELECT DISTINCT source FROM topic_words) LEFT JOIN (
 ) USING (source)
 """)
 def source_themes(spark: SparkSession, sf: str) -> DataFrame:
-    bag = _bag(spark, sf)
+    bag = settle(_bag(spark, sf))
     return T.name_topics(_source_words(bag), _lang_themes(bag), ["source"])
 
 

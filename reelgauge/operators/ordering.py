@@ -123,7 +123,8 @@ def exact_quantiles(
 
     Exact like ``percentile``, but no task holds all values of a group: equal
     values are counted first, and only the slices that hold a wanted rank are
-    sorted. Missing values are skipped; a group without values has no row.
+    sorted. Missing values are skipped; a group without values has no row, a table
+    without groups and values one of NULLs.
     """
     present = df.where(F.col(value_col).isNotNull())
     counts = (

@@ -59,8 +59,6 @@ def trim_outliers(
     The two limits are worked out at once.
     """
     limits = exact_quantiles(df, value_col, {"low": shares[0], "high": shares[1]}).first()
-    if limits is None:
-        return df.where(F.col(value_col).isNotNull())
     return df.where(F.col(value_col).between(F.lit(limits.low), F.lit(limits.high)))
 
 
@@ -96,11 +94,11 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
 
     def pearson(x: str, y: str) -> Column:
+        # Not corr(): with ANSI arithmetic it fails on a constant column.
         both = F.col(x).isNotNull() & F.col(y).isNotNull()
-        varied = (F.min(F.when(both, F.col(x))) < F.max(F.when(both, F.col(x)))) & (
-            F.min(F.when(both, F.col(y))) < F.max(F.when(both, F.col(y)))
-        )
-        r = F.corr(F.col(x).cast("double"), F.col(y).cast("double"))
+        a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+        varied = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+        r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
         return F.when(varied, F.lit(1.0) if x == y else r)
 
     one_row = df.agg(*[pearson(x, y).alias(f"r{i}") for i, (x, y) in enumerate(pairs)])
