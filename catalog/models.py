@@ -125,7 +125,7 @@ def _valued(spark: SparkSession, sf: str) -> DataFrame:
 @query(_VALUED_SQL + """
 SELECT title, round(fit, 5) AS predicted_log_box_office, round(money, 5) + 0.0
     AS monetary_undervaluation, round(creative, 5) + 0.0 AS creative_undervaluation,
-  round(predicted, 0) AS predicted_box_office_2025, round(actual, 0) AS actual_box_office_2025,
+  round(predicted, 0) AS predicted_box_office_2025, round(actual, 3) AS actual_box_office_2025,
   verdict
 FROM judged
 """)
@@ -135,8 +135,8 @@ def undervalued_films(spark: SparkSession, sf: str) -> DataFrame:
         "title", "predicted_log_box_office", "monetary_undervaluation",
         "creative_undervaluation", "predicted_box_office_2025", "actual_box_office_2025", "verdict",
     ), 5).withColumns({
-        name: F.round(name, 0)
-        for name in ("predicted_box_office_2025", "actual_box_office_2025")
+        "predicted_box_office_2025": F.round("predicted_box_office_2025", 0),
+        "actual_box_office_2025": F.round("actual_box_office_2025", 3),
     })
 
 
