@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.films import FEATURES_SQL, ols_sql
-from catalog.ingest import order_payloads, order_pages
+from catalog.ingest import order_pages, order_payloads
 from catalog.registry import query, rounded, table
 from catalog.statistics import features
+from reelgauge.operators.ordering import successive_differences
 from reelgauge.operators.regression import OlsFit, fit_ols
 from reelgauge.plans import film_analysis as P
 from reelgauge.plans.ingest import film_rows
@@ -85,8 +86,6 @@ SELECT count(*) AS rows, round(sum(d * d) / sum(e * e), 6) AS durbin_watson FROM
 """)
 def durbin_watson(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbouring residuals over the whole table, in key order."""
-    from reelgauge.operators.ordering import successive_differences
-
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         (F.max("l_extendedprice") - 1000 * F.max("l_quantity")).alias("e")
     )

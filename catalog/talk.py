@@ -9,6 +9,7 @@ from catalog.registry import query, rounded, sql_words, table
 from reelgauge.functions.text import clean_script
 from reelgauge.operators import dialogue as D
 from reelgauge.operators import sentiment as S
+from reelgauge.session import settle
 
 # Words that occur in the invented text of the given tables.
 POSITIVE = ("the", "of", "de", "er", "la", "is", "und")
@@ -160,9 +161,8 @@ SELECT conv_id, role, turn, round(score, 6) AS score,
 FROM scored SEMI JOIN top3 USING (conv_id, role)
 """)
 def top_character_series(spark: SparkSession, sf: str) -> DataFrame:
-    series = D.top_character_series(
-        scored(spark, sf), top3(spark, sf), "conv_id", "role", "turn"
-    )
+    top = settle(top3(spark, sf).select("conv_id", "role"))
+    series = D.top_character_series(scored(spark, sf), top, "conv_id", "role", "turn")
     return rounded(series)
 
 

@@ -20,9 +20,7 @@ def yearly_multipliers(
         .groupBy(F.year(date_col).alias("year"))
         .agg(F.avg(value_col).alias("mean_value"))
     )
-    base = (
-        series.where(F.year(date_col) == base_year).select(F.avg(value_col)).scalar()
-    )
+    base = yearly.where(F.col("year") == base_year).select("mean_value").scalar()
     return yearly.select(
         "year",
         F.round(F.try_divide(base, F.nullif("mean_value", F.lit(0.0))), 4).alias("multiplier"),

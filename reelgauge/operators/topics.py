@@ -22,6 +22,7 @@ from reelgauge.session import settle
 # Seeds up to this number travel with the tasks; more are matched in blocks.
 MAX_INLINE_SEEDS = 2_000
 _BLOCK_ROWS = 20_000
+MAX_VOCABULARY = 5_000_000
 
 
 def vocabulary_tokens(text: Column, stop_words: Iterable[str]) -> Column:
@@ -118,18 +119,26 @@ def fit_topics(
     text_col: str = "line",
     topics: int = C.TOPIC_COUNT,
     stop_words: Iterable[str] | None = None,
-    vocabulary_size: int = 1 << 18,
+    min_docs: int = 2,
+    max_share: float = 0.95,
     iterations: int = 10,
     seed: int = C.TOPIC_SEED,
 ) -> TopicFit | None:
-    """One model for all titles; None when no word passes the vocabulary bounds."""
+    """One model for all titles; None when no word passes the vocabulary bounds.
+
+    The model keeps ``topics`` weights per word on the driver. A vocabulary too
+    large for that is refused, not cut: raise ``min_docs``.
+    """
     stop_words = default_stop_words() if stop_words is None else list(stop_words)
     used = vocabulary_tokens(F.col(text_col), stop_words).alias("tokens")
     tokenised = settle(lines.where(F.trim(text_col) != "").select(title_col, used))
-    if vocabulary(lines, text_col, stop_words).isEmpty():
+    size = vocabulary(lines, text_col, stop_words, min_docs, max_share).count()
+    if size == 0:
         return None
+    if size > MAX_VOCABULARY:
+        raise ValueError(f"{size} words for the topic model: raise min_docs")
     vectorizer = CountVectorizer(
-        inputCol="tokens", outputCol="features", minDF=2, maxDF=0.95, vocabSize=vocabulary_size
+        inputCol="tokens", outputCol="features", minDF=min_docs, maxDF=max_share, vocabSize=size
     ).fit(tokenised)
     corpus = settle(vectorizer.transform(tokenised).select(title_col, "features"))
     model = LDA(k=topics, seed=seed, maxIter=iterations, featuresCol="features").fit(corpus)
