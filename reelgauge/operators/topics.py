@@ -44,13 +44,16 @@ def vocabulary(
 ) -> DataFrame:
     """(word, docs) for words in at least ``min_docs`` lines and not too many."""
     used = F.array_distinct(vocabulary_tokens(F.col(text_col), stop_words))
-    line_count = lines.select(F.count(text_col)).scalar()
-    return (
-        lines.select(F.explode(used).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("docs"))
-        .where((F.col("docs") >= min_docs) & (F.col("docs") <= line_count * F.lit(max_share)))
-    )
+    words = lines.select(F.explode(used).alias("word"))
+    docs = words.groupBy("word").agg(F.count("*").alias("docs"))
+    return _within_bounds(docs, lines, text_col, min_docs, max_share)
+
+
+def _within_bounds(
+    docs: DataFrame, lines: DataFrame, text_col: str, min_docs: int, max_share: float
+) -> DataFrame:
+    most = lines.select(F.count(text_col)).scalar() * F.lit(max_share)
+    return docs.where((F.col("docs") >= min_docs) & (F.col("docs") <= most))
 
 
 def bag_of_words(
@@ -61,16 +64,21 @@ def bag_of_words(
     min_docs: int = 2,
     max_share: float = 0.95,
 ) -> DataFrame:
-    """Term counts per line, in long form, over the bounded vocabulary."""
-    stop_words = list(stop_words)
-    kept = vocabulary(lines, text_col, stop_words, min_docs, max_share).select("word")
+    """Term counts per line, in long form, over the bounded vocabulary.
+
+    ``id_cols`` name a line. Both sides of the join start from the same counted
+    shuffle, so each text is tokenised once.
+    """
     used = vocabulary_tokens(F.col(text_col), stop_words)
-    return (
+    counted = (
         lines.select(*id_cols, F.explode(used).alias("word"))
         .groupBy(*id_cols, "word")
         .agg(F.count("*").alias("uses"))
-        .join(kept, "word")
     )
+    # Reading "uses" keeps this branch's shuffle the same as the other's.
+    docs = counted.groupBy("word").agg(F.count_if(F.col("uses") > 0).alias("docs"))
+    kept = _within_bounds(docs, lines, text_col, min_docs, max_share)
+    return counted.join(kept.select("word"), "word")
 
 
 def top_words(
