@@ -186,11 +186,6 @@ def name_topics(topic_words: DataFrame, themes: DataFrame, keys: Sequence[str])
     return named.select(*keys, F.coalesce("_best", F.lit(C.NO_THEME)).alias("theme"))
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    rows = np.array(vectors.tolist(), dtype=np.float64)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
-
-
 def _with_norm(vectors: DataFrame, vector_col: str) -> DataFrame:
     """Keep vectors that have a direction."""
     square = F.aggregate(vector_col, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
@@ -217,7 +212,11 @@ def similar_words(
     theme_type = seeds.schema["theme"].dataType.simpleString()
     word_type = words.schema["word"].dataType.simpleString()
     schema = f"theme {theme_type}, word {word_type}"
-    unit = _unit
+
+    # Nested, so that tasks need no copy of this package.
+    def unit(vectors: pd.Series) -> np.ndarray:
+        rows = np.array(vectors.tolist(), dtype=np.float64)
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
     def matches(themes: np.ndarray, units: np.ndarray, batch: pd.DataFrame) -> pd.DataFrame:
         row, seed = np.nonzero(unit(batch["vector"]) @ units.T > threshold)
