@@ -12,18 +12,18 @@ from reelgauge.functions import html, scores
 
 def film_metadata(payloads: DataFrame) -> DataFrame:
     """One row per usable response of (title, body); other responses are dropped."""
-    parsed = payloads.select(
-        F.col("title").alias("request"),
-        F.from_json("body", schemas.METADATA_PAYLOAD).alias("m"),
-    ).where(F.col("m.Response") == "True")
+    # Inlining the kept responses parses each body once; a filter would again.
+    responses = F.array(F.from_json("body", schemas.METADATA_PAYLOAD))
+    kept = F.filter(responses, lambda response: response["Response"] == "True")
+    parsed = payloads.select(F.col("title").alias("request"), F.inline(kept))
 
     def field(name: str) -> Column:
-        return F.nullif(F.col(f"m.{name}"), F.lit(MISSING_TEXT))
+        return F.nullif(F.col(name), F.lit(MISSING_TEXT))
 
-    ratings = F.col("m.Ratings")
+    ratings = F.col("Ratings")
     return parsed.select(
         "request",
-        F.coalesce("m.Title", "request").alias("title"),
+        F.coalesce("Title", "request").alias("title"),
         field("Released").alias("release_date"),
         scores.release_year(field("Released")).alias("release_year"),
         field("BoxOffice").alias("box_office_raw"),
