@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgauge.llm import mixing, packing, quality, sharding, token_counts
+from reelgauge.llm import jaccard_join, mixing, packing, quality, sharding, token_counts
 from reelgauge.llm.shipping import ship
 from reelgauge.llm.tables import read
 from reelgauge.session import settle
@@ -62,6 +62,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.ngram_classes(read(spark, sf_dir, "documents"))
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(mixing.word_sizes(read(spark, sf_dir, "documents")))
