@@ -209,7 +209,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, probes: int =
     size = commonest["size"] if commonest else 0
     usable_rows = F.col("embedding").isNotNull() & (F.size("embedding") == size)
     keyed = rows.withColumn("embedding", F.when(usable_rows, F.col("embedding"))).withColumns(
-        {"k1": F.xxhash64("embedding"), "k2": F.xxhash64("embedding", F.lit(3))}
+        {"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(3), "embedding")}
     )
 
     def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
