@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgauge.llm import fingerprints, jaccard_join, mixing, packing, quality, sharding, token_counts, vectors
+from reelgauge.llm import fingerprints, jaccard_join, line_dedup, mixing, ngram_lm, packing, quality, sharding, token_counts, vectors
 from reelgauge.llm.shipping import ship
 from reelgauge.llm.tables import read
 from reelgauge.session import settle
@@ -44,6 +44,60 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), shards=40)
 
 
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return deduped.select("doc_id", "text", "n_lines", "n_removed")
+
+
+#: Lines sharing a half (by length) are compared; one edit apart: they agree before and after it.
+ORACLES["op3_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(generate_series(0, len(parts) - 1)) AS place, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
+),
+able AS (
+  SELECT * FROM lines
+  WHERE regexp_matches(line, '^[ 	-
+]*([^ 	-
+]+[ 	-
+]+){4}[^ 	-
+]')
+),
+firsts AS (SELECT line, length(line) AS n, min({'d': doc_id, 'a': place}) AS first FROM able GROUP BY line),
+halves AS (
+  SELECT line, n, first, unnest([
+    {'b': n, 'k': 'p', 's': left(line, n // 2)}, {'b': n, 'k': 's', 's': right(line, n - n // 2)},
+    {'b': n - 1, 'k': 'p', 's': left(line, (n - 1) // 2)}, {'b': n - 1, 'k': 's', 's': right(line, (n - 1) - (n - 1) // 2)}
+  ]) AS half FROM firsts
+),
+pairs AS (
+  SELECT DISTINCT b.line, b.n, a.line AS earlier, a.n AS m FROM halves a JOIN halves b
+  ON a.half = b.half AND a.first < b.first AND abs(a.n - b.n) <= 1
+),
+agreed AS (
+  SELECT *, len(list_filter(generate_series(1, least(n, m)), lambda x: left(line, x) = left(earlier, x))) AS p FROM pairs
+),
+near AS (
+  SELECT DISTINCT line FROM agreed
+  WHERE CASE WHEN n = m THEN substr(line, p + 2) = substr(earlier, p + 2)
+             WHEN n > m THEN substr(line, p + 2) = substr(earlier, p + 1)
+             ELSE substr(line, p + 1) = substr(earlier, p + 2) END
+),
+gone AS (
+  SELECT able.doc_id, able.place FROM able JOIN firsts USING (line) LEFT JOIN near ON near.line = able.line
+  WHERE near.line IS NOT NULL OR firsts.first <> {'d': able.doc_id, 'a': able.place}
+),
+rebuilt AS (
+  SELECT lines.doc_id, count(*) AS n_lines, count(gone.place) AS n_removed,
+    coalesce(string_agg(lines.line, chr(10) ORDER BY lines.place) FILTER (WHERE gone.place IS NULL), '') AS text
+  FROM lines LEFT JOIN gone ON gone.doc_id = lines.doc_id AND gone.place = lines.place GROUP BY lines.doc_id
+)
+SELECT d.doc_id, r.text, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN rebuilt r ON r.doc_id = d.doc_id
+"""
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), word_tokenizer(), limit=2048)
@@ -54,6 +108,17 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+@query
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = ngram_lm.learn(ngram_lm.training_texts(docs))
+    scored = ngram_lm.score_documents(docs, model)
+    return scored.select(
+        "doc_id", ngram_lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 @query
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = settle(quality.document_statistics(read(spark, sf_dir, "documents")))
