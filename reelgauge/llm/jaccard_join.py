@@ -8,9 +8,11 @@ shingle bounds an overlap from above: each bit of one set that the other lacks i
 shingle that the other lacks. Pairs that pass are intersected as sorted arrays.
 
 No group is expanded into all pairs. First every set of a group is compared with the
-group's first set; sets that link form components. Then, in groups with several
-components left, tiles of sets are compared by bitmap across components only. Every link
-is found or joins sets that are connected already, so the components are exact.
+group's first set; sets that link form components. In groups with several components
+left, the sets of other components are then compared with the set that has most links so
+far, which is the original of most near copies. At last, in groups with several
+components still, tiles of sets are compared by bitmap across components only. Every
+link is found or joins sets that are connected already, so the components are exact.
 
 Defined results: a null or blank text has an empty set, links with nothing and is its
 own component; repeated rows are documents with equal sets; a component of documents
@@ -189,6 +191,23 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _pivots(percent: int):
+    """Each set of a group beside the group's set of most links, if of another component."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            token, rep, n, part, links = (c.to_numpy() for c in table.columns)
+            _, sizes = _runs(token)
+            order = np.lexsort((rep, -links, token))
+            chosen = np.repeat(order[np.cumsum(sizes) - sizes], sizes)
+            keep = (part != part[chosen]) & in_band(n.astype(np.int64), n[chosen].astype(np.int64), percent)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[keep]) for x in (rep[chosen], rep, n[chosen], n)], names=["a", "b", "n_a", "n_b"]
+            )
+
+    return pair
+
+
 def _passes(percent: int):
     """Keep the pairs whose bitmaps allow a link."""
 
@@ -320,18 +339,26 @@ def ngram_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     )
     links = _linked(pass_bitmaps(stars), docs, size, percent)
     parts = settle(components(links))
-    left = (
-        met.filter("more").select("token", "rep", "n")
-        .join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .withColumn("part", F.coalesce("component", "rep"))
-    )
-    several = (
-        left.groupBy("token").agg(F.min("part").alias("_low"), F.max("part").alias("_high"))
-        .filter("_low <> _high").select("token")
+
+    def divided(rows: DataFrame) -> DataFrame:
+        """Rows of the groups in which several components meet, with each row's component."""
+        named = rows.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
+            "token", "rep", "n", F.coalesce("component", "rep").alias("part")
+        )
+        several = named.groupBy("token").agg(F.min("part").alias("_low"), F.max("part").alias("_high"))
+        return settle(named.join(several.filter("_low <> _high").select("token"), "token", "left_semi"))
+
+    left = divided(met.filter("more"))
+    degrees = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    pivots = (
+        left.join(degrees, "rep", "left").select("token", "rep", "n", "part", F.coalesce("links", F.lit(0)).alias("links"))
+        .repartition("token").sortWithinPartitions("token")
+        .mapInArrow(_pivots(percent), "a long, b long, n_a int, n_b int").distinct()
     )
+    links = _linked(pass_bitmaps(pivots), docs, size, percent)
+    parts = settle(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)))
     tiled = (
-        left.join(several, "token", "left_semi").join(bits, "rep")
-        .select("token", "rep", "n", "part", "bits")
+        divided(left.drop("part")).join(bits, "rep").select("token", "rep", "n", "part", "bits")
         .repartition("token").sortWithinPartitions("token")
         .mapInArrow(_tiles(percent), "a long, b long").distinct()
     )
