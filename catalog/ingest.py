@@ -13,6 +13,7 @@ from reelgauge.functions import html
 from reelgauge.functions.scores import adjusted_amount
 from reelgauge.operators.inflation import add_multiplier, yearly_multipliers
 from reelgauge.operators.titles import distinct_titles, new_titles
+from reelgauge.plans.ingest import one_payload_per_title
 from reelgauge.session import shared_folder
 from reelgauge.sources.films import append_films, clean_films, read_film_sink
 from reelgauge.sources.payloads import film_metadata, page_values
@@ -92,6 +93,26 @@ def metadata_payloads(spark: SparkSession, sf: str) -> DataFrame:
     ])
 
 
+@query("""
+SELECT 'order ' || o_orderkey AS request, round(o_totalprice, 2) AS box_office FROM orders
+""")
+def films_from_retried_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order has a good response, half of them after a failed one in other spelling."""
+    orders = table(spark, sf, "orders")
+    key, price = F.col("o_orderkey"), F.format_number("o_totalprice", 2)
+    good = F.to_json(F.struct(
+        F.lit("True").alias("Response"), F.concat(F.lit("$"), price).alias("BoxOffice")
+    ))
+    failed = F.to_json(F.struct(F.lit("False").alias("Response")))
+    responses = orders.select(F.concat(F.lit("order "), key).alias("title"), good.alias("body"))
+    first_tries = orders.where(key % 2 == 0).select(
+        F.concat(F.lit(" ORDER "), key, F.lit(" ")).alias("title"), failed.alias("body")
+    )
+    metadata = film_metadata(one_payload_per_title(responses.unionByName(first_tries)))
+    amount = F.regexp_replace("box_office_raw", "[$,]", "").cast("double")
+    return metadata.select("request", amount.alias("box_office"))
+
+
 @query(r"""
 WITH found AS (
   SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">the</a>', 1)[1] AS href FROM pages)
@@ -109,14 +130,19 @@ def matching_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END AS budget FROM orders
+SELECT o_orderkey, CASE WHEN o_orderpriority NOT IN ('5-LOW', '2-HIGH') THEN o_totalprice END AS budget
+FROM orders
 """)
 def labelled_budgets(spark: SparkSession, sf: str) -> DataFrame:
     amount = F.concat(F.lit("$"), F.format_number("o_totalprice", 2))
-    label = F.when(F.col("o_orderpriority") == "5-LOW", "Gross").otherwise("Budget")
+    priority = F.col("o_orderpriority")
+    label = (
+        F.when(priority == "5-LOW", "Gross").when(priority == "2-HIGH", "BUDGET")
+        .when(priority == "1-URGENT", "<b>Budget</b>").otherwise("Budget")
+    )
     page = F.concat(
         F.lit("<div><span class='a'>Opening</span><span>$1</span><span>"), label,
-        F.lit("</span>\n<b>about</b> <span class='money'> "), amount, F.lit(" </span></div>"),
+        F.lit("</span>\n<b>about</b>&#99999999; <span class='money'> "), amount, F.lit(" </span></div>"),
     )
     return table(spark, sf, "orders").select(
         "o_orderkey", html.labelled_amount(page).alias("budget")

@@ -1,6 +1,7 @@
 """Column expressions that lift single values out of stored HTML."""
 
 import json
+import re
 from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
@@ -21,17 +22,26 @@ _REFERENCES = json.dumps(
 )
 
 
+#: Stands for a numbered reference to no character.
+REPLACEMENT = 0xFFFD
+
+
 def decode_entities(text: Column) -> Column:
-    """Replace character references; unknown ones stay as they are."""
+    """Replace character references; unknown names stay, numbers of no character are U+FFFD."""
     reference = "&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)"
     named = F.from_json(F.lit(_REFERENCES), "map<string,string>")
 
     def char(name: Column) -> Column:
-        digits = F.regexp_replace(name, "[#;xX]", "")
-        hexed = F.when(F.regexp_like(name, F.lit("^#[xX]")), digits).otherwise(
-            F.conv(digits, 10, 16)
-        )
-        numbered = F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
+        digits = F.regexp_replace(F.regexp_replace(name, "[#;xX]", ""), "^0+", "")
+        # Longer numbers are no character; what is cut off here is never used.
+        base16 = F.conv(F.substring(digits, 1, 6), 16, 10).try_cast("long")
+        base10 = F.substring(digits, 1, 7).try_cast("long")
+        code = F.when(
+            F.regexp_like(name, F.lit("^#[xX]")), F.when(F.length(digits) <= 6, base16)
+        ).otherwise(F.when(F.length(digits) <= 7, base10))
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        safe = F.when(real, code).otherwise(F.lit(REPLACEMENT))
+        numbered = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
         return F.when(F.startswith(name, F.lit("#")), numbered).otherwise(
             F.coalesce(F.try_element_at(named, name), F.concat(F.lit("&"), name))
         )
@@ -87,9 +97,9 @@ def detail_url(href: Column, segment: int = 2) -> Column:
 
 
 def labelled_amount(html: Column, label: str = BUDGET_LABEL) -> Column:
-    """Amount in the span after the span that reads ``label``."""
-    pattern = (
-        rf"(?is)<span\b[^>]*>{label}</span\s*>.*?<span\b[^>]*>(.*?)</span\s*>"
-    )
+    """Amount in the span after the span that reads exactly ``label``, in one chain of tags or none."""
+    span, end = r"<(?i:span)\b[^>]*>", r"</(?i:span)\s*>"
+    named = rf"(?:<[a-zA-Z][^>]*>)*{re.escape(label)}(?:</[^>]*>)*?"
+    pattern = rf"(?s){span}{named}{end}.*?{span}(.*?){end}"
     text = decode_entities(strip_tags(F.regexp_extract(html, pattern, 1)))
     return currency(text)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1024
 _BUCKET = "_slice"
+_DIGESTS = 256
 
 
 def null_safe_join(
@@ -35,7 +36,13 @@ def add_order_bucket(df: DataFrame, order_col: str, buckets: int = BUCKETS) -> D
     shares = F.from_json(
         F.lit(json.dumps([i / 2**levels for i in range(1, 2**levels)])), "array<double>"
     )
-    splits = df.select(F.percentile_approx(order_col, shares, 16 * 2**levels)).scalar()
+    # The splits only even out the work, so a rough digest of each group of input
+    # parts will do, and one task sees no more than _DIGESTS small lists of splits.
+    parts = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(_DIGESTS))).agg(
+        F.percentile_approx(order_col, shares, 2 * 2**levels).alias("_splits")
+    )
+    listed = parts.select(F.explode("_splits").alias("_split"))
+    splits = listed.select(F.percentile_approx("_split", shares, 2 * 2**levels)).scalar()
     steps = F.array(*[F.lit(2**level) for level in reversed(range(levels))])
 
     def search(below: Column, step: Column) -> Column:

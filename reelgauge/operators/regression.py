@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import UnsupportedOperationException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, Row
@@ -74,7 +75,7 @@ class OlsFit:
         try:
             *errors, first = self.model.summary.coefficientStandardErrors
             errors = [first, *errors]
-        except Exception:  # noqa: BLE001 - singular normal equations have no errors
+        except UnsupportedOperationException:  # singular normal equations have no errors
             errors = [None] * (len(self.features) + 1)
         table = []
         for (term, value), error in zip(self.terms.items(), errors, strict=True):

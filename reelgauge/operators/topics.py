@@ -22,6 +22,7 @@ from reelgauge.session import settle
 # Seeds up to this number travel with the tasks; more are matched in blocks.
 MAX_INLINE_SEEDS = 2_000
 _BLOCK_ROWS = 20_000
+_TILE_ROWS = 1_024
 MAX_VOCABULARY = 5_000_000
 
 
@@ -140,7 +141,9 @@ def fit_topics(
     stop_words = default_stop_words() if stop_words is None else list(stop_words)
     used = vocabulary_tokens(F.col(text_col), stop_words).alias("tokens")
     tokenised = settle(lines.where(F.trim(text_col) != "").select(title_col, used))
-    size = vocabulary(lines, text_col, stop_words, min_docs, max_share).count()
+    docs = tokenised.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word")
+    within = F.col("count").between(min_docs, max_share * tokenised.count())
+    size = docs.count().where(within).count()
     if size == 0:
         return None
     if size > MAX_VOCABULARY:
@@ -149,7 +152,9 @@ def fit_topics(
         inputCol="tokens", outputCol="features", minDF=min_docs, maxDF=max_share, vocabSize=size
     ).fit(tokenised)
     corpus = settle(vectorizer.transform(tokenised).select(title_col, "features"))
-    model = LDA(k=topics, seed=seed, maxIter=iterations, featuresCol="features").fit(corpus)
+    # The online optimizer draws a part of the lines for each pass; this one reads all.
+    lda = LDA(k=topics, seed=seed, maxIter=iterations, featuresCol="features", optimizer="em")
+    model = lda.fit(corpus)
     return TopicFit(lines.sparkSession, vectorizer, model, corpus)
 
 
@@ -213,15 +218,24 @@ def similar_words(
     word_type = words.schema["word"].dataType.simpleString()
     schema = f"theme {theme_type}, word {word_type}"
 
-    # Nested, so that tasks need no copy of this package.
+    # Nested, so that tasks need no copy of this package. Products are made tile by
+    # tile, so a task holds tile x tile numbers whatever the blocks.
+    tile = _TILE_ROWS
+
     def unit(vectors: pd.Series) -> np.ndarray:
         rows = np.array(vectors.tolist(), dtype=np.float64)
         return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
     def matches(themes: np.ndarray, units: np.ndarray, batch: pd.DataFrame) -> pd.DataFrame:
-        row, seed = np.nonzero(unit(batch["vector"]) @ units.T > threshold)
-        hits = pd.DataFrame({"theme": themes[seed], "word": batch["word"].to_numpy()[row]})
-        return hits.drop_duplicates()
+        found = []
+        for at in range(0, len(batch), tile):
+            rows = unit(batch["vector"].iloc[at : at + tile])
+            words_here = batch["word"].to_numpy()[at : at + tile]
+            for to in range(0, len(units), tile):
+                row, seed = np.nonzero(rows @ units[to : to + tile].T > threshold)
+                hits = pd.DataFrame({"theme": themes[to + seed], "word": words_here[row]})
+                found.append(hits.drop_duplicates())
+        return pd.concat(found).drop_duplicates()
 
     few = seeds.limit(inline_limit + 1).toPandas()
     if few.empty:
@@ -302,7 +316,8 @@ def themes_by_title(
             ", ",
         ).alias("words")
     )
-    described = title_topics.join(topic_names, "topic").join(lists, "topic")
+    # One row for each topic of the model, which the model holds on the driver anyway.
+    described = title_topics.join(F.broadcast(topic_names.join(lists, "topic")), "topic")
     entry = F.struct((-F.col("share")).alias("order"), "topic", "theme", "words")
     # One entry per topic of the model, so the list per title stays short.
     ranked = described.groupBy(title_col).agg(F.array_sort(F.collect_list(entry)).alias("ranked"))

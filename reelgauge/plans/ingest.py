@@ -14,13 +14,13 @@ from reelgauge.operators.titles import new_titles
 from reelgauge.plans.script_features import Scorer, script_features
 from reelgauge.session import settle
 from reelgauge.sources.films import append_films, read_film_sink
-from reelgauge.sources.payloads import film_metadata, page_values
+from reelgauge.sources.payloads import film_metadata, page_values, usable
 
 
 def one_payload_per_title(payloads: DataFrame) -> DataFrame:
-    """Keep one response where a title came more than once."""
+    """Keep one usable response where a title came more than once."""
     key = scores.normal_title(F.col("title")).alias("_key")
-    kept = payloads.groupBy(key).agg(F.min(F.struct("title", "body")).alias("_kept"))
+    kept = payloads.where(usable(F.col("body"))).groupBy(key).agg(F.min(F.struct("title", "body")).alias("_kept"))
     return kept.select("_kept.*")
 
 
@@ -34,8 +34,13 @@ def film_rows(
 ) -> DataFrame:
     """One film row per title that has both metadata and a script."""
     metadata = film_metadata(one_payload_per_title(payloads))
-    values = settle(page_values(pages).join(metadata.select("request"),
-                                            F.col("title") == F.col("request"), "left_semi"))
+    # Pages may be stored under another spelling of the requested title.
+    asked = metadata.select("request", scores.normal_title(F.col("request")).alias("_key"))
+    found = page_values(pages).withColumnRenamed("title", "_stored")
+    values = settle(
+        found.join(asked, scores.normal_title(F.col("_stored")) == F.col("_key"))
+        .drop("_stored", "_key").withColumnRenamed("request", "title")
+    )
     scripts = values.select("title", F.col("script").alias("text"))
     features = script_features(scripts, scorer, themes, max_chars)
     script_columns = features.join(values.select("title", "budget"), "title").withColumnRenamed(

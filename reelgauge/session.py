@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -25,7 +27,9 @@ def local_session(cores: int | str = 8, name: str = "reelgauge") -> SparkSession
 
 @cache
 def _single_machine_folder() -> str:
-    return tempfile.mkdtemp(prefix="reelgauge-")
+    folder = tempfile.mkdtemp(prefix="reelgauge-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:

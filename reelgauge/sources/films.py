@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelgauge import schemas
 from reelgauge.constants import MISSING_TEXT, NA_TOKENS
-from reelgauge.functions.scores import currency, number, percent
+from reelgauge.functions.scores import currency, normal_title, number, percent
 from reelgauge.operators.titles import new_titles
 
 
@@ -52,11 +52,24 @@ def read_film_sink(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schemas.FILM)
 
 
+def one_film_per_title(films: DataFrame) -> DataFrame:
+    """Of films with one title, whatever its case and outer space, the first by spelling.
+
+    Ties go to the row whose JSON text sorts first. Films without a title all stay.
+    """
+    key = normal_title(F.col("title"))
+    turn = F.row_number().over(
+        Window.partitionBy(key).orderBy("title", F.to_json(F.struct(*films.columns)))
+    )
+    first = films.where(key.isNotNull()).withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    return first.unionByName(films.where(key.isNull()))
+
+
 def append_films(films: DataFrame, path: str) -> None:
-    """Append the films whose titles the sink does not hold yet."""
+    """Append the films whose titles the sink does not hold yet, each title once."""
     known = read_film_sink(films.sparkSession, path)
     fresh = new_titles(films.select(*schemas.FILM_COLUMNS), known)
-    fresh.write.mode("append").parquet(path)
+    one_film_per_title(fresh).write.mode("append").parquet(path)
 
 
 def export_film_csv(films: DataFrame, path: str) -> None:

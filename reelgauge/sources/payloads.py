@@ -10,6 +10,11 @@ from reelgauge.constants import MISSING_TEXT
 from reelgauge.functions import html, scores
 
 
+def usable(body: Column) -> Column:
+    """Whether a response holds a film."""
+    return F.coalesce(F.from_json(body, "Response string")["Response"] == "True", F.lit(False))
+
+
 def film_metadata(payloads: DataFrame) -> DataFrame:
     """One row per usable response of (title, body); other responses are dropped."""
     # Inlining the kept responses parses each body once; a filter would again.
@@ -38,6 +43,9 @@ def film_metadata(payloads: DataFrame) -> DataFrame:
 def page_values(pages: DataFrame, segment: int = 2, script_tag: str = "pre") -> DataFrame:
     """(title, budget_url, budget, script) from stored (title, kind, html) pages.
 
+    Titles that differ only in case or outer space are one title, shown by its first
+    spelling. Of several pages of a kind the greatest value counts.
+
     Each page is reduced to its value before titles are brought together. A
     budget counts only when the search page led to a detail page.
     """
@@ -49,7 +57,8 @@ def page_values(pages: DataFrame, segment: int = 2, script_tag: str = "pre") ->
         F.when(kind == "detail", html.labelled_amount(page)).alias("budget"),
         F.when(kind == "script", html.first_element_text(page, script_tag)).alias("script"),
     )
-    gathered = lifted.groupBy("title").agg(
-        *[F.max(name).alias(name) for name in ("budget_url", "budget", "script")]
-    )
+    gathered = lifted.groupBy(scores.normal_title(F.col("title")).alias("_key")).agg(
+        F.min("title").alias("title"),
+        *[F.max(name).alias(name) for name in ("budget_url", "budget", "script")],
+    ).drop("_key")
     return gathered.withColumn("budget", F.when(F.col("budget_url").isNotNull(), F.col("budget")))
