@@ -264,7 +264,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
 
 def _tiles(percent: int):
-    """Pairs across components whose bitmaps allow a link, tile by tile."""
+    """Pairs across components whose bitmaps allow a link, tile by tile.
+
+    A pair is given out in the least of the groups that hold both of its sets only.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
@@ -274,17 +277,38 @@ def _tiles(percent: int):
                 rows = table.slice(start, count).sort_by("n")
                 rep, n, part = (rows.column(i).to_numpy() for i in (1, 2, 3))
                 bits = [np.frombuffer(x, "<u8") for x in rows.column(4).to_pylist()]
-                for i in range(0, count, TILE):
-                    for j in range(i, count, TILE):
-                        if not in_band(n[min(i + TILE, count) - 1], n[j], percent):
+                groups: dict[int, set[int]] = {}
+
+                def least(i: int, j: int, rows=rows, groups=groups) -> int:
+                    for k in (i, j):
+                        if k not in groups:
+                            groups[k] = set(rows.column(5)[k].as_py())
+                    return min(groups[i] & groups[j])
+
+                tiles = _bands([len(x) for x in bits])
+                for at, own in enumerate(tiles):
+                    for other in tiles[at:]:
+                        largest, smallest = n[own.stop - 1], n[other.start]
+                        if smallest > largest and not in_band(largest, smallest, percent):
                             break
-                        a, b = _tile(n, part, bits, slice(i, i + TILE), slice(j, j + TILE), i == j, percent)
-                        if len(a):
-                            yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
+                        a, b = _tile(n, part, bits, own, other, own is other, percent)
+                        here = [least(x, y) == token[start] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                        if any(here):
+                            yield pa.RecordBatch.from_arrays([pa.array(rep[a[here]]), pa.array(rep[b[here]])], names=["a", "b"])
 
     return compare
 
 
+def _bands(widths: list[int]) -> list[slice]:
+    """Runs of one bitmap width, cut into tiles."""
+    found, start = [], 0
+    for i in range(1, len(widths) + 1):
+        if i == len(widths) or i - start == TILE or widths[i] != widths[start]:
+            found.append(slice(start, i))
+            start = i
+    return found
+
+
 def _tile(n, part, bits, rows: slice, columns: slice, same: bool, percent: int):
     words = min(min(map(len, bits[rows])), min(map(len, bits[columns])))
     x = np.stack([folded(v, words) for v in bits[rows]])
@@ -357,10 +381,12 @@ def ngram_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     )
     links = _linked(pass_bitmaps(pivots), docs, size, percent)
     parts = settle(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)))
+    left = divided(left.drop("part"))
+    groups = left.groupBy("rep").agg(F.collect_list("token").alias("tokens"))
     tiled = (
-        divided(left.drop("part")).join(bits, "rep").select("token", "rep", "n", "part", "bits")
+        left.join(groups, "rep").join(bits, "rep").select("token", "rep", "n", "part", "bits", "tokens")
         .repartition("token").sortWithinPartitions("token")
-        .mapInArrow(_tiles(percent), "a long, b long").distinct()
+        .mapInArrow(_tiles(percent), "a long, b long")
     )
     more = _linked(settle(tiled), docs, size, percent)
     final = settle(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
