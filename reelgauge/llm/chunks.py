@@ -11,16 +11,19 @@ from collections.abc import Callable
 
 import numpy as np
 
-LIMIT = 400_000
+LIMIT = 700_000
 #: Documents are taken in slices of about this many characters.
 SLICE_CHARS = 4_000_000
 
 
-def split_chunks(text: str) -> list[str]:
-    """Pieces between ASCII white space; other white space stays inside a piece."""
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return [b.decode("utf-8") for b in text.encode("utf-8", "replace").split()]
+def split_chunks(text: str) -> list[bytes]:
+    """UTF-8 pieces between ASCII white space; other white space stays inside a piece.
+
+    A-Z come in lower case, as the tokenizer takes them, unless a special string, which
+    keeps its case, may be in the text.
+    """
+    raw = text.encode("utf-8", "replace")
+    return raw.split() if b"<|" in raw else raw.lower().split()
 
 
 def slices(texts: list[str]):
@@ -44,11 +47,11 @@ def ragged_places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Numbered:
     """Numbers chunks; ``learn`` is told the new ones of each slice, in order."""
 
-    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], limit: int = LIMIT):
-        self.ids: dict[str, int] = {}
+    def __init__(self, learn: Callable[[list[bytes]], None], forget: Callable[[], None], limit: int = LIMIT):
+        self.ids: dict[bytes, int] = {}
         self.learn, self.forget, self.limit = learn, forget, limit
 
-    def number(self, chunks: list[str]) -> np.ndarray:
+    def number(self, chunks: list[bytes]) -> np.ndarray:
         if len(self.ids) > self.limit:
             self.ids.clear()
             self.forget()

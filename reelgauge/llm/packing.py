@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import math
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from reelgauge.llm.chunks import Numbered, ragged_places, slices, split_chunks
 from reelgauge.llm.tables import whole_text
+from reelgauge.llm.token_counts import word_merges
 from reelgauge.session import settle
 
 CAPACITY = 4096
@@ -44,21 +46,33 @@ class ChunkIds:
     """Token ids of each chunk, found once while the chunk is held."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.merges = word_merges(path)
+        self.library = self.merges.library
         self.numbered = Numbered(self.learn, self.forget)
         self.forget()
 
     def forget(self) -> None:
+        self.words: dict[str, bytes] = {}
         self.flat = np.zeros(0, np.uint32)
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
 
-    def learn(self, chunks: list[str]) -> None:
-        ids = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-        lengths = np.array([len(i) for i in ids], np.int64)
-        flat = np.fromiter((i for row in ids for i in row), np.uint32, lengths.sum())
+    def ids(self, chunk: str) -> bytes:
+        """The library's ids: of the whole chunk if it holds a special string, else by pre-token."""
+        if "<|" in chunk and any(s in chunk for s in self.merges.specials):
+            return array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
+        found = []
+        for word in self.merges.pretokens(chunk):
+            own = self.words.get(word)
+            if own is None:
+                own = self.words[word] = array("I", [t.id for t in self.library.model.tokenize(word)]).tobytes()
+            found.append(own)
+        return b"".join(found)
+
+    def learn(self, chunks: list[bytes]) -> None:
+        ids = [self.ids(c.decode("utf-8")) for c in chunks]
+        lengths = np.array([len(i) for i in ids], np.int64) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
         self.lengths = np.r_[self.lengths, lengths]
         self.flat = np.r_[self.flat, flat]
@@ -76,9 +90,6 @@ class ChunkIds:
 
 @cache
 def _chunk_ids(path: str) -> ChunkIds:
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return ChunkIds(path)
 
 

@@ -50,12 +50,16 @@ class WordMerges:
         self.specials = [t["content"] for t in spec["added_tokens"]]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.cut = regex.compile(split["pattern"]["Regex"])
-        self.byte_chars = {bytes([b]): c for b, c in _byte_characters().items()}
+        self.byte_chars = _byte_characters()
 
     def pretokens(self, chunk: str) -> list[str]:
-        """Pre-tokens in the tokenizer's own byte characters; none for special strings."""
-        if chunk.isascii():
-            return self.cut.findall(chunk.lower())
+        """Pre-tokens of a chunk without special strings, in the tokenizer's byte characters."""
+        if chunk.isprintable():
+            if chunk.isascii():
+                return self.cut.findall(chunk.lower())
+            # Latin letters, composed and with a plain lower case, need no library.
+            if max(chunk) < "\u0250" and "\u0130" not in chunk:
+                return [w.encode().decode("latin-1").translate(self.byte_chars) for w in self.cut.findall(chunk.lower())]
         text = self.library.normalizer.normalize_str(chunk)
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -121,9 +125,10 @@ class ChunkCounts:
         self.words.clear()
         self.counts = np.zeros(0, np.int64)
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, found: list[bytes]) -> None:
         merges, words = self.merges, self.words
-        special = [any(s in c for s in merges.specials) for c in chunks]
+        chunks = [c.decode("utf-8") for c in found]
+        special = ["<|" in c and any(s in c for s in merges.specials) for c in chunks]
         cut = [[] if s else merges.pretokens(c) for c, s in zip(chunks, special, strict=True)]
         new = list({w for ws in cut for w in ws}.difference(words))
         words.update(zip(new, merges.count(new).tolist(), strict=True))
