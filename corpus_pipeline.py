@@ -36,9 +36,12 @@ def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that came earlier; a document left blank by that goes."""
     ship(spark)
-    deduped = line_dedup.dedup_lines(docs)
+    others = [c for c in docs.columns if c != "text"]
+    carried = docs.select("doc_id", "text", F.struct(*others).alias("_row"))
+    deduped = line_dedup.dedup_lines(carried)
     blank = (F.col("n_removed") > 0) & F.col("text").rlike(r"^[\x20\x09-\x0D]*$")
-    return deduped.filter(~F.coalesce(blank, F.lit(False))).select(*docs.columns)
+    kept = deduped.filter(~F.coalesce(blank, F.lit(False)))
+    return kept.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +57,10 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ship(spark)
     copies = mixing.mix_sources(mixing.word_sizes(docs)).filter("copies > 0")
     copies = copies.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_doc")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in docs.columns])
+    carried = docs.select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_row"))
+    joined = carried.join(copies, F.col("_id").eqNullSafe(F.col("_doc")))
+    repeated = joined.select("_row", F.explode(F.sequence(F.lit(1), "_copies")))
+    return repeated.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,18 +167,23 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the text of the lines that stay, and ``n_lines`` and ``n_removed``."""
-    gone, count = settled_with_count(repeated_lines(docs, min_words).select(F.col("doc_id").alias("_doc"), "gone"))
+    """``docs`` with the text of the lines that stay, and ``n_lines`` and ``n_removed``.
+
+    Columns of these two names are replaced.
+    """
+    gone, count = settled_with_count(
+        repeated_lines(docs, min_words).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
+    )
     lines = _lines_of(F.col("text"))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n")
     return (
         docs.join(bounded(gone, count), F.col("doc_id") == F.col("_doc"), "left")
         .withColumns(
             {
                 "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
-                "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-                "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept),
+                "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+                "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept),
             }
         )
-        .drop("_doc", "gone")
+        .drop("_doc", "_gone")
     )

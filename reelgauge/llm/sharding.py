@@ -31,7 +31,10 @@ def lpt(shards: int):
     """Function over batches of all items that yields the shard of each."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = pd.concat(list(batches), ignore_index=True)
+        held = list(batches)
+        if not held:
+            return
+        items = pd.concat(held, ignore_index=True)
         items = items.sort_values(["bytes", "big", "item"], ascending=[False, True, True])
         heap = [(0, s) for s in range(shards)]
         chosen = []
