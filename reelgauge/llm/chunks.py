@@ -8,6 +8,7 @@ beyond ``limit`` chunks, so a worker's memory is bounded whatever the vocabulary
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -44,21 +45,33 @@ def ragged_places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+class _Numbers(dict):
+    """Gives a key that it does not hold the next number and lists it in ``fresh``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        number = self[key] = len(self)
+        self.fresh.append(key)
+        return number
+
+
 class Numbered:
     """Numbers chunks; ``learn`` is told the new ones of each slice, in order."""
 
     def __init__(self, learn: Callable[[list[bytes]], None], forget: Callable[[], None], limit: int = LIMIT):
-        self.ids: dict[bytes, int] = {}
+        self.ids = _Numbers()
         self.learn, self.forget, self.limit = learn, forget, limit
 
-    def number(self, chunks: list[bytes]) -> np.ndarray:
+    def number(self, rows: list[list[bytes]]) -> np.ndarray:
+        """Numbers of the chunks of all rows, one after the other."""
         if len(self.ids) > self.limit:
-            self.ids.clear()
+            self.ids = _Numbers()
             self.forget()
-        ids = self.ids
-        known = len(ids)
-        for chunk in set(chunks).difference(ids):
-            ids[chunk] = len(ids)
-        if len(ids) > known:
-            self.learn(list(ids)[known:] if known else list(ids))
-        return np.fromiter(map(ids.__getitem__, chunks), np.int64, len(chunks))
+        numbers = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(rows)), np.int64, sum(map(len, rows)))
+        if self.ids.fresh:
+            self.learn(self.ids.fresh)
+            self.ids.fresh = []
+        return numbers

@@ -27,7 +27,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,8 @@ ADD = 0.1
 #: Tokens for which one range of contexts (one file of a level) is planned.
 RANGE_TOKENS = 4_000_000
 VOCABULARY_RANGE = 1_000_000
+#: Tokens that a task counts at a time.
+BLOCK_TOKENS = 4_000_000
 _END = int(np.uint64(xxhash.xxh3_64_intdigest(b" end ")).view(np.int64))
 #: Log probabilities are kept in steps of a 255th of this span below 0.
 _SPAN = 7.0
@@ -125,7 +127,7 @@ class Words:
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and counts of the words and ends of ``texts``, and where each text ends."""
         cut = [words_of(t) for t in texts]
-        numbers = self.numbered.number([w for ws in cut for w in ws])
+        numbers = self.numbered.number(cut)
         sizes = np.array([len(ws) for ws in cut], np.int64)
         ends = np.cumsum(sizes + 1)
         is_word = np.ones(ends[-1], bool)
@@ -136,9 +138,14 @@ class Words:
         return ids, counts, ends
 
 
-@cache
+@lru_cache(maxsize=1)
+def _held_words(paths: tuple[str, ...], first: tuple[int, ...]) -> Words:
+    return Words(Model(paths, first, 0))
+
+
 def _words(model: Model) -> Words:
-    return Words(model)
+    """The words of a vocabulary, shared by the models over it; one vocabulary is held."""
+    return _held_words(model.words, model.word_first)
 
 
 def _find(level: Level, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,35 +153,46 @@ def _find(level: Level, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarr
     node = np.full(len(context), -1)
     p, mass = np.zeros(len(context)), np.ones(len(context))
     valid = np.flatnonzero(context >= 0)
-    where = context[valid] // level.span
-    order = np.argsort(where, kind="stable")
-    valid, where = valid[order], where[order]
+    # Each pair is looked up once, in the order of the level, so reads stay near each other.
+    keys, back = np.unique((context[valid] << 32) | (word[valid] & 0xFFFFFFFF), return_inverse=True)
+    contexts, wanted = keys >> 32, keys & 0xFFFFFFFF
+    found, own_p, own_mass = np.full(len(keys), -1), np.zeros(len(keys)), np.ones(len(keys))
+    where = contexts // level.span
     edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else np.zeros(0, int)
-    for i, j in zip(edges, [*edges[1:], len(where)]):
+    for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(where)]):
         r = int(where[i])
         if not level.paths[r]:
             continue
-        own = valid[i:j]
         held = open_arrays(level.paths[r])
-        local = context[own] - r * level.span
-        low, high = decode_at(held, local), decode_at(held, local + 1)
-        last = high.copy()
-        wanted = word[own]
-        words = held["words"]
-        for _ in range(int((high - low).max(initial=0)).bit_length()):
-            middle = (low + high) >> 1
-            inside = low < high
-            less = inside & (words[np.minimum(middle, len(words) - 1)] < wanted)
-            low = np.where(less, middle + 1, low)
-            high = np.where(inside & ~less, middle, high)
-        at = np.minimum(low, len(words) - 1)
-        hit = (low < last) & (words[at] == wanted)
-        node[own[hit]] = at[hit] + level.first[r]
-        p[own[hit]] = _VALUES[held["p"][at[hit]]]
-        mass[own] = np.where(last > decode_at(held, local), _VALUES[held["mass"][local]], 1.0)
+        starts = np.flatnonzero(np.r_[True, contexts[i + 1 : j] != contexts[i : j - 1]])
+        repeats = np.diff(np.r_[starts, j - i])
+        local = contexts[i:j][starts] - r * level.span
+        begin, end = decode_at(held, local), decode_at(held, local + 1)
+        own_mass[i:j] = np.repeat(np.where(end > begin, _VALUES[held["mass"][local]], 1.0), repeats)
+        at = _successor(held["words"], np.repeat(begin, repeats), np.repeat(end, repeats), wanted[i:j])
+        hit = np.flatnonzero(at >= 0)
+        found[i + hit] = at[hit] + level.first[r]
+        own_p[i + hit] = _VALUES[held["p"][at[hit]]]
+    node[valid], p[valid], mass[valid] = found[back], own_p[back], own_mass[back]
     return node, p, mass
 
 
+def _successor(words: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each word is among its context's successors ``low`` to ``high``; -1 if it is not."""
+    out = np.full(len(low), -1)
+    left = np.flatnonzero(low < high)
+    low, high, wanted = low[left], high[left], wanted[left]
+    while len(left):
+        middle = (low + high) >> 1
+        seen = words[middle]
+        hit = seen == wanted
+        out[left[hit]] = middle[hit]
+        low, high = np.where(seen < wanted, middle + 1, low), np.where(seen < wanted, high, middle)
+        keep = np.flatnonzero(~hit & (low < high))
+        left, low, high, wanted = left[keep], low[keep], high[keep], wanted[keep]
+    return out
+
+
 def _shifted(nodes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The node of the token before, none for the first of a text."""
     out = np.r_[-1, nodes[:-1]]
@@ -200,9 +218,9 @@ def _counting(model: Model, ranges: int, span: int):
                 known = (context >= 0) & (ids >= 0)
                 held.append((context[known].astype(np.uint64) << np.uint64(32)) | ids[known].astype(np.uint64))
                 size += int(known.sum())
-                if size > 6_000_000:
-                    yield from _blocks(np.concatenate(held), span)
-                    held, size = [], 0
+                if size > BLOCK_TOKENS:
+                    keys, held, size = np.concatenate(held), [], 0
+                    yield from _blocks(keys, span)
         if size:
             yield from _blocks(np.concatenate(held), span)
 
@@ -210,7 +228,9 @@ def _counting(model: Model, ranges: int, span: int):
 
 
 def _blocks(keys: np.ndarray, span: int) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.unique(keys, return_counts=True)
+    keys.sort()
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    keys, counts = keys[first], np.diff(np.r_[first, len(keys)])
     context = (keys >> np.uint64(32)).astype(np.int64)
     where = context // span
     edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
@@ -280,7 +300,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(0).to_pylist()
         found = [np.full(len(texts), _END, np.int64).view(np.uint64)]
         for start, end in slices(texts):
-            found.append(seen.hashes_of([w for t in texts[start:end] for w in words_of(t)]))
+            found.append(seen.hashes_of([words_of(t) for t in texts[start:end]]))
         words, n = np.unique(np.concatenate(found), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 

@@ -80,7 +80,7 @@ class ChunkIds:
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
         for start, end in slices(texts):
             cut = [split_chunks(t) for t in texts[start:end]]
-            numbers = self.numbered.number([c for cs in cut for c in cs])
+            numbers = self.numbered.number(cut)
             lengths = self.lengths[numbers]
             flat = self.flat[ragged_places(self.starts[numbers], lengths)]
             upto = np.r_[0, np.cumsum(lengths)][np.cumsum([0] + [len(cs) for cs in cut])]

@@ -142,7 +142,7 @@ class ChunkCounts:
         out = np.zeros(len(texts), np.int64)
         for start, end in slices(texts):
             cut = [split_chunks(t) for t in texts[start:end]]
-            numbers = self.numbered.number([c for cs in cut for c in cs])
+            numbers = self.numbered.number(cut)
             ends = np.cumsum([0] + [len(cs) for cs in cut])
             summed = np.r_[0, np.cumsum(self.counts[numbers])]
             out[start:end] = summed[ends[1:]] - summed[ends[:-1]]

@@ -44,7 +44,7 @@ class WordHashes:
         """Sorted distinct shingle hashes of each text; fewer words than ``size`` give one."""
         for start, end in slices(texts):
             cut = [words_of(t) for t in texts[start:end]]
-            hashed = self.hashes_of([w for ws in cut for w in ws])
+            hashed = self.hashes_of(cut)
             rolled = np.zeros(max(len(hashed) - size + 1, 0), np.uint64)
             for k in range(size):
                 rolled = rolled * _MULTIPLIER + hashed[k : k + len(rolled)]
@@ -63,6 +63,7 @@ class WordHashes:
                     yield np.zeros(0, np.uint64)
                 at += n
 
-    def hashes_of(self, words: list[bytes]) -> np.ndarray:
-        numbers = self.numbered.number(words)
+    def hashes_of(self, rows: list[list[bytes]]) -> np.ndarray:
+        """Hashes of the words of all rows, one after the other."""
+        numbers = self.numbered.number(rows)
         return self.hashes[numbers]
