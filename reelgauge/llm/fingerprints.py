@@ -10,8 +10,8 @@ agree in it with a probability equal to the generalised Jaccard similarity of th
 weights there. The share of agreeing slots among those that either fills so estimates
 the similarity of the documents, with one evaluation for each term and stratum.
 
-Everything is array work within a row; the one shuffle deals documents by ranges of
-doc_id, so each meets its neighbour in falling order.
+Shingles are array work within a row. The one shuffle of texts deals documents by ranges
+of doc_id, so each meets its neighbour in falling order, and sampling stays in a range.
 
 Defined results: a null text is empty; an empty text fills no slot, is like another
 empty one (1.0) and unlike any other (0.0); rows that repeat a doc_id are ordered by
@@ -30,7 +30,7 @@ SHINGLE = 5
 SLOTS = 64
 #: Documents in a range at which the number of ranges is aimed, and that number's bound.
 RANGE_ROWS, RANGES = 512, 1024
-#: Keys lie in this range; a slot keeps them in 26 bits.
+#: Keys lie in this range; the least is found to 31 bits.
 _LOW, _SPAN = -40.0, 48.0
 _EMPTY = "........"
 
@@ -43,9 +43,9 @@ def _low(x: Column) -> Column:
     return (x.bitwiseAND(F.lit(2**32 - 1)) + 0.5) / float(2**32)
 
 
-def add_fingerprint(df: DataFrame, text: str, name: str, slots: int = SLOTS) -> DataFrame:
-    """``df`` with ``name``: for each filled slot, in order, ``slot << 32 | value``."""
-    words, grams, ends, drawn = (f"_{name}_{x}" for x in ("words", "grams", "ends", "drawn"))
+def _terms(df: DataFrame, text: str, name: str, slots: int) -> DataFrame:
+    """``df`` with ``name``: (term, slot, weight) of every term of the text in every stratum."""
+    words, grams, ends = (f"_{name}_{x}" for x in ("words", "grams", "ends"))
     n = F.size(words)
     df = df.withColumn(words, F.split(F.btrim(lower_ascii(F.col(text)), F.lit(" \t\n\x0b\f\r")), "[\\x20\\x09-\\x0D]+"))
     df = df.withColumn(words, F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
@@ -63,59 +63,46 @@ def add_fingerprint(df: DataFrame, text: str, name: str, slots: int = SLOTS) ->
             .otherwise(F.array().cast("array<bigint>"))
         ),
     )
-    size = F.size(grams)
-    df = df.withColumn(
-        ends,
-        F.when(
-            size > 0,
-            F.filter(
-                F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-                lambda i: (i == size) | (F.get(F.col(grams), i) != F.get(F.col(grams), i - 1)),
-            ),
-        ).otherwise(F.array().cast("array<int>")),
-    )
+    # Where the run of each term in the sorted array ends.
+    last = F.transform(grams, lambda h, i: F.when(F.get(F.col(grams), i + 1) == h, F.lit(0)).otherwise(i + 1))
+    df = df.withColumn(ends, F.filter(last, lambda e: e > 0))
 
     def part(term: Column, slot: Column, weight: Column) -> Column:
         return F.struct(term.alias("term"), slot.cast("int").alias("slot"), weight.cast("int").alias("weight"))
 
+    def slot_of(term: Column, occurrence: Column) -> Column:
+        return F.pmod(F.xxhash64(term, occurrence), F.lit(slots)).cast("int")
+
     def deal(end: Column, k: Column) -> Column:
         term = F.get(F.col(grams), end - 1)
         weight = end - F.when(k == 0, F.lit(0)).otherwise(F.get(F.col(ends), k - 1))
-        slot = lambda j: F.pmod(F.xxhash64(term, j), F.lit(slots)).cast("int")
-        once = F.array(part(term, slot(F.lit(1)), F.lit(1)))
-        taken = F.transform(F.sequence(F.lit(1), weight), slot)
-        counted = F.transform(
-            F.array_distinct(taken),
-            lambda s: part(term, s, F.size(F.filter(F.transform(F.sequence(F.lit(1), weight), slot), lambda o: o == s))),
-        )
-        return F.when(weight == 1, once).otherwise(counted)
-
-    def draw(x: Column) -> Column:
-        one, two, three = (F.xxhash64(x["term"], x["slot"], F.lit(i)) for i in (1, 2, 3))
-        return F.struct(
-            x["term"].alias("term"), x["weight"].alias("weight"), x["slot"].alias("slot"),
-            (-F.log(_high(one) * _low(one))).alias("r"),
-            F.log(-F.log(_high(two) * _low(two))).alias("ln_c"),
-            _high(three).alias("b"),
-        )
-
-    def pack(x: Column) -> Column:
-        t = F.floor(F.log(x["weight"]) / x["r"] + x["b"])
-        key = x["ln_c"] - x["r"] * (t - x["b"] + 1)
-        step = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (key - _LOW) / _SPAN)) * (2**26 - 1))
-        value = F.xxhash64(x["term"], t).bitwiseAND(F.lit(2**32 - 1))
-        return F.shiftleft((x["slot"].cast("long") * 2**26 + step).cast("long"), 32).bitwiseOR(value)
-
-    df = df.withColumn(drawn, F.flatten(F.transform(ends, deal)))
-    df = df.withColumn(drawn, F.transform(drawn, draw))
-    df = df.withColumn(drawn, F.sort_array(F.transform(drawn, pack)))
-    slot_of = lambda x: F.shiftrightunsigned(x, 58)
-    first = F.filter(
-        F.col(drawn),
-        lambda x, i: (i == 0) | (slot_of(x) != slot_of(F.get(F.col(drawn), i - 1))),
+        taken = F.transform(F.sequence(F.lit(1), weight), lambda j: slot_of(term, j))
+        counted = F.transform(F.array_distinct(taken), lambda s: part(term, s, F.size(F.filter(taken, lambda o: o == s))))
+        return F.when(weight == 1, F.array(part(term, slot_of(term, F.lit(1)), F.lit(1)))).otherwise(counted)
+
+    # Most texts hold every term once; then nothing has to be counted.
+    once = F.transform(grams, lambda h: part(h, slot_of(h, F.lit(1)), F.lit(1)))
+    dealt = F.when(F.size(ends) == F.size(grams), once).otherwise(F.flatten(F.transform(ends, deal)))
+    return df.withColumn(name, dealt)
+
+
+def _sampled(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, slots: for each filled slot, in order, ``slot << 32 | value``."""
+    one, two, three = (F.xxhash64("term", "slot", F.lit(i)) for i in (1, 2, 3))
+    drawn = terms.select(*keys, "term", "slot", "weight", one.alias("_1"), two.alias("_2"), three.alias("_3"))
+    drawn = drawn.select(
+        *keys, "term", "slot", "weight",
+        (-F.log(_high(F.col("_1")) * _low(F.col("_1")))).alias("_r"),
+        F.log(-F.log(_high(F.col("_2")) * _low(F.col("_2")))).alias("_ln_c"),
+        _high(F.col("_3")).alias("_b"),
     )
-    kept = F.transform(first, lambda x: F.shiftleft(slot_of(x), 32).bitwiseOR(x.bitwiseAND(F.lit(2**32 - 1))))
-    return df.withColumn(name, kept).drop(words, grams, ends, drawn)
+    drawn = drawn.withColumn("_t", F.floor(F.log("weight") / F.col("_r") + F.col("_b")))
+    key = F.col("_ln_c") - F.col("_r") * (F.col("_t") - F.col("_b") + 1)
+    step = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (key - _LOW) / _SPAN)) * (2**31 - 1))
+    value = F.xxhash64("term", "_t").bitwiseAND(F.lit(2**32 - 1))
+    least = drawn.groupBy(*keys, "slot").agg(F.min(F.shiftleft(step, 32).bitwiseOR(value)).alias("_least"))
+    kept = F.shiftleft(F.col("slot").cast("long"), 32).bitwiseOR(F.col("_least").bitwiseAND(F.lit(2**32 - 1)))
+    return least.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("slot").isNotNull(), kept))).alias("slots"))
 
 
 def fingerprint_text(slots_filled: str, slots: int = SLOTS) -> Column:
@@ -189,12 +176,24 @@ def fingerprint_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), third))
     rows = rows.withColumn("_edited", F.when(F.col("_guest"), F.lit("")).otherwise(edited))
-    rows = add_fingerprint(rows, "text", "_own", slots)
-    rows = add_fingerprint(rows, "_edited", "_other", slots)
-    rows = rows.select(
+    facts = rows.select(
         "_range", "_turn", "_guest", "doc_id", n.cast("long").alias("n_chars"),
-        F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"), "_own", "_other",
+        F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"),
+    )
+    # Both texts of a document one after the other; ranges stay where they are, so the
+    # sums below need no shuffle. The outer form keeps empty texts, and keeps the
+    # optimizer from moving a test of the array below the steps that make it.
+    both = F.array(*[
+        F.struct(F.lit(i).alias("which"), F.col(c).alias("words")) for i, c in enumerate(("text", "_edited"))
+    ])
+    texts = rows.select("_range", "_turn", F.explode(both).alias("_x"))
+    texts = texts.select("_range", "_turn", F.col("_x.which").alias("_which"), F.col("_x.words").alias("_text"))
+    terms = _terms(texts, "_text", "_terms", slots).select("_range", "_turn", "_which", F.inline_outer("_terms"))
+    sampled = _sampled(terms, ["_range", "_turn", "_which"]).groupBy("_range", "_turn").agg(
+        F.max(F.when(F.col("_which") == 0, F.col("slots"))).alias("_own"),
+        F.max(F.when(F.col("_which") == 1, F.col("slots"))).alias("_other"),
     )
+    rows = facts.join(sampled, ["_range", "_turn"])
     after = F.lead("_own").over(Window.partitionBy("_range").orderBy("_turn"))
     return rows.withColumn("_after", after).filter(~F.col("_guest")).select(
         "doc_id", "n_chars", "edited_sha256",
