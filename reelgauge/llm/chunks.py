@@ -12,7 +12,7 @@ from itertools import chain
 
 import numpy as np
 
-LIMIT = 700_000
+LIMIT = 500_000
 #: Documents are taken in slices of about this many characters.
 SLICE_CHARS = 4_000_000
 
@@ -65,13 +65,32 @@ class Numbered:
         self.ids = _Numbers()
         self.learn, self.forget, self.limit = learn, forget, limit
 
+    def release(self) -> None:
+        """Give up all that is held."""
+        self.ids = _Numbers()
+        self.forget()
+
     def number(self, rows: list[list[bytes]]) -> np.ndarray:
         """Numbers of the chunks of all rows, one after the other."""
         if len(self.ids) > self.limit:
-            self.ids = _Numbers()
-            self.forget()
+            self.release()
         numbers = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(rows)), np.int64, sum(map(len, rows)))
         if self.ids.fresh:
             self.learn(self.ids.fresh)
             self.ids.fresh = []
         return numbers
+
+
+def releasing(run: Callable, store: Callable[[], Numbered]) -> Callable:
+    """``run`` over a task's batches; the store it fills is emptied when the task ends.
+
+    Workers serve many tasks and stages, so what one leaves would add up in them.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            store().release()
+
+    return wrapped

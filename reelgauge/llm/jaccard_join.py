@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelgauge.llm.chunks import releasing
 from reelgauge.llm.components import components
 from reelgauge.llm.tables import bounded, whole_text
 from reelgauge.llm.word_ngrams import WordHashes
@@ -48,6 +49,10 @@ def _hashes() -> WordHashes:
     return WordHashes()
 
 
+def _held():
+    return _hashes().numbered
+
+
 def _frequent_shingles(docs: DataFrame, size: int) -> DataFrame:
     """token, n: shingles met at least three times by one task, with the sum of such counts."""
 
@@ -67,7 +72,7 @@ def _frequent_shingles(docs: DataFrame, size: int) -> DataFrame:
         yield _counted(held)
 
     narrow = docs.select(whole_text(docs).alias("text"))
-    return narrow.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return narrow.mapInArrow(releasing(count, _held), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _counted(held: dict[int, int]) -> pa.RecordBatch:
@@ -138,7 +143,7 @@ def _sets(docs: DataFrame, size: int, percent: int, frequent) -> DataFrame:
             )
 
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text(docs).alias("text"))
-    return narrow.mapInArrow(build, SETS)
+    return narrow.mapInArrow(releasing(build, _held), SETS)
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +258,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
     texts = docs.select(F.col("doc_id").cast("long"), whole_text(docs).alias("text"))
     sets = settle(
-        texts.join(bounded(wanted, wanted.count()), "doc_id").mapInArrow(build, "rep long, own binary")
+        texts.join(bounded(wanted, wanted.count()), "doc_id").mapInArrow(releasing(build, _held), "rep long, own binary")
     )
     joined = (
         pairs.join(sets.select(F.col("rep").alias("a"), F.col("own").alias("own_a")), "a")

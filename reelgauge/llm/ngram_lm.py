@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgauge.llm.chunks import Numbered, slices
+from reelgauge.llm.chunks import Numbered, releasing, slices
 from reelgauge.llm.elias_fano import decode_at, encode_monotone, open_arrays, save_arrays
 from reelgauge.llm.tables import whole_text
 from reelgauge.llm.word_ngrams import words_of
@@ -325,7 +325,7 @@ def learn(texts: DataFrame, order: int = ORDER) -> Model:
     spark = texts.sparkSession
     folder = f"{shared_folder(spark)}/ngrams-{uuid.uuid4().hex}"
     texts = texts.select("text")
-    counted = settle(texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counted = settle(texts.mapInArrow(releasing(_count_words, lambda: _plain_hashes().numbered), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     sums = counted.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
     tokens = int(sums["n"] or 0)
     ranges = max(1, -(-sums["v"] // VOCABULARY_RANGE))
@@ -339,7 +339,8 @@ def learn(texts: DataFrame, order: int = ORDER) -> Model:
         ranges = max(1, min(contexts, -(-tokens // RANGE_TOKENS)))
         span = max(1, -(-contexts // ranges))
         ranges = max(1, -(-contexts // span))
-        blocks = texts.mapInArrow(_counting(model, ranges, span), "range int, steps binary, words binary, n binary")
+        count = releasing(_counting(model, ranges, span), lambda model=model: _words(model).numbered)
+        blocks = texts.mapInArrow(count, "range int, steps binary, words binary, n binary")
         written = blocks.groupBy("range").applyInPandas(_writing(folder, k, span, contexts), schema)
         paths, first = _manifest(written, ranges)
         level = Level(paths, span, first)
@@ -382,7 +383,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.values())], names=["doc_id", *found])
 
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text(docs).alias("text"))
-    return narrow.mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return narrow.mapInArrow(releasing(score, lambda: _words(model).numbered), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def training_texts(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgauge.llm.chunks import Numbered, ragged_places, slices, split_chunks
+from reelgauge.llm.chunks import Numbered, ragged_places, releasing, slices, split_chunks
 from reelgauge.llm.tables import whole_text
 from reelgauge.llm.token_counts import word_merges
 from reelgauge.session import settle
@@ -122,7 +122,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                 yield _pieces(owners, numbers, starts, sizes, ids)
 
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text(docs).alias("text"))
-    return narrow.mapInArrow(cut, PIECES)
+    return narrow.mapInArrow(releasing(cut, lambda: _chunk_ids(tokenizer).numbered), PIECES)
 
 
 def _pieces(owners, numbers, starts, sizes, ids) -> pa.RecordBatch:

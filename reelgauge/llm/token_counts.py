@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from reelgauge.llm.chunks import Numbered, slices, split_chunks
+from reelgauge.llm.chunks import Numbered, releasing, slices, split_chunks
 from reelgauge.llm.tables import whole_text
 
 NO_RANK = np.iinfo(np.int64).max
@@ -176,4 +176,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
 
     text = whole_text(docs)
     narrow = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return narrow.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return narrow.mapInArrow(releasing(count, lambda: _chunk_counts(tokenizer).numbered), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
