@@ -151,13 +151,14 @@ def line_correlations(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.correlation_matrix(holed, holed.columns))
 
 
-_WELCH_SQL = FEATURES_SQL + """,
+_WELCH_SIDES_SQL = FEATURES_SQL + """,
 sides AS (
   SELECT count(avg_arc) FILTER (award_winner) AS n1, count(avg_arc) FILTER (NOT award_winner) AS n0,
     avg(avg_arc) FILTER (award_winner) AS m1, avg(avg_arc) FILTER (NOT award_winner) AS m0,
     var_samp(avg_arc) FILTER (award_winner) / n1 AS s1,
     var_samp(avg_arc) FILTER (NOT award_winner) / n0 AS s0
-  FROM features)
+  FROM features)"""
+_WELCH_SQL = _WELCH_SIDES_SQL + """
 SELECT n1 AS flagged_n, n0 AS other_n, round(m1, 6) AS flagged_mean, round(m0, 6) AS other_mean,
   round((m1 - m0) / sqrt(s1 + s0), 6) AS t_statistic,
   round(pow(s1 + s0, 2) / (s1 * s1 / (n1 - 1) + s0 * s0 / (n0 - 1)), 4) AS degrees_of_freedom
@@ -171,9 +172,24 @@ def arc_welch_statistic(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found).withColumn("degrees_of_freedom", F.round("degrees_of_freedom", 4))
 
 
-@query()
+# The tail is 1 less the density's integral from -|t| to |t|, by Simpson's rule.
+@query(_WELCH_SIDES_SQL + """,
+welch AS (
+  SELECT *, (m1 - m0) / sqrt(s1 + s0) AS t,
+    pow(s1 + s0, 2) / (s1 * s1 / (n1 - 1) + s0 * s0 / (n0 - 1)) AS v FROM sides),
+tail AS (
+  SELECT *, 1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * abs(t) / 2000 / 3
+    * list_sum(list_transform(generate_series(0, 2000), lambda i:
+      (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+        * pow(1 + pow(i * abs(t) / 2000, 2) / v, -(v + 1) / 2))) AS p FROM welch)
+SELECT n1 AS flagged_n, n0 AS other_n, round(m1, 6) AS flagged_mean, round(m0, 6) AS other_mean,
+  round(t, 6) AS t_statistic, round(v, 4) AS degrees_of_freedom, round(p, 6) + 0.0 AS p_value,
+  p < 0.05 AS significant
+FROM tail
+""")
 def arc_welch_test(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.welch_test(features(spark, sf), "award_winner", "avg_arc")
+    found = stats.welch_test(features(spark, sf), "award_winner", "avg_arc")
+    return rounded(found).withColumn("degrees_of_freedom", F.round("degrees_of_freedom", 4))
 
 
 @query("""

@@ -101,7 +101,7 @@ WITH parts AS (
 means AS (SELECT label, i, avg(x::DOUBLE) AS x FROM parts GROUP BY label, i),
 seeds AS (SELECT label, list(x ORDER BY i) AS v FROM means GROUP BY label)
 SELECT seeds.label AS theme, vec_id AS word FROM seeds, embeddings
-WHERE list_cosine_similarity(v, embedding::DOUBLE[]) > 0.6
+WHERE list_cosine_similarity(v, embedding::DOUBLE[]) > 0.25
 """)
 def words_near_theme_centres(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors close to the mean vector of each label."""
@@ -109,7 +109,7 @@ def words_near_theme_centres(spark: SparkSession, sf: str) -> DataFrame:
     centre = Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))
     seeds = vectors.groupBy("label").agg(vector_to_array(centre).alias("vector"))
     words = vectors.select(F.col("vec_id").alias("word"), F.col("embedding").alias("vector"))
-    return T.similar_words(seeds.withColumnRenamed("label", "theme"), words)
+    return T.similar_words(seeds.withColumnRenamed("label", "theme"), words, threshold=0.25)
 
 
 def _embedded_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
