@@ -146,7 +146,7 @@ def expanded_themes(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def topic_words(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
-    return T.fit_topics(documents, "doc_id", "text", iterations=5).words()
+    return T.fit_topics(documents, "doc_id", "text").words()
 
 
 @query()

@@ -57,4 +57,4 @@ def test_the_label_is_exact(spark, page, expected):
 def test_topics_are_fitted_on_all_lines(spark):
     lines = spark.createDataFrame([(i % 3, w) for i in range(12) for w in ("war enemy", "love kiss", " ")], "title int, line string")
     fit = T.fit_topics(lines, topics=2, stop_words=[], iterations=3)
-    assert fit.model.getOptimizer() == "em" and fit.words(2).count() == 4
+    assert fit.model.getSubsamplingRate() == 1.0 and fit.words(2).count() == 4
