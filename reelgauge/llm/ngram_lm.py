@@ -5,7 +5,7 @@ is an n-gram of k words; its id is its place among all of the level, sorted by c
 node and last word. A level is a set of files, each for a range of context nodes: an
 Elias-Fano sequence of where each context's successors begin, the successors' word ids,
 and one byte each for the quantised log probability of a successor and the quantised
-backoff mass of a context. Workers map the files into memory, so they share one copy a
+backoff mass of a context; two bytes in a file where some lie below 10^-7. Workers map the files into memory, so they share one copy a
 machine in the page cache. A word is found by binary search among its context's
 successors only.
 
@@ -51,15 +51,16 @@ VOCABULARY_RANGE = 1_000_000
 #: Tokens that a task counts at a time.
 BLOCK_TOKENS = 4_000_000
 _END = int(np.uint64(xxhash.xxh3_64_intdigest(b" end ")).view(np.int64))
-#: Log probabilities are kept in steps of a 255th of this span below 0.
-_SPAN = 7.0
+#: Steps of a log probability to one decade; the same at every size of input.
+_STEPS = 255 / 7
+#: Covers 28 decades; the least share of a count in 64 bits lies less than 20 below 1.
+_VALUES = 10.0 ** (-np.arange(1024) / _STEPS)
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-30)) * 255 / _SPAN), 0, 255).astype(np.uint8)
-
-
-_VALUES = 10.0 ** (-np.arange(256) * _SPAN / 255)
+    """Steps below 1: one byte each if all of ``p`` fit, else two."""
+    steps = np.maximum(np.rint(-np.log10(p) * _STEPS), 0)
+    return steps.astype(np.uint8 if steps.max(initial=0) < 256 else np.uint16)
 
 
 @dataclass(frozen=True)
@@ -274,7 +275,7 @@ def _writing(folder: str, order: int, span: int, contexts: int):
         arrays |= {
             "words": (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32),
             "p": quantised((n - DISCOUNT) / total[local]),
-            "mass": quantised(DISCOUNT * kinds / np.maximum(total, 1)),
+            "mass": quantised(np.where(kinds > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)),
         }
         path = f"{folder}/level{order}-{r}.bin"
         save_arrays(path, arrays)
