@@ -1,10 +1,12 @@
 """Bounds that only larger inputs reach, built from counts and small tables."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from reelgauge.llm import ngram_lm
+from reelgauge.llm import line_dedup, ngram_lm
 
 
 def level_of(folder, context, word, n, contexts):
@@ -30,3 +32,37 @@ def test_rare_words_after_a_frequent_context_keep_their_probability(tmp_path):
     assert abs(p.sum() + mass[0] - 1) < step - 1
     _, p, mass = ngram_lm._find(level, np.array([1, 2, 2]), np.array([7, 7, 8]))
     assert mass[0] == 1 and p[0] == 0 and p[1] == pytest.approx(0.25, rel=step - 1) and p[2] == 0
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits", [2, 3])
+def test_lines_within_several_edits_of_an_earlier_one_go(spark, edits):
+    draw = random.Random(edits)
+    bases = ["ab c d e ff", "the line that a b", "a b a b a b a b a b é", "one two three four five six seven eight nine ten " * 3]
+    lines = []
+    for _ in range(90):
+        line = list(draw.choice(bases))
+        for _ in range(draw.randint(0, 5)):
+            at = draw.randrange(len(line))
+            line[at : at + draw.randint(0, 1)] = draw.choice(["", "a", "b", "x", "é"])
+        lines.append("".join(line))
+    docs = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(30)]
+    seen, expected = [], {}
+    for doc, text in docs:
+        kept = []
+        for line in text.split("\n"):
+            able = len(line.split()) >= 5
+            if not able or all(distance(line, o) > edits for o in seen):
+                kept.append(line)
+            seen += [line] * able
+        expected[doc] = "\n".join(kept)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, max_edits=edits).collect()} == expected
