@@ -22,6 +22,9 @@ from reelgauge.llm.shipping import ship
 from reelgauge.llm.tables import read
 from reelgauge.session import settle
 
+#: Edits within which a line counts as a copy of an earlier one.
+LINE_EDITS = 2
+
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant, learnt from the labels outside its held-out part, accepts."""
@@ -34,11 +37,11 @@ def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that came earlier; a document left blank by that goes."""
+    """Texts without lines that came earlier, up to two edits; a document left blank by that goes."""
     ship(spark)
     others = [c for c in docs.columns if c != "text"]
     carried = docs.select("doc_id", "text", F.struct(*others).alias("_row"))
-    deduped = line_dedup.dedup_lines(carried)
+    deduped = line_dedup.dedup_lines(carried, max_edits=LINE_EDITS)
     blank = (F.col("n_removed") > 0) & F.col("text").rlike(r"^[\x20\x09-\x0D]*$")
     kept = deduped.filter(~F.coalesce(blank, F.lit(False)))
     return kept.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

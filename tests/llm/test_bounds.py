@@ -6,7 +6,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import corpus_pipeline
 from reelgauge.llm import line_dedup, ngram_lm
+from reelgauge.llm.shipping import ship
 
 
 def level_of(folder, context, word, n, contexts):
@@ -66,3 +68,11 @@ def test_lines_within_several_edits_of_an_earlier_one_go(spark, edits):
         expected[doc] = "\n".join(kept)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, max_edits=edits).collect()} == expected
+
+
+def test_the_pipeline_drops_lines_two_edits_away(spark):
+    ship(spark)
+    rows = [(1, "all that we saw on the way home\nfirst"), (2, "all that we see on the way home\nsecond"), (3, "all that we said on our way home\nthird")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    assert {r.doc_id: r.text for r in found.collect()} == {1: rows[0][1], 2: "second", 3: rows[2][1]}
