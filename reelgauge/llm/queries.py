@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgauge.llm import fingerprints, jaccard_join, line_dedup, mixing, ngram_lm, packing, quality, sharding, token_counts, vectors
+from reelgauge.llm import fingerprints, jaccard_join, line_dedup, mixing, ngram_lm, packing, quality, sharding, token_counts, url_filter, vectors
 from reelgauge.llm.shipping import ship
 from reelgauge.llm.tables import read
 from reelgauge.session import settle
@@ -146,3 +146,52 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(mixing.word_sizes(read(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+#: (host, path, verdict) of the rules, and the names of sites whose pages are listed.
+URL_RULES = (
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+)
+JUNK_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed are the canonical URLs of all pages on sites known for junk."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    at = pages.select(url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    junk = at.filter(F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, JUNK_SITES))))
+    listed = junk.select(url_filter.canonical_url(F.col("host"), F.col("path")).alias("canonical")).distinct()
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.filter_urls(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op11_url_filter"] = r"""
+WITH cut AS (
+  SELECT page_id, coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '') AS h,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages
+),
+parsed AS (
+  SELECT page_id, path, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM cut
+),
+spelt AS (
+  SELECT *, regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(path, '(/index)?([.]html?)?/*$', '') AS canonical FROM parsed
+),
+listed AS (
+  SELECT DISTINCT canonical FROM spelt
+  WHERE list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])
+),
+rules(h, p, v) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+    ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+),
+fits AS (
+  SELECT s.*, r.h || r.p AS rule, r.v,
+    CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS other
+  FROM spelt s LEFT JOIN rules r
+  ON starts_with(s.path, r.p) AND (s.host = r.h OR ends_with(s.host, '.' || r.h))
+)
+SELECT page_id, host, path, rule, coalesce(v, other) AS verdict FROM fits
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1
+"""
