@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgauge.llm import fingerprints, jaccard_join, lexical_search, line_dedup, mixing, ngram_lm, packing, quality, sharding, token_counts, url_filter, vectors
+from reelgauge.llm import conversations, fingerprints, jaccard_join, lexical_search, line_dedup, mixing, ngram_lm, packing, quality, sharding, token_counts, url_filter, vectors
 from reelgauge.llm.shipping import ship
 from reelgauge.llm.tables import read
 from reelgauge.session import settle
@@ -197,6 +197,11 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS
 """
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(read(spark, sf_dir, "conversations")))
+
+
 @query
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
