@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import query, rounded, sql_words, table
+from catalog.scripts import clean_sql, dialogue_sql, sql_strip
 from reelgauge.functions.text import clean_script
 from reelgauge.operators import dialogue as D
 from reelgauge.operators import sentiment as S
@@ -216,13 +217,26 @@ def scripts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select(title.alias("title"), text.alias("text"))
 
 
-@query()
+_SCRIPTS_SQL = f"""
+WITH RECURSIVE scripts AS (
+  SELECT conv_id || '/' || turn AS title, 'Interior.' || chr(10) || role || chr(10) || text
+    || ' NARRATOR (softly) the end, turn ' || turn AS text FROM conversations),
+{clean_sql('scripts')},
+{dialogue_sql('cleaned')}"""
+
+
+@query(_SCRIPTS_SQL + " SELECT title, seq, line_count, character, line FROM spoken")
 def dialogue_lines(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = scripts(spark, sf).withColumn("text", clean_script(F.col("text")))
     return D.extract_dialogue(cleaned)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE scripts AS (SELECT doc_id AS title, text FROM documents),
+{clean_sql('scripts')},
+{dialogue_sql('cleaned')}
+SELECT title, seq, line_count, character, line FROM spoken
+""")
 def document_dialogue(spark: SparkSession, sf: str) -> DataFrame:
     """Dialogue of every document read as a script."""
     cleaned = table(spark, sf, "documents").select(
@@ -231,7 +245,45 @@ def document_dialogue(spark: SparkSession, sf: str) -> DataFrame:
     return D.extract_dialogue(cleaned)
 
 
-@query()
+#: Cues that are put before the sentences of a document, in turn.
+_CUES = ("ANNA", "BOB-RAY\n", "KANE (softly, to ANNA and BOB)", "THE NARRATOR\n(V.O.)")
+_PLAIN = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""
+WITH cut AS (
+  SELECT doc_id, string_split({_PLAIN}, '. ') AS parts FROM documents WHERE text IS NOT NULL),
+said AS (
+  SELECT doc_id, i, (i - 1) % 4 AS cue, replace({sql_strip('parts[i]')}, chr(10), ' ') AS line
+  FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM cut))
+SELECT doc_id AS title, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS seq,
+  CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS line_count,
+  ['ANNA', 'BOB-RAY', 'KANE', 'THE NARRATOR'][cue + 1] AS character, line
+FROM said WHERE line <> ''
+""")
+def scripted_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a script in which four speakers say a sentence each in turn."""
+    plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cues = F.array(*[F.lit(cue) for cue in _CUES])
+    turns = F.transform(
+        F.split(plain, r"\. "),
+        lambda part, i: F.concat(F.element_at(cues, i % 4 + 1), F.lit(" "), part, F.lit("\n")),
+    )
+    made = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("title"), F.array_join(turns, "").alias("text")
+    )
+    return D.extract_dialogue(made)
+
+
+@query(_SCRIPTS_SQL + f""",
+hits AS (
+  SELECT *, len(list_filter(words, lambda x: x IN ({_sql_list(POSITIVE)}))) AS good,
+    len(list_filter(words, lambda x: x IN ({_sql_list(NEGATIVE)}))) AS bad
+  FROM (SELECT *, {sql_words('line')} AS words FROM spoken))
+SELECT title, seq, character, line, CASE WHEN good >= bad THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label,
+  round(CASE WHEN good >= bad THEN 1 ELSE -1 END * (greatest(good, bad) + 1) / (good + bad + 2), 6)
+    AS score FROM hits
+""")
 def sentiment_log(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = scripts(spark, sf).withColumn("text", clean_script(F.col("text")))
-    return S.sentiment_log(S.score_by_lexicon(D.extract_dialogue(cleaned), LEXICON))
+    return rounded(S.sentiment_log(S.score_by_lexicon(D.extract_dialogue(cleaned), LEXICON)))

@@ -1,5 +1,7 @@
 """Text steps against Python's own regular expressions."""
 
+import itertools
+import random
 import re
 import time
 
@@ -11,6 +13,7 @@ from reelgauge.functions import text as X
 from reelgauge.operators.dialogue import extract_dialogue
 
 DATA = "/root/testdata/sf0.01"
+# Fixed value: what counts as a cue, its aside and its line.
 SPEECH = re.compile(
     r"\b([A-Z][A-Z\s\-]+)(?:\s*\(.*?\))?\s+(.*?)(?=(?:\b[A-Z][A-Z\s\-]+\b\s|\Z))", re.S
 )
@@ -30,16 +33,22 @@ HAND_MADE = [
 ]
 
 
-def python_pairs(script):
-    pairs = [(name, line.strip().replace("\n", " ")) for name, line in SPEECH.findall(script)]
-    return [(name.strip(), line) for name, line in pairs if line]
+def spoken_words(script):
+    """Words of each name and line, with Python's own matching; spacing is tested by hand."""
+    matched = ((found[1].split(), found[2].split()) for found in SPEECH.finditer(script))
+    return [(name, line) for name, line in matched if line]
 
 
-def python_clean(script):
-    script = re.sub(r"\s{2,}", " ", re.sub(r"\n+", "\n", script))
-    return re.sub(
-        r"(^[a-zA-Z0-9\s]+)(\n)", lambda m: m.group(1).upper() + "\n", script, flags=re.M
+def walk_lines(raw):
+    """Squeeze runs of white space, then upper-case every plain line but the last."""
+    one_break = "".join("\n" if char == "\n" else "".join(run) for char, run in itertools.groupby(raw))
+    squeezed = "".join(
+        text if not blank or len(text) == 1 else " "
+        for blank, run in itertools.groupby(one_break, str.isspace) for text in ["".join(run)]
     )
+    *lines, last = squeezed.split("\n")
+    plain = [all(c.isspace() or (c.isascii() and c.isalnum()) for c in line) for line in lines]
+    return "\n".join([line.upper() if is_plain else line for line, is_plain in zip(lines, plain)] + [last])
 
 
 @pytest.fixture(scope="module")
@@ -54,27 +63,71 @@ def scripts():
     return HAND_MADE + [text for (text,) in rows] + made
 
 
-def test_dialogue_matches_python(spark, scripts):
-    df = spark.createDataFrame(list(enumerate(scripts)), "title int, text string")
+def dialogue_of(spark, scripts):
+    df = spark.createDataFrame(list(enumerate(scripts)), "title int, text string").repartition(4)
     found = {}
     for row in extract_dialogue(df).collect():
         found.setdefault(row.title, []).append((row.seq, row.character, row.line, row.line_count))
+    for rows in found.values():
+        rows.sort()
+        assert [row[0] for row in rows] == list(range(len(rows)))
+        assert all(row[3] == len(rows) for row in rows)
+    return [[row[1:3] for row in found.get(title, [])] for title in range(len(scripts))]
+
+
+def test_dialogue_matches_python(spark, scripts):
     total = 0
-    for title, script in enumerate(scripts):
-        expected = python_pairs(script)
-        rows = sorted(found.get(title, []))
-        assert [(row[1], row[2]) for row in rows] == expected, script[:200]
-        assert [row[0] for row in rows] == list(range(len(expected)))
-        assert all(row[3] == len(expected) for row in rows)
-        total += len(expected)
+    for script, pairs in zip(scripts, dialogue_of(spark, scripts), strict=True):
+        assert [(name.split(), line.split()) for name, line in pairs] == spoken_words(script), script[:200]
+        assert all("\n" not in line and line == line.strip() and name == name.strip() for name, line in pairs)
+        total += len(pairs)
     assert total > 2_000
 
 
-def test_cleaning_matches_python(spark, scripts):
+def test_dialogue_of_hand_made_scripts(spark):
+    expected = {
+        "RIPLEY (softly)\n  We must\ngo. DALLAS\nWhere  to?\n": [("RIPLEY", "We must go."), ("DALLAS", "Where  to?")],
+        "before JOHN\tSMITH - \n x": [("JOHN\tSMITH -", "x")],
+        "JOHN (to MARY ANN) hi (or KATE LEE says) there": [("JOHN", "hi (or"), ("KATE LEE", "says) there")],
+        "JOHN (never closed KATE LEE says": [("JOHN", "(never closed"), ("KATE LEE", "says")],
+        "I (aside) first cue. I (no aside) later": [("I", "first cue. I (no aside) later")],
+        "JOHN - and A- x": [("JOHN -", "and A- x")],
+        "JOHN \n\nMARY said": [("JOHN \n\nMARY".strip(), "said")],
+        "xJOHN y": [],
+        "JOHN": [],
+        "A-" * 50: [],
+    }
+    assert dialogue_of(spark, list(expected)) == list(expected.values())
+
+
+def test_dialogue_of_random_scripts_matches_python(spark):
+    rng = random.Random(4)
+    parts = [
+        "A", "B", "AB", "C ", "-", " ", "\n", "(", ")", ") ", "x", "y z", "é", "É", "_", "9", "\ufdd0", "\ufdd1",
+        "\ufdd2", "\ufdd3", "\ufdd4", "\x1c", "\xa0", ".", "JOHN ", "MARY\n", "(aside)", "( AB CD )",
+    ]
+    made = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(4_000)]
+    for script, pairs in zip(made, dialogue_of(spark, made), strict=True):
+        assert [(name.split(), line.split()) for name, line in pairs] == spoken_words(script), script
+
+
+@pytest.mark.parametrize("part, count", [
+    ("A-", 100_000), ("A- ", 70_000), ("AB ( ", 40_000), ("AB (x) ", 30_000), ("AB CD (", 30_000),
+    ("The cat Sat. ", 16_000), ("A (", 70_000), ("AB CD ", 33_000), ("\ufdd1(", 100_000),
+])
+def test_dialogue_takes_linear_time(spark, part, count):
+    """Each of some 200,000 characters; a pattern that reads runs again takes minutes."""
+    df = spark.createDataFrame([("t", part * count)], "title string, text string")
+    start = time.time()
+    extract_dialogue(df).count()
+    assert time.time() - start < 15
+
+
+def test_cleaning_matches_a_line_walker(spark, scripts):
     df = spark.createDataFrame(list(enumerate(scripts)), "id int, text string")
     rows = df.select("id", X.clean_script(F.col("text")).alias("text")).collect()
     for row in rows:
-        assert row.text == python_clean(scripts[row.id])
+        assert row.text == walk_lines(scripts[row.id])
 
 
 def test_cleaning_upper_cases_cue_lines_and_can_cut(spark):
