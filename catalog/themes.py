@@ -12,6 +12,8 @@ from reelgauge.operators import topics as T
 from reelgauge.plans.script_features import script_themes
 from reelgauge.session import settle
 
+#: Recall at which a check against all pairs expects none to be missed.
+SURE = 1 - 1e-6
 STOP_WORDS = ("the", "and", "of", "de", "der", "la", "to", "in")
 
 _TOKENS_SQL = r"""regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"""
@@ -109,7 +111,7 @@ def words_near_theme_centres(spark: SparkSession, sf: str) -> DataFrame:
     centre = Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))
     seeds = vectors.groupBy("label").agg(vector_to_array(centre).alias("vector"))
     words = vectors.select(F.col("vec_id").alias("word"), F.col("embedding").alias("vector"))
-    return T.similar_words(seeds.withColumnRenamed("label", "theme"), words, threshold=0.25)
+    return T.similar_words(seeds.withColumnRenamed("label", "theme"), words, 0.25, recall=SURE)
 
 
 def _embedded_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +142,7 @@ SELECT CAST(label AS VARCHAR) AS theme, label AS theme_order, word FROM near
 """)
 def expanded_themes(spark: SparkSession, sf: str) -> DataFrame:
     themes, vectors = _embedded_words(spark, sf)
-    return T.expand_themes(themes, vectors)
+    return T.expand_themes(themes, vectors, recall=SURE)
 
 
 @query()

@@ -22,6 +22,8 @@ THEME_WORDS = {
 NO_THEME = "Misc"
 THEME_SIMILARITY = 0.6
 THEME_MIN_LOG_PROB = -15.0
+# Chance to find a pair of vectors at the similarity bar.
+SIMILARITY_RECALL = 0.999
 TOPIC_COUNT = 5
 WORDS_PER_TOPIC = 10
 TOPIC_SEED = 42

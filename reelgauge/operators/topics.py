@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
@@ -17,12 +14,9 @@ from pyspark.sql import functions as F
 
 from reelgauge import constants as C
 from reelgauge.functions.text import tokens
+from reelgauge.operators.similarity import similar_pairs
 from reelgauge.session import settle
 
-# Seeds up to this number travel with the tasks; more are matched in blocks.
-MAX_INLINE_SEEDS = 2_000
-_BLOCK_ROWS = 20_000
-_TILE_ROWS = 1_024
 MAX_VOCABULARY = 5_000_000
 
 
@@ -195,90 +189,26 @@ def name_topics(topic_words: DataFrame, themes: DataFrame, keys: Sequence[str])
     return named.select(*keys, F.coalesce("_best", F.lit(C.NO_THEME)).alias("theme"))
 
 
-def _with_norm(vectors: DataFrame, vector_col: str) -> DataFrame:
-    """Keep vectors that have a direction."""
-    square = F.aggregate(vector_col, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
-    return vectors.where(square > 0)
-
-
 def similar_words(
     seeds: DataFrame,
     words: DataFrame,
     threshold: float = C.THEME_SIMILARITY,
     word_col: str = "word",
-    inline_limit: int = MAX_INLINE_SEEDS,
-    block_rows: int = _BLOCK_ROWS,
+    recall: float = C.SIMILARITY_RECALL,
 ) -> DataFrame:
     """(theme, word) where a word's cosine to some seed of the theme exceeds the bar.
 
-    ``seeds`` is (theme, vector) and ``words`` (word, vector). Few seeds go along
-    with each batch of words. More are cut into blocks, and each pair of blocks
-    meets in one bounded task.
+    ``seeds`` is (theme, vector) and ``words`` (word, vector), either of any size. A pair
+    at the bar is found with a probability of ``recall`` at least, closer ones with more.
     """
-    spark = seeds.sparkSession
-    seeds = _with_norm(seeds.select("theme", "vector"), "vector")
-    words = _with_norm(words.select(F.col(word_col).alias("word"), "vector"), "vector")
-    theme_type = seeds.schema["theme"].dataType.simpleString()
-    word_type = words.schema["word"].dataType.simpleString()
-    schema = f"theme {theme_type}, word {word_type}"
-
-    # Nested, so that tasks need no copy of this package. Products are made tile by
-    # tile, so a task holds tile x tile numbers whatever the blocks.
-    tile = _TILE_ROWS
-
-    def unit(vectors: pd.Series) -> np.ndarray:
-        rows = np.array(vectors.tolist(), dtype=np.float64)
-        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
-
-    def matches(themes: np.ndarray, units: np.ndarray, batch: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for at in range(0, len(batch), tile):
-            rows = unit(batch["vector"].iloc[at : at + tile])
-            words_here = batch["word"].to_numpy()[at : at + tile]
-            for to in range(0, len(units), tile):
-                row, seed = np.nonzero(rows @ units[to : to + tile].T > threshold)
-                hits = pd.DataFrame({"theme": themes[to + seed], "word": words_here[row]})
-                found.append(hits.drop_duplicates())
-        return pd.concat(found).drop_duplicates()
-
-    few = seeds.limit(inline_limit + 1).toPandas()
-    if few.empty:
-        return spark.createDataFrame([], schema)
-    if len(few) <= inline_limit:
-        shared = spark.sparkContext.broadcast((few["theme"].to_numpy(), unit(few["vector"])))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    yield matches(*shared.value, batch)
-
-        return words.mapInPandas(run, schema).distinct()
-
-    # Without copies a hash of the whole row spreads them evenly over blocks.
-    seeds, words = seeds.distinct(), words.distinct()
-    seed_blocks = math.ceil(seeds.count() / block_rows)
-    word_blocks = math.ceil(max(words.count(), 1) / block_rows)
-
-    def block_of(rows: DataFrame, count: int) -> Column:
-        return F.pmod(F.xxhash64(*rows.columns), F.lit(count)).cast("int")
-
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    cut_seeds = seeds.withColumn("_sb", block_of(seeds, seed_blocks)).withColumn(
-        "_wb", every(word_blocks)
-    )
-    cut_words = words.withColumn("_wb", block_of(words, word_blocks)).withColumn(
-        "_sb", every(seed_blocks)
+    found = similar_pairs(
+        seeds.select(F.col("theme").alias("label"), "vector"),
+        words.select(F.col(word_col).alias("label"), "vector"),
+        threshold,
+        recall,
+        C.TOPIC_SEED,
     )
-
-    def meet(_key: tuple, held: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        if held.empty or batch.empty:
-            return pd.DataFrame({"theme": held["theme"][:0], "word": batch["word"][:0]})
-        return matches(held["theme"].to_numpy(), unit(held["vector"]), batch)
-
-    paired = cut_seeds.groupBy("_wb", "_sb").cogroup(cut_words.groupBy("_wb", "_sb"))
-    return paired.applyInPandas(meet, schema).distinct()
+    return found.select(F.col("left_label").alias("theme"), F.col("right_label").alias("word"))
 
 
 def expand_themes(
@@ -286,6 +216,7 @@ def expand_themes(
     vectors: DataFrame,
     threshold: float = C.THEME_SIMILARITY,
     min_log_prob: float = C.THEME_MIN_LOG_PROB,
+    recall: float = C.SIMILARITY_RECALL,
 ) -> DataFrame:
     """Theme table grown by common lower-case words close to a seed word.
 
@@ -295,7 +226,7 @@ def expand_themes(
     word = F.col("word")
     plain = (word == F.lower(word)) & (word != F.upper(word))
     common = vectors.where(plain & (F.col("log_prob") >= min_log_prob))
-    grown = similar_words(seeds, common, threshold)
+    grown = similar_words(seeds, common, threshold, recall=recall)
     orders = themes.select("theme", "theme_order").distinct()
     return (
         grown.unionByName(themes.select("theme", "word"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from reelgauge import constants as C
+from reelgauge.operators import similarity as S
 from reelgauge.operators import topics as T
 
 
@@ -26,25 +27,53 @@ def test_topic_names(spark):
     assert {r.topic: r.theme for r in named} == {0: "conflict", 1: "love", 2: C.NO_THEME, 3: "love"}
 
 
-def test_similar_words_in_blocks_and_inline_agree_with_brute_force(spark):
-    rng = np.random.default_rng(5)
-    seeds = [(f"t{i % 4}", rng.normal(size=6).tolist()) for i in range(30)]
-    words = [(f"w{i}", rng.normal(size=6).tolist()) for i in range(200)] + [("zero", [0.0] * 6)]
-    seed_df = spark.createDataFrame(seeds + seeds[:10], "theme string, vector array<double>")
-    word_df = spark.createDataFrame(words, "word string, vector array<double>")
-
-    def cosine(a, b):
-        a, b = np.array(a), np.array(b)
-        return a @ b / np.sqrt((a @ a) * (b @ b))
-
-    expected = {
-        (theme, word) for theme, s in seeds for word, v in words if any(v) and cosine(s, v) > 0.6
-    }
-    inline = T.similar_words(seed_df, word_df)
-    blocks = T.similar_words(seed_df, word_df, inline_limit=5, block_rows=16)
-    for found in (inline, blocks):
-        rows = found.collect()
-        assert len(rows) == len(expected) and {(r.theme, r.word) for r in rows} == expected
+def unit(rows):
+    rows = np.array(rows)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("length, seed_count, word_count, threshold", [
+    (6, 30, 200, 0.6), (32, 300, 2_000, 0.6), (32, 300, 2_000, 0.25), (50, 12, 500, 0.5), (16, 40, 100, -0.2),
+])
+def test_similar_words_agree_with_brute_force(spark, length, seed_count, word_count, threshold):
+    """Seeds near some words, repeated seeds, and a word without direction."""
+    rng = np.random.default_rng(length)
+    words = rng.normal(size=(word_count, length))
+    seeds = words[rng.integers(0, word_count, seed_count)] + rng.normal(size=(seed_count, length)) * rng.uniform(0, 2.5, (seed_count, 1))
+    themes = [f"t{i % 7}" for i in range(seed_count)]
+    seed_df = spark.createDataFrame([(t, s.tolist()) for t, s in zip(themes, seeds)] * 2, "theme string, vector array<double>")
+    word_rows = [(f"w{i}", w.tolist()) for i, w in enumerate(words)]
+    odd = [("zero", [0.0] * length), ("short", [1.0]), ("none", None), ("hole", [1.0, None]), ("nan", [float("nan")] * length)]
+    word_df = spark.createDataFrame(word_rows + odd, "word string, vector array<double>")
+    row, seed = np.nonzero(unit(words) @ unit(seeds).T > threshold)
+    expected = {(themes[s], f"w{w}") for s, w in zip(seed, row)}
+    found = T.similar_words(seed_df, word_df, threshold).collect()
+    pairs = {(r.theme, r.word) for r in found}
+    assert len(found) == len(pairs) and pairs <= expected
+    assert len(pairs) >= 0.99 * len(expected) > 0
+
+
+def test_hash_plans_follow_recall_and_size():
+    for threshold in (0.25, 0.6, 0.9):
+        agree = 1 - np.arccos(threshold) / np.pi
+        bits = 0
+        for rows in (10**2, 10**4, 10**6, 10**8):
+            plan = S.hash_plan(threshold, 0.99, rows, rows)
+            assert 1 - (1 - agree**plan.bits) ** plan.tables >= 0.99
+            assert plan.bits >= bits  # longer tables ask for rarer chance meetings
+            bits = plan.bits
+    with pytest.raises(ValueError):
+        S.hash_plan(1.0, 0.99, 1, 1)
+
+
+def test_unrelated_vectors_seldom_meet(spark):
+    """Candidates are few against all pairs, with many repeats of one vector among them."""
+    rng = np.random.default_rng(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3_000, 40)))] + [(10_000 + i, [1.0] * 40) for i in range(1_000)]
+    df = spark.createDataFrame(rows, "label long, vector array<double>")
+    found = S.similar_pairs(df, df.where("label < 10001"), 0.95).collect()
+    pairs = {(r.left_label, r.right_label) for r in found}
+    assert pairs == {(i, i) for i in range(3_000)} | {(10_000 + i, 10_000) for i in range(1_000)}
 
 
 def test_theme_growth(spark):
