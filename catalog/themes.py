@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query, table
 from reelgauge.operators import topics as T
-from reelgauge.plans.script_features import script_themes
+from reelgauge.operators.title_topics import topics_by_title
+from reelgauge.plans.script_features import script_themes, shared_themes
 from reelgauge.session import settle
 
 #: Recall at which a check against all pairs expects none to be missed.
@@ -157,4 +158,60 @@ def conversation_themes(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select(
         F.col("conv_id").alias("title"), F.col("text").alias("line")
     )
+    return shared_themes(turns)
+
+
+@query()
+def themes_per_conversation(spark: SparkSession, sf: str) -> DataFrame:
+    """Topics of every conversation's own model, named and listed."""
+    turns = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("title"), F.col("text").alias("line")
+    )
     return script_themes(turns)
+
+
+def _conversation_topics(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations")
+    return topics_by_title(turns, "conv_id", "text", stop_words=STOP_WORDS)
+
+
+_OWN_VOCABULARY_SQL = f"""
+WITH lines AS (
+  SELECT conv_id, turn, {_TOKENS_SQL} AS tokens FROM conversations WHERE trim(text) <> ''),
+sizes AS (SELECT conv_id, count(*) AS n FROM lines GROUP BY conv_id),
+uses AS (
+  SELECT conv_id, word, count(*) AS docs
+  FROM (SELECT conv_id, unnest(list_distinct(tokens)) AS word FROM lines) GROUP BY ALL),
+vocabulary AS (
+  SELECT conv_id, word, count(*) OVER (PARTITION BY conv_id) AS size FROM uses JOIN sizes USING (conv_id)
+  WHERE docs >= 2 AND docs <= 0.95 * n AND word NOT IN ({', '.join(f"'{w}'" for w in STOP_WORDS)}))"""
+
+
+@query(_OWN_VOCABULARY_SQL + """
+SELECT conv_id AS title, CAST(topic AS INTEGER) AS topic, word FROM vocabulary, range(5) AS t(topic)
+WHERE size <= 10
+""")
+def short_topic_vocabularies(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a model knows ten words or fewer, every topic lists them all."""
+    found = _conversation_topics(spark, sf)
+    return found.where(F.col("vocabulary") <= 10).select("title", "topic", "word")
+
+
+@query(_OWN_VOCABULARY_SQL + """
+SELECT conv_id AS title, CAST(topic AS INTEGER) AS topic, CAST(any_value(size) AS INTEGER) AS vocabulary,
+  CAST(least(any_value(size), 10) AS BIGINT) AS words, true AS falling, any_value(size) <= 10 AS complete
+FROM vocabulary, range(5) AS t(topic) GROUP BY conv_id, topic
+""")
+def conversation_topic_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds for every topic of every conversation, whatever the fit."""
+    steps = F.transform("weights", lambda w, i: (i == 0) | (w <= F.get("weights", i - 1)))
+    total = F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w)
+    listed = _conversation_topics(spark, sf).groupBy("title", "topic", "vocabulary").agg(
+        F.count_distinct("word").alias("words"),
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "weight"))), lambda e: e["weight"]).alias("weights"),
+    )
+    return listed.select(
+        "title", "topic", "vocabulary", "words",
+        (F.forall(steps, lambda ok: ok) & (F.array_min("weights") > 0)).alias("falling"),
+        (F.abs(total - 1) < 1e-9).alias("complete"),
+    )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reelgauge import constants as C
 from reelgauge.functions.text import tokens
+from reelgauge.operators.ordering import null_safe_join
 from reelgauge.operators.similarity import similar_pairs
 from reelgauge.session import settle
 
@@ -185,7 +186,7 @@ def name_topics(topic_words: DataFrame, themes: DataFrame, keys: Sequence[str])
         .groupBy(*keys)
         .agg(F.max_by("theme", F.struct("matches", -F.col("theme_order"))).alias("_best"))
     )
-    named = topic_words.select(*keys).distinct().join(best, list(keys), "left")
+    named = null_safe_join(topic_words.select(*keys).distinct(), best, keys, "left")
     return named.select(*keys, F.coalesce("_best", F.lit(C.NO_THEME)).alias("theme"))
 
 

@@ -31,6 +31,7 @@ def film_rows(
     scorer: Scorer = score_by_lexicon,
     themes: DataFrame | None = None,
     max_chars: int | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """One film row per title that has both metadata and a script."""
     metadata = film_metadata(one_payload_per_title(payloads))
@@ -42,7 +43,7 @@ def film_rows(
         .drop("_stored", "_key").withColumnRenamed("request", "title")
     )
     scripts = values.select("title", F.col("script").alias("text"))
-    features = script_features(scripts, scorer, themes, max_chars)
+    features = script_features(scripts, scorer, themes, max_chars, vectors)
     script_columns = features.join(values.select("title", "budget"), "title").withColumnRenamed(
         "title", "request"
     )
@@ -72,7 +73,11 @@ def load_new_films(
     scorer: Scorer = score_by_lexicon,
     themes: DataFrame | None = None,
     max_chars: int | None = None,
+    vectors: DataFrame | None = None,
 ) -> None:
-    """Work out and append only the films the sink does not hold yet."""
+    """Work out and append only the films the sink does not hold yet.
+
+    ``vectors`` (word, vector, log_prob) grows the themes by words close to theirs.
+    """
     fresh = new_titles(payloads, read_film_sink(payloads.sparkSession, sink))
-    append_films(film_rows(fresh, pages, index_series, scorer, themes, max_chars), sink)
+    append_films(film_rows(fresh, pages, index_series, scorer, themes, max_chars, vectors), sink)

@@ -11,6 +11,7 @@ from reelgauge.functions.text import clean_script
 from reelgauge.operators import dialogue as D
 from reelgauge.operators import topics as T
 from reelgauge.operators.sentiment import score_by_lexicon
+from reelgauge.operators.title_topics import themes_by_own_topics, topics_by_title
 from reelgauge.session import settle
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -38,15 +39,36 @@ def script_scores(titles: DataFrame, scored: DataFrame) -> DataFrame:
     return joined.fillna(0.0, ["sentiment_shift", "lexical_diversity"])
 
 
-def script_themes(scored: DataFrame, themes: DataFrame | None = None) -> DataFrame | None:
-    """(title, named_themes, dominant_topics), None when no vocabulary is left."""
+def grown_themes(
+    scored: DataFrame, themes: DataFrame | None = None, vectors: DataFrame | None = None
+) -> DataFrame:
+    """The theme table, the fixed one by default, grown by words whose vectors are close."""
+    if themes is None:
+        themes = T.theme_table(scored.sparkSession)
+    return themes if vectors is None else settle(T.expand_themes(themes, vectors))
+
+
+def script_themes(
+    scored: DataFrame, themes: DataFrame | None = None, vectors: DataFrame | None = None
+) -> DataFrame:
+    """(title, named_themes, dominant_topics) by a topic model of each title's own.
+
+    A title without vocabulary has no row. ``vectors`` is (word, vector, log_prob).
+    """
+    words = settle(topics_by_title(scored))
+    names = T.name_topics(words, grown_themes(scored, themes, vectors), ["title", "topic"])
+    return themes_by_own_topics(words, names)
+
+
+def shared_themes(
+    scored: DataFrame, themes: DataFrame | None = None, vectors: DataFrame | None = None
+) -> DataFrame | None:
+    """The same columns by one model over all titles, None when no vocabulary is left."""
     fit = T.fit_topics(scored)
     if fit is None:
         return None
     words = settle(fit.words())
-    if themes is None:
-        themes = T.theme_table(scored.sparkSession)
-    names = T.name_topics(words, themes, ["topic"])
+    names = T.name_topics(words, grown_themes(scored, themes, vectors), ["topic"])
     return T.themes_by_title(fit.title_topics(), words, names)
 
 
@@ -55,12 +77,9 @@ def script_features(
     scorer: Scorer = score_by_lexicon,
     themes: DataFrame | None = None,
     max_chars: int | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """All script columns of the film table, one row per title with a script."""
     scored = settle(scored_dialogue(scripts, scorer, max_chars))
     scores = script_scores(scripts.where(F.col("text").isNotNull()), scored)
-    named = script_themes(scored, themes)
-    if named is None:
-        empty = F.lit(None).cast("string")
-        return scores.withColumns({"named_themes": empty, "dominant_topics": empty})
-    return scores.join(named, "title", "left")
+    return scores.join(script_themes(scored, themes, vectors), "title", "left")

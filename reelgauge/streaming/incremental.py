@@ -20,6 +20,8 @@ def stream_new_films(
     sink: str,
     progress: str,
     scorer: Scorer = score_by_lexicon,
+    themes: DataFrame | None = None,
+    vectors: DataFrame | None = None,
 ) -> StreamingQuery:
     """Load every payload file not seen before, then stop.
 
@@ -28,7 +30,7 @@ def stream_new_films(
     """
 
     def load(batch: DataFrame, _batch_id: int) -> None:
-        load_new_films(batch, pages, index_series, sink, scorer)
+        load_new_films(batch, pages, index_series, sink, scorer, themes, vectors=vectors)
 
     payloads = spark.readStream.schema(PAYLOAD_FILES).json(payload_folder)
     return (

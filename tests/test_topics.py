@@ -5,7 +5,9 @@ import pytest
 
 from reelgauge import constants as C
 from reelgauge.operators import similarity as S
+from reelgauge.operators import title_topics as O
 from reelgauge.operators import topics as T
+from reelgauge.plans.script_features import script_themes
 
 
 def test_vocabulary_bounds(spark):
@@ -103,3 +105,58 @@ def test_topic_model_tables(spark):
 def test_no_vocabulary_means_no_topics(spark):
     lines = spark.createDataFrame([("a", "one two"), ("a", "three four")], "title string, line string")
     assert T.fit_topics(lines) is None
+
+
+def test_digamma_and_variational_fit():
+    x = np.array([0.01, 0.5, 1.0, 2.0, 10.0, 1e6])
+    known = [-100.56088545786867, -1.9635100260214235, -0.5772156649015329, 0.42278433509846713, 2.251752589066721, 13.815510057964191]
+    assert O.digamma(x) == pytest.approx(known, rel=1e-9)
+    # Lines of two kinds of words: each topic keeps to one kind.
+    line = np.repeat(np.arange(20), 3)
+    word = np.array([(w + 3 * (d % 2)) for d in range(20) for w in range(3)])
+    weights = O.fit_counts(line, word, np.full(60, 2), 6, 2, 10, 42)
+    shares = weights / weights.sum(axis=1, keepdims=True)
+    first = shares[:, :3].sum(axis=1)
+    assert sorted(first) == pytest.approx([0, 1], abs=0.1)
+    assert weights.sum() == pytest.approx(120 + 12 * 0.5)  # every use and the prior
+
+
+TITLES = (
+    [("sea", f"storm wave sail {w}") for w in ("harbor wave", "wave", "deck", "harbor")]
+    + [("bake", f"bread oven {w}") for w in ("flour", "flour sugar", "sugar", "salt")]
+    + [(None, "lost letter"), (None, "lost letter again"), (None, "no title"), ("mute", " "), ("mute", None), ("lone", "only one line")]
+)
+
+
+def test_every_title_has_topics_of_its_own(spark):
+    lines = spark.createDataFrame(TITLES, "title string, line string").repartition(3)
+    found = O.topics_by_title(lines, topics=2, count=3, stop_words=["again"]).collect()
+    by_title = {}
+    for row in found:
+        by_title.setdefault(row.title, []).append(row)
+    # "storm", "wave" and "sail" are in every line, so too common; "deck" is in one.
+    assert {t: {r.word for r in rows} for t, rows in by_title.items()} == {
+        "sea": {"harbor"}, "bake": {"flour", "sugar"}, None: {"letter", "lost"}}
+    for rows in by_title.values():
+        for topic in (0, 1):
+            weights = [r.weight for r in sorted(rows, key=lambda r: r["rank"]) if r.topic == topic]
+            assert sum(weights) == pytest.approx(1) and weights == sorted(weights, reverse=True)
+    again = O.topics_by_title(lines.repartition(7), topics=2, count=3, stop_words=["again"]).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+    assert O.topics_by_title(lines.limit(0)).count() == 0
+
+
+def test_large_titles_take_the_distributed_fit(spark):
+    lines = spark.createDataFrame(TITLES, "title string, line string")
+    found = O.topics_by_title(lines, topics=2, count=3, stop_words=["again"], max_tokens=10).collect()
+    words = {(r.title, r.word, r.vocabulary) for r in found}
+    assert words == {("sea", "harbor", 1), ("bake", "flour", 2), ("bake", "sugar", 2), (None, "lost", 2), (None, "letter", 2)}
+
+
+def test_whole_number_titles_keep_their_type(spark):
+    lines = spark.createDataFrame([(1, "a red fox"), (1, "red fox runs"), (1, "other"), (None, "x")], "title long, line string")
+    found = O.topics_by_title(lines, topics=2)
+    assert found.schema["title"].dataType.simpleString() == "bigint"
+    assert {(r.title, r.word) for r in found.collect()} == {(1, "red"), (1, "fox")}
+    named = script_themes(lines, T.theme_table(spark, {"animals": ["fox"]})).collect()
+    assert [(r.title, r.named_themes) for r in named] == [(1, "; ".join(["animals"] * 5))]
