@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalog.films import CLEAN_FILMS_SQL, FEATURES_SQL, is_award, raw_films, trimmed_films
 from catalog.registry import query, rounded, table
 from reelgauge.operators import binning, stats
+from reelgauge.operators.ordering import exact_quantiles
 from reelgauge.operators.regression import cross_products
 from reelgauge.plans.film_analysis import (
     adjusted_scores,
@@ -87,7 +88,7 @@ def price_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
     shares = {"low": 0.05, "high": 0.95}
     return rounded(
-        stats.exact_quantiles(lines, "l_extendedprice", shares, ["l_returnflag"]), 4
+        exact_quantiles(lines, "l_extendedprice", shares, ["l_returnflag"]), 4
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgauge.constants import SIGNIFICANCE, TRIM_QUANTILES
-from reelgauge.operators.ordering import exact_quantiles, null_safe_join
+from reelgauge.operators.ordering import null_safe_join, quantiles
 from reelgauge.probability import t_two_sided
 
 
@@ -52,13 +52,16 @@ def group_gap(df: DataFrame, flag_col: str, *value_cols: str) -> DataFrame:
 
 
 def trim_outliers(
-    df: DataFrame, value_col: str, shares: tuple[float, float] = TRIM_QUANTILES
+    df: DataFrame,
+    value_col: str,
+    shares: tuple[float, float] = TRIM_QUANTILES,
+    rank_error: float | None = None,
 ) -> DataFrame:
     """Rows whose value lies between two quantiles, both included.
 
-    The two limits are worked out at once.
+    The two limits are worked out at once; with a ``rank_error`` from sketches.
     """
-    limits = exact_quantiles(df, value_col, {"low": shares[0], "high": shares[1]}).first()
+    limits = quantiles(df, value_col, {"low": shares[0], "high": shares[1]}, (), rank_error).first()
     return df.where(F.col(value_col).between(F.lit(limits.low), F.lit(limits.high)))
 
 
@@ -156,10 +159,15 @@ def welch_test(
     return df.sparkSession.createDataFrame([(*row, p_value, significant)], schema)
 
 
-def box_summary(df: DataFrame, key_col: str, value_col: str) -> DataFrame:
-    """Per group: quartiles, whisker ends inside 1.5 IQR fences, outlier count."""
-    quarters = exact_quantiles(
-        df, value_col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [key_col]
+def box_summary(
+    df: DataFrame, key_col: str, value_col: str, rank_error: float | None = None
+) -> DataFrame:
+    """Per group: quartiles, whisker ends inside 1.5 IQR fences, outlier count.
+
+    With a ``rank_error`` the quartiles come from sketches; what they fence is exact.
+    """
+    quarters = quantiles(
+        df, value_col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [key_col], rank_error
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fenced = null_safe_join(
