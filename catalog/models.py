@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.films import FEATURES_SQL, ols_sql
+from catalog.films import FEATURES_SQL, is_award, ols_sql, raw_films
 from catalog.ingest import order_pages, order_payloads
 from catalog.registry import query, rounded, table
-from catalog.statistics import features
+from catalog.statistics import features, sql_t_tail
+from reelgauge import schemas
+from reelgauge.constants import INDEX_BASE_YEAR
 from reelgauge.operators.ordering import successive_differences
 from reelgauge.operators.regression import OlsFit, fit_ols
 from reelgauge.plans import film_analysis as P
 from reelgauge.plans.ingest import film_rows
 from reelgauge.session import settle
+from reelgauge.sources.films import clean_films, schema_report
 
 
 def _coefficients_sql(label: str, names: list[str]) -> str:
@@ -50,6 +55,64 @@ def rating_regression(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _K = len(P.ADJUSTED_FEATURES)
+_ERROR_SQL = f"sqrt(rss / (n - {_K + 1}) * d{{0}})"
+
+
+@query(f"""{FEATURES_SQL},
+{ols_sql('features', 'log_box_office', list(P.ADJUSTED_FEATURES))},
+ratios AS (
+  SELECT unnest([{', '.join(f"'{term}'" for term in ['const', *P.ADJUSTED_FEATURES])}]) AS term,
+    unnest([{', '.join(f"b{i} / {_ERROR_SQL.format(i)}" for i in range(_K + 1))}]) AS t,
+    (n - {_K + 1})::DOUBLE AS v FROM solved, residuals)
+SELECT term, round({sql_t_tail('t', 'v')}, 6) + 0.0 AS p_value FROM ratios
+""")
+def box_office_p_values(spark: SparkSession, sf: str) -> DataFrame:
+    fit = fit_ols(settle(features(spark, sf)), "log_box_office", P.ADJUSTED_FEATURES)
+    return rounded(fit.coefficients().select("term", "p_value"))
+
+
+_RATING = ("1.0", *P.RATING_FEATURES)
+
+
+# The tail of F with 2 degrees above has a closed form; so have the roots of a cubic, which
+# are the eigenvalues of the three columns' products.
+@query(f"""{FEATURES_SQL},
+{ols_sql('features', 'rt_pct', list(P.RATING_FEATURES))},
+facts AS (
+  SELECT n, ((tss - rss) / 2) / (rss / (n - 3)) AS f, m3 / n / pow(rss / n, 1.5) AS skew,
+    m4 / n / pow(rss / n, 2) AS kurt, rss FROM residuals),
+steps AS (
+  SELECT e - lag(e) OVER (ORDER BY k) AS d
+  FROM (SELECT rt_pct - fit AS e, CAST(regexp_extract(title, '[0-9]+$') AS BIGINT) AS k FROM fitted)),
+m AS (
+  SELECT {', '.join(f"sum({a} * {b}) AS m{i}{j}" for i, a in enumerate(_RATING) for j, b in enumerate(_RATING) if j >= i)}
+  FROM features),
+centred AS (SELECT *, (m00 + m11 + m22) / 3 AS q FROM m),
+scaled AS (
+  SELECT *, sqrt((pow(m00 - q, 2) + pow(m11 - q, 2) + pow(m22 - q, 2)
+    + 2 * (m01 * m01 + m02 * m02 + m12 * m12)) / 6) AS p FROM centred),
+angled AS (
+  SELECT q, p, acos(greatest(-1, least(1, (
+    (m00 - q) * ((m11 - q) * (m22 - q) - m12 * m12) - m01 * (m01 * (m22 - q) - m12 * m02)
+      + m02 * (m01 * m12 - (m11 - q) * m02)) / (2 * pow(p, 3))))) / 3 AS phi FROM scaled),
+roots AS (SELECT q + 2 * p * cos(phi) AS high, q + 2 * p * cos(phi + 2 * pi() / 3) AS low FROM angled)
+SELECT n AS rows, round(pow(1 + 2 * f / (n - 3), -(n - 3) / 2.0), 6) + 0.0 AS f_p_value,
+  round(exp(-n / 12 * (skew * skew + pow(kurt - 3, 2) / 4)), 6) + 0.0 AS jarque_bera_p_value,
+  round((SELECT sum(d * d) FROM steps) / rss, 6) AS durbin_watson,
+  round(sqrt(high / low), 3) AS condition_number, false AS collinear
+FROM facts, roots
+""")
+def rating_fit_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Tails, row order and condition of the rating regression."""
+    keyed = settle(features(spark, sf)).withColumn(
+        "key", F.regexp_extract("title", "[0-9]+$", 0).cast("long")
+    )
+    found = fit_ols(keyed, "rt_pct", P.RATING_FEATURES).summary("key")
+    columns = ["f_p_value", "jarque_bera_p_value", "durbin_watson"]
+    return found.select(
+        "rows", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in columns],
+        F.round("condition_number", 3).alias("condition_number"), "collinear",
+    )
 
 
 @query(f"""{FEATURES_SQL},
@@ -171,11 +234,86 @@ def perfect_prediction_line(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(P.perfect_prediction_line(features(spark, sf)))
 
 
-@query()
-def ingested_films(spark: SparkSession, sf: str) -> DataFrame:
-    """Film rows from stored responses, pages and an index series of all orders."""
+_FILM_VALUES = (
+    "title", "release_date", "box_office_raw", "box_office_adj", "imdb_rating", "rt_score_raw",
+    "cast", "director", "budget", "total_star_power", "sentiment_shift", "arc1_raw", "arc2_raw",
+    "arc3_raw", "lexical_diversity", "indie_quality_score",
+)
+
+
+def _ingested(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     series = orders.select(
         F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").alias("value")
     )
     return film_rows(order_payloads(spark, sf), order_pages(spark, sf), series)
+
+
+@query()
+def ingested_films(spark: SparkSession, sf: str) -> DataFrame:
+    """Film rows from stored responses, pages and an index series of all orders."""
+    return _ingested(spark, sf)
+
+
+# Each script is the order's priority, said by one character, or by two where it reads as a
+# cue: a score, by no word of the lexicon, is a half, all of it in the last third.
+@query("""
+WITH index_means AS (SELECT year(o_orderdate) AS y, avg(o_totalprice) AS mean FROM orders GROUP BY 1),
+films AS (
+  SELECT *, CASE WHEN o_orderpriority <> '5-LOW' THEN strftime(o_orderdate, '%d %b %Y') END AS released,
+    CASE WHEN o_orderpriority <> '2-HIGH' THEN round(o_totalprice / 50000, 1) END AS imdb,
+    CASE WHEN o_orderpriority <> '1-URGENT' THEN round(o_totalprice / 5000) END AS critics,
+    CASE WHEN o_orderpriority <> '5-LOW' THEN
+      round((SELECT mean FROM index_means WHERE y = BASE) / (SELECT mean FROM index_means WHERE y = year(o_orderdate)), 4)
+    END AS multiplier
+  FROM orders WHERE o_orderstatus <> 'F')
+SELECT 'Order ' || o_orderkey AS title, released AS release_date,
+  '$' || format('{:,.2f}', o_totalprice) AS box_office_raw,
+  round(round(o_totalprice * coalesce(multiplier, 1.0), 6)::DECIMAL(18, 6), 2)::DOUBLE AS box_office_adj,
+  imdb AS imdb_rating, CAST(critics AS INTEGER) || '%' AS rt_score_raw, 'Ann Lee, Bo Ray' AS "cast",
+  CAST(NULL AS VARCHAR) AS director, nullif(o_totalprice, 0) AS budget,
+  round((coalesce(imdb, 0) + coalesce(critics / 10, 0)) * 1.5, 6) + 0.0 AS total_star_power,
+  0.5::DOUBLE AS sentiment_shift, 'MARY: 0.0' AS arc1_raw,
+  CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'NOT: 0.0' END AS arc2_raw,
+  CAST(NULL AS VARCHAR) AS arc3_raw, 1.0::DOUBLE AS lexical_diversity,
+  round(round(1.5 / ln(o_totalprice + 1), 4), 6) AS indie_quality_score
+FROM films
+""".replace("BASE", str(INDEX_BASE_YEAR)))
+def ingested_film_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every column of the loaded films but the map and the topic texts."""
+    return rounded(_ingested(spark, sf).select(*_FILM_VALUES))
+
+
+_COUNTED = {
+    "lexical_bins": "3", "middle_bin_titles": "middle", "middle_bin_mean": "1", "features": "films",
+    "award_gap": "2", "box_office_by_sentiment": "3", "rating_by_lexical": "3",
+    "box_office_coefficients": "6", "box_office_summary": "1", "predictor_correlations": "9",
+    "arc_test": "1", "arc_boxes": "2", "commercial_coefficients": "6", "commercial_summary": "1",
+    "valued": "films", "top_report": "10", "scaled_scores": "films", "prediction_line": "2",
+    "ranked": "films", "score_correlations": "9", "sentiment_line": "1", "lexical_line": "1",
+    "rating_coefficients": "3", "rating_summary": "1",
+}
+
+
+@query(FEATURES_SQL + """,
+sizes AS (
+  SELECT (SELECT count(*) FROM features) AS films,
+    (SELECT count(*) FROM trimmed WHERE lexical_adjusted > 0.333 AND lexical_adjusted <= 0.667) AS middle)
+""" + " UNION ALL ".join(
+    f"SELECT '{name}' AS name, CAST({rows} AS BIGINT) AS rows FROM sizes" for name, rows in _COUNTED.items()
+))
+def film_analysis_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole analysis at once: every table of it with its rows."""
+    found = P.analyse_films(raw_films(spark, sf), is_award())
+    counts = [rows.select(F.lit(name).alias("name")) for name, rows in found.items()]
+    together = reduce(DataFrame.unionByName, counts)
+    return together.groupBy("name").agg(F.count("*").alias("rows"))
+
+
+@query(" UNION ALL ".join(
+    f"SELECT {i}::INTEGER AS position, '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS data_type"
+    for i, f in enumerate(schemas.FILM.fields)
+))
+def film_schema(spark: SparkSession, sf: str) -> DataFrame:
+    """Names and types of the cleaned film table's columns."""
+    return schema_report(clean_films(raw_films(spark, sf)).select(*schemas.FILM_COLUMNS))

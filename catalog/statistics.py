@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog.films import CLEAN_FILMS_SQL, FEATURES_SQL, is_award, raw_films, trimmed_films
 from catalog.registry import query, rounded, table
 from reelgauge.operators import binning, stats
-from reelgauge.operators.ordering import exact_quantiles
+from reelgauge.operators.ordering import exact_quantiles, sketched_quantiles
 from reelgauge.operators.regression import cross_products
 from reelgauge.plans.film_analysis import (
     adjusted_scores,
@@ -173,6 +173,36 @@ def arc_welch_statistic(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found).withColumn("degrees_of_freedom", F.round("degrees_of_freedom", 4))
 
 
+def sql_t_tail(t: str, v: str) -> str:
+    """Two-sided tail of t: 1 less the density's integral over it, by Simpson's rule."""
+    return f"""(1 - 2 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt({v} * pi()) * abs({t}) / 2000 / 3
+    * list_sum(list_transform(generate_series(0, 2000), lambda i:
+      (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+        * pow(1 + pow(i * abs({t}) / 2000, 2) / {v}, -({v} + 1) / 2))))"""
+
+
+@query(f"""
+WITH sides AS (
+  SELECT o_orderpriority, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n0,
+    avg(o_totalprice) FILTER (f) AS m1, avg(o_totalprice) FILTER (NOT f) AS m0,
+    var_samp(o_totalprice) FILTER (f) / n1 AS s1, var_samp(o_totalprice) FILTER (NOT f) / n0 AS s0
+  FROM (SELECT *, o_orderstatus = 'F' AS f FROM orders) GROUP BY 1),
+welch AS (
+  SELECT *, (m1 - m0) / sqrt(s1 + s0) AS t,
+    pow(s1 + s0, 2) / (s1 * s1 / (n1 - 1) + s0 * s0 / (n0 - 1)) AS v FROM sides),
+tail AS (SELECT *, {sql_t_tail('t', 'v')} AS p FROM welch)
+SELECT o_orderpriority, n1 AS flagged_n, n0 AS other_n, round(t, 6) + 0.0 AS t_statistic,
+  round(v, 3) AS degrees_of_freedom, round(p, 6) + 0.0 AS p_value, p < 0.05 AS significant FROM tail
+""")
+def price_tests_by_priority(spark: SparkSession, sf: str) -> DataFrame:
+    """A test of shipped against other orders within every priority."""
+    orders = table(spark, sf, "orders").withColumn("shipped", F.col("o_orderstatus") == "F")
+    found = stats.welch_test(orders, "shipped", "o_totalprice", keys=["o_orderpriority"])
+    return rounded(found.drop("flagged_mean", "other_mean")).withColumn(
+        "degrees_of_freedom", F.round("degrees_of_freedom", 3)
+    )
+
+
 # The tail is 1 less the density's integral from -|t| to |t|, by Simpson's rule.
 @query(_WELCH_SIDES_SQL + """,
 welch AS (
@@ -237,3 +267,68 @@ SELECT 'l_discount', 'l_discount', round(sum(l_discount * l_discount), 4) FROM t
 def line_cross_products(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem")
     return rounded(cross_products(lines, ["l_quantity", "l_discount"]), 4)
+
+
+RANK_ERROR = 0.002
+
+
+@query("""
+SELECT l_returnflag, share, true AS near
+FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES (0.05::DOUBLE), (0.5), (0.95)) AS t(share)
+""")
+def sketched_price_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the ranks of sketched quantiles are as near as promised."""
+    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
+    shares = {"low": 0.05, "mid": 0.5, "high": 0.95}
+    found = sketched_quantiles(lines, "l_extendedprice", shares, ["l_returnflag"], RANK_ERROR)
+    price, n = F.col("l_extendedprice"), F.count("*")
+    ranked = lines.join(F.broadcast(found), "l_returnflag").groupBy("l_returnflag").agg(F.array(*[
+        F.struct(
+            F.lit(share).alias("share"),
+            (
+                (F.count_if(price < F.col(name)) <= n * (share + RANK_ERROR) + 1)
+                & (F.count_if(price <= F.col(name)) >= n * (share - RANK_ERROR) - 1)
+            ).alias("near"),
+        )
+        for name, share in shares.items()
+    ]).alias("ranks"))
+    return ranked.select("l_returnflag", F.inline("ranks"))
+
+
+_BAND_POINTS, _BAND_SAMPLES = 5, 40
+_LIMITS = ", ".join(map(str, stats.poisson_limits()))
+
+
+@query(f"""
+WITH digests AS (
+  SELECT l_quantity AS x, l_extendedprice AS y, i,
+    md5(l_orderkey || ':' || l_linenumber || '/' || i) AS digest
+  FROM lineitem, range({_BAND_SAMPLES // 8}) AS t(i)),
+draws AS (
+  SELECT x, y, i * 8 + j AS replicate, CAST('0x' || substr(digest, 4 * j + 1, 4) AS INTEGER) AS draw
+  FROM digests, range(8) AS u(j)),
+weights AS (
+  SELECT x, y, replicate, len(list_filter([{_LIMITS}], lambda top: top <= draw)) AS w FROM draws),
+sums AS (
+  SELECT replicate, sum(w)::DOUBLE AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx,
+    sum(w * x * y) AS sxy FROM weights GROUP BY replicate),
+lines AS (
+  SELECT (sxy - sx * sy / n) / (sxx - sx * sx / n) AS slope,
+    (sy - (sxy - sx * sy / n) / (sxx - sx * sx / n) * sx) / n AS intercept FROM sums),
+fit AS (
+  SELECT regr_slope(l_extendedprice, l_quantity) AS slope,
+    regr_intercept(l_extendedprice, l_quantity) AS intercept, min(l_quantity) AS lo, max(l_quantity) AS hi
+  FROM lineitem),
+grid AS (SELECT lo + k * (hi - lo) / {_BAND_POINTS - 1} AS x FROM fit, range({_BAND_POINTS}) AS t(k))
+SELECT round(x, 4) + 0.0 AS x, round(any_value(fit.slope * x + fit.intercept), 4) AS fitted,
+  round(quantile_cont(lines.slope * x + lines.intercept, 0.025), 4) AS low,
+  round(quantile_cont(lines.slope * x + lines.intercept, 0.975), 4) AS high
+FROM grid, lines, fit GROUP BY x
+""")
+def price_line_band(spark: SparkSession, sf: str) -> DataFrame:
+    """The band of the price line from bootstrap samples that keys decide."""
+    lines = table(spark, sf, "lineitem")
+    keys = ["l_orderkey", "l_linenumber"]
+    return rounded(stats.regression_band(
+        lines, "l_quantity", "l_extendedprice", keys, _BAND_POINTS, _BAND_SAMPLES
+    ), 4)

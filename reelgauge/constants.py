@@ -71,6 +71,7 @@ IQ_WEIGHTS = {"sentiment": 0.3, "lexical": 0.2, "arc": 0.5}
 LEXICAL_EDGES = (0.0, 0.333, 0.667, 1.0)
 TRIM_QUANTILES = (0.05, 0.95)
 SIGNIFICANCE = 0.05
+BAND_LEVEL = 0.95
 
 # Verdict texts and thresholds.
 MONEY_THRESHOLD = 0.5

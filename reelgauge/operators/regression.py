@@ -6,18 +6,15 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.errors import UnsupportedOperationException
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelgauge.operators.factorise import LeastSquares, triangular_factor
 from reelgauge.operators.ordering import successive_differences
 from reelgauge.probability import chi_square_tail_2, f_tail, t_two_sided
 
 INTERCEPT = "const"
-# Above this condition number of XᵀX the coefficients are not to be trusted.
+# Above this condition number of XᵀX, the square of X's, the coefficients are not to be trusted.
 COLLINEAR = 1e13
 
 
@@ -37,27 +34,25 @@ def cross_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one_row.select(F.inline(F.array(*entries)))
 
 
-def _condition(products: list[Row], names: Sequence[str]) -> float:
-    place = {name: i for i, name in enumerate(names)}
-    matrix = np.zeros((len(names), len(names)))
-    for x, y, total in products:
-        matrix[place[x], place[y]] = matrix[place[y], place[x]] = total
-    return float(np.linalg.cond(matrix))
-
-
 @dataclass
 class OlsFit:
-    """A fitted linear model and the rows it was fitted on."""
+    """A fitted linear model and the rows it was fitted on.
+
+    Collinear columns share their effect: of all solutions this is the one of least norm.
+    """
 
-    model: LinearRegressionModel
+    solution: LeastSquares
     label: str
     features: list[str]
     rows: DataFrame
 
     @property
     def terms(self) -> dict[str, float]:
-        named = zip(self.features, self.model.coefficients.toArray().tolist(), strict=True)
-        return {INTERCEPT: float(self.model.intercept)} | dict(named)
+        return dict(zip([INTERCEPT, *self.features], self.solution.values.tolist(), strict=True))
+
+    @property
+    def collinear(self) -> bool:
+        return not self.solution.condition**2 < COLLINEAR
 
     def prediction(self) -> Column:
         """Fitted value as plain column arithmetic; NULL where a feature is."""
@@ -71,12 +66,8 @@ class OlsFit:
 
     def coefficients(self) -> DataFrame:
         """(term, coefficient, std_error, t_value, p_value), intercept first."""
-        freedom = self.model.summary.degreesOfFreedom
-        try:
-            *errors, first = self.model.summary.coefficientStandardErrors
-            errors = [first, *errors]
-        except UnsupportedOperationException:  # singular normal equations have no errors
-            errors = [None] * (len(self.features) + 1)
+        freedom, errors = self.solution.freedom, self.solution.errors
+        errors = [None] * len(self.terms) if errors is None else errors.tolist()
         table = []
         for (term, value), error in zip(self.terms.items(), errors, strict=True):
             t_value = value / error if error else None
@@ -95,11 +86,13 @@ class OlsFit:
             (F.var_pop(y) * F.count("*")).alias("tss"),
             *[F.sum(F.pow(residual, F.lit(p))).alias(f"m{p}") for p in (2, 3, 4)],
         ).first()
-        n, rss, tss, k = moments.n, moments.m2, moments.tss, len(self.features)
+        n, rss, tss = moments.n, moments.m2 or 0.0, moments.tss
+        # A collinear column explains nothing of its own.
+        k = self.solution.rank - 1
         freedom = n - k - 1
         r2 = 1 - rss / tss if tss else None
         f_value = p_value = log_likelihood = skew = kurtosis = bera = None
-        if r2 is not None and freedom > 0 and rss > 0:
+        if r2 is not None and freedom > 0 and rss > 0 and k > 0:
             f_value = (tss - rss) / k / (rss / freedom)
             p_value = f_tail(f_value, k, freedom)
         if rss > 0:
@@ -111,10 +104,7 @@ class OlsFit:
         if order_col is not None and rss > 0:
             steps = successive_differences(with_residual, [], order_col, "_residual").first()
             watson = steps.square_sum / rss
-        # The scale of statsmodels: the square root of XᵀX's condition.
-        condition = _condition(
-            cross_products(self.rows, self.features).collect(), [INTERCEPT, *self.features]
-        )
+        condition = self.solution.condition
         values = {
             "rows": n,
             "r2": r2,
@@ -129,8 +119,8 @@ class OlsFit:
             "jarque_bera": bera,
             "jarque_bera_p_value": None if bera is None else chi_square_tail_2(bera),
             "durbin_watson": watson,
-            "condition_number": math.sqrt(condition) if math.isfinite(condition) else None,
-            "collinear": not condition < COLLINEAR,
+            "condition_number": condition if math.isfinite(condition) else None,
+            "collinear": self.collinear,
         }
         kinds = {"rows": "long", "collinear": "boolean"}
         schema = ", ".join(f"{name} {kinds.get(name, 'double')}" for name in values)
@@ -141,9 +131,4 @@ def fit_ols(df: DataFrame, label: str, features: Sequence[str]) -> OlsFit:
     """Least squares with an intercept over the rows complete in all columns."""
     features = list(features)
     rows = df.na.drop(subset=[label, *features])
-    assembler = VectorAssembler(inputCols=features, outputCol="_features")
-    vectors = assembler.transform(rows).select("_features", F.col(label).cast("double"))
-    solver = LinearRegression(
-        featuresCol="_features", labelCol=label, solver="normal", regParam=0.0
-    )
-    return OlsFit(solver.fit(vectors), label, features, rows)
+    return OlsFit(LeastSquares(*triangular_factor(rows, [*features, label])), label, features, rows)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgauge.session import settle
+from reelgauge.shipping import ship_package
 
 #: Bits of the signature, and the share of missed pairs that is left to it.
 SIGNATURE_BITS = 256
@@ -138,6 +139,7 @@ def similar_pairs(
     Vectors that are null, zero or hold a missing or non-finite number have no direction
     and match nothing; so do vectors of different lengths.
     """
+    ship_package(left.sparkSession)
     a, b = _numbered(left, "vector"), _numbered(right, "vector")
     plan = hash_plan(threshold, recall, max(a.count(), 1), max(b.count(), 1))
     a, b = (settle(_with_codes(rows, plan, seed)) for rows in (a, b))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgauge.constants import SIGNIFICANCE, TRIM_QUANTILES
+from reelgauge.constants import BAND_LEVEL, SIGNIFICANCE, TRIM_QUANTILES
+from reelgauge.functions.tails import t_two_sided
 from reelgauge.operators.ordering import null_safe_join, quantiles
-from reelgauge.probability import t_two_sided
+from reelgauge.shipping import ship_package
 
 
 def bounds(df: DataFrame, *columns: str) -> dict[str, tuple[float | None, float | None]]:
@@ -118,8 +122,10 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one_row.select(F.inline(F.array(*entries)))
 
 
-def welch_statistic(df: DataFrame, flag_col: str, value_col: str) -> DataFrame:
-    """Two-sample t statistic and its degrees of freedom, unequal variances."""
+def welch_statistic(
+    df: DataFrame, flag_col: str, value_col: str, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Per group: two-sample t statistic and its degrees of freedom, unequal variances."""
     sides = {"flagged": F.col(flag_col), "other": ~F.col(flag_col)}
     moments = [
         moment(F.when(side, F.col(value_col))).alias(f"{name}_{suffix}")
@@ -133,7 +139,8 @@ def welch_statistic(df: DataFrame, flag_col: str, value_col: str) -> DataFrame:
         F.try_divide(a * a, F.col("flagged_n") - 1) + F.try_divide(b * b, F.col("other_n") - 1),
     )
     gap = F.col("flagged_mean") - F.col("other_mean")
-    return df.agg(*moments).select(
+    return df.groupBy(*keys).agg(*moments).select(
+        *keys,
         "flagged_n",
         "other_n",
         "flagged_mean",
@@ -144,19 +151,21 @@ def welch_statistic(df: DataFrame, flag_col: str, value_col: str) -> DataFrame:
 
 
 def welch_test(
-    df: DataFrame, flag_col: str, value_col: str, level: float = SIGNIFICANCE
+    df: DataFrame,
+    flag_col: str,
+    value_col: str,
+    level: float = SIGNIFICANCE,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """``welch_statistic`` with its two-sided p-value and verdict.
+    """Per group: ``welch_statistic`` with its two-sided p-value and verdict.
 
-    Runs the aggregate at once: the tail probability is worked out from its
-    single row.
+    One aggregate; the tail is worked out in columns of its rows.
     """
-    row = welch_statistic(df, flag_col, value_col).first()
-    p_value = t_two_sided(row["t_statistic"], row["degrees_of_freedom"])
-    significant = p_value is not None and p_value < level
-    schema = "flagged_n long, other_n long, flagged_mean double, other_mean double, " \
-        "t_statistic double, degrees_of_freedom double, p_value double, significant boolean"
-    return df.sparkSession.createDataFrame([(*row, p_value, significant)], schema)
+    tested = welch_statistic(df, flag_col, value_col, keys)
+    p_value = t_two_sided(F.col("t_statistic"), F.col("degrees_of_freedom"))
+    return tested.withColumn("p_value", p_value).withColumn(
+        "significant", F.coalesce(F.col("p_value") < level, F.lit(False))
+    )
 
 
 def box_summary(
@@ -190,3 +199,104 @@ def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:
         F.regr_r2(y, x).alias("r2"),
         F.regr_count(y, x).alias("rows"),
     )
+
+
+#: Weights drawn from one digest, each from 16 of its 128 bits.
+_DRAWS = 8
+_MOMENTS = ("rows", "sum_x", "sum_y", "sum_xx", "sum_xy", "sum_yy")
+
+
+def poisson_limits() -> list[int]:
+    """Upper ends of the 16-bit draws that give weights 0, 1, 2, ... of a Poisson(1)."""
+    limits, share, total = [], math.exp(-1), 0.0
+    for weight in range(1, 10):
+        total += share
+        limits.append(round(total * 65_536))
+        share /= weight
+    return limits
+
+
+def bootstrap_moments(
+    df: DataFrame, x: str, y: str, key_cols: Sequence[str], replicates: int = 200
+) -> DataFrame:
+    """(replicate, rows, sum_x, ...): moments of Poisson bootstrap samples, in one pass.
+
+    A row's key alone decides how often it is in each sample, so reruns and other
+    partitionings agree. A task sends one row a replicate. Rows that miss x, y or a part
+    of the key are in no sample.
+    """
+    ship_package(df.sparkSession)
+    blocks = -(-replicates // _DRAWS)
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in key_cols])
+    digests = [F.unhex(F.md5(F.concat_ws("/", key, F.lit(str(i)))).cast("string")) for i in range(blocks)]
+    limits = np.array(poisson_limits())
+    drawn = df.na.drop(subset=[x, y, *key_cols]).select(
+        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.concat(*digests).alias("draws")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((blocks * _DRAWS, len(_MOMENTS)))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (batch.column(i).to_numpy() for i in (0, 1))
+            bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u2").reshape(len(a), -1)
+            weight = np.searchsorted(limits, bits.ravel(), "right").reshape(bits.shape).astype(np.float64)
+            total += weight.T @ np.column_stack([np.ones(len(a)), a, b, a * a, a * b, b * b])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(replicates), pa.int32()), *(pa.array(column) for column in total[:replicates].T)],
+            ["replicate", *_MOMENTS],
+        )
+
+    kinds = ", ".join(f"{name} double" for name in _MOMENTS)
+    found = drawn.mapInArrow(run, f"replicate int, {kinds}")
+    return found.groupBy("replicate").agg(*[F.sum(name).alias(name) for name in _MOMENTS])
+
+
+def bootstrap_lines(
+    df: DataFrame, x: str, y: str, key_cols: Sequence[str], replicates: int = 200
+) -> DataFrame:
+    """(replicate, slope, intercept) of y on x; NULL where a sample's x does not vary."""
+    moments = bootstrap_moments(df, x, y, key_cols, replicates)
+    spread = F.col("sum_xx") - F.try_divide(F.col("sum_x") * F.col("sum_x"), "rows")
+    joint = F.col("sum_xy") - F.try_divide(F.col("sum_x") * F.col("sum_y"), "rows")
+    # Sums of equal x leave rounding, not spread.
+    varied = spread > 1e-12 * F.col("sum_xx")
+    return moments.withColumn("slope", F.when(varied, F.try_divide(joint, spread))).select(
+        "replicate",
+        "slope",
+        F.try_divide(F.col("sum_y") - F.col("slope") * F.col("sum_x"), "rows").alias("intercept"),
+    )
+
+
+def regression_band(
+    df: DataFrame,
+    x: str,
+    y: str,
+    key_cols: Sequence[str],
+    points: int = 100,
+    replicates: int = 200,
+    level: float = BAND_LEVEL,
+) -> DataFrame:
+    """(x, fitted, low, high): the line of y on x and its bootstrap band on a grid.
+
+    The grid spans the x of rows that have y too. Lines times points, both parameters,
+    bound what is ranked.
+    """
+    complete = df.na.drop(subset=[x, y])
+    low, high = bounds(complete, x)[x]
+    line = regression_line(complete, x, y).first()
+    lines = bootstrap_lines(df, x, y, key_cols, replicates)
+    if low is None:
+        return lines.select(*[F.lit(None).cast("double").alias(c) for c in ("x", "fitted", "low", "high")]).limit(0)
+    step = (high - low) / (points - 1) if points > 1 else 0.0
+    at = F.lit(low) + F.col("point") * F.lit(step)
+    spread = lines.select("slope", "intercept", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    edges = F.percentile(
+        F.col("slope") * at + F.col("intercept"), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))
+    )
+    ranked = spread.groupBy("point").agg(edges.alias("_edges"))
+    fitted = F.lit(line.slope).cast("double") * F.col("x") + F.lit(line.intercept).cast("double")
+    return ranked.select(
+        at.alias("x"), F.get("_edges", F.lit(0)).alias("low"), F.get("_edges", F.lit(1)).alias("high")
+    ).select("x", fitted.alias("fitted"), "low", "high")

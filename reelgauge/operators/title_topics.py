@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from reelgauge import constants as C
 from reelgauge.operators.topics import default_stop_words, fit_topics, vocabulary_tokens
 from reelgauge.session import settle
+from reelgauge.shipping import ship_package
 
 #: Tokens of a title that one task fits.
 MAX_TITLE_TOKENS = 2_000_000
@@ -115,6 +116,7 @@ def topics_by_title(
     the bounds has no rows. Every model starts from the same seed, and a title's lines
     are taken in the order of their texts, so reruns agree.
     """
+    ship_package(lines.sparkSession)
     skipped = default_stop_words() if stop_words is None else list(stop_words)
     spoken = lines.where(F.trim(text_col) != "").select(
         F.col(title_col).alias("title"), vocabulary_tokens(F.col(text_col), skipped).alias("tokens")

@@ -1,11 +1,15 @@
 """Bins, statistics and regressions against pandas and numpy."""
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from reelgauge import probability
+from reelgauge.functions.tails import t_two_sided
 from reelgauge.operators import binning, stats
 from reelgauge.operators.regression import fit_ols
 
@@ -151,3 +155,110 @@ def test_collinear_columns_are_reported(sample):
     _, df = sample
     twin = df.withColumn("twin", F.col("a") * 2)
     assert fit_ols(twin, "y", ["a", "twin"]).summary().first().collinear
+
+
+def test_near_collinear_columns_match_lstsq(spark):
+    """Columns that differ by a millionth: sums of products would lose the difference."""
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=2_000)
+    pdf = pd.DataFrame({"a": a, "b": a + 1e-7 * rng.normal(size=2_000), "big": 50 + rng.normal(size=2_000)})
+    pdf["y"] = 3 * pdf["a"] - 2 * pdf["b"] + 0.5 * pdf["big"] + rng.normal(size=2_000)
+    fit = fit_ols(spark.createDataFrame(pdf).repartition(7), "y", ["a", "b", "big"])
+    x = np.column_stack([np.ones(len(pdf)), pdf[["a", "b", "big"]]])
+    beta, rss, rank, singular = np.linalg.lstsq(x, pdf["y"], rcond=None)
+    assert fit.solution.rank == rank == 4
+    assert fit.solution.values @ np.array([0, 1, 1, 0]) == pytest.approx(beta[1] + beta[2], rel=1e-9)
+    assert fit.solution.values == pytest.approx(beta, rel=1e-4)
+    assert fit.solution.rss == pytest.approx(rss[0], rel=1e-9)
+    assert fit.solution.singular == pytest.approx(singular, rel=1e-6)
+
+
+def test_collinear_columns_share_their_effect_and_have_errors(sample):
+    """The answer of least norm, as a pseudo-inverse gives it."""
+    pdf, df = sample
+    fit = fit_ols(df.withColumn("twin", F.col("a") * 2), "y", ["a", "twin", "b"])
+    x = np.column_stack([np.ones(len(pdf)), pdf["a"], 2 * pdf["a"], pdf["b"]])
+    beta = np.linalg.lstsq(x, pdf["y"], rcond=None)[0]
+    inverse = np.linalg.pinv(x)
+    rss = float(((pdf["y"] - x @ beta) ** 2).sum())
+    errors = np.sqrt(np.diag(inverse @ inverse.T) * rss / (len(pdf) - 3))
+    table = fit.coefficients().collect()
+    assert [r.coefficient for r in table] == pytest.approx(beta)
+    assert [r.std_error for r in table] == pytest.approx(errors)
+    summary = fit.summary().first()
+    assert summary.collinear and 0 < summary.f_p_value < 1
+
+
+@pytest.mark.parametrize("rows", [0, 1, 2, 4])
+def test_few_rows_have_a_solution_without_errors(sample, rows):
+    pdf, df = sample
+    fit = fit_ols(df.where(F.col("seq") < rows), "y", ["a", "b", "seq"])
+    x = np.column_stack([np.ones(rows), pdf[["a", "b", "seq"]][:rows]])
+    assert fit.solution.values == pytest.approx(np.linalg.lstsq(x, pdf["y"][:rows], rcond=None)[0], abs=1e-6)
+    assert [r.std_error for r in fit.coefficients().collect()] == [None] * 4
+    assert fit.summary().first().rows == rows
+
+
+def test_tails_as_columns_match_the_function(spark):
+    pairs = [
+        (t, v) for t in (0.0, 0.01, 0.3, -1.0, 2.228138852, 12.7, 60.0) for v in (0.4, 1.0, 2.5, 10.0, 99.0, 1e4)
+    ]
+    odd = [(None, 1.0), (1.0, None), (1.0, 0.0), (1.0, -1.0), (float("nan"), 2.0), (float("inf"), 2.0)]
+    df = spark.createDataFrame(pairs + odd, "t double, v double")
+    for row in df.withColumn("p", t_two_sided(F.col("t"), F.col("v"))).collect():
+        expected = probability.t_two_sided(row.t, row.v)
+        assert (row.p is None) == (expected is None)
+        assert expected is None or row.p == pytest.approx(expected, abs=1e-9)
+    # Of the normal distribution: its tail, and its density at 0.
+    large = spark.createDataFrame([(1.959963984540054, 1e9), (1e-6, 1e9)], "t double, v double")
+    normal = [r[0] for r in large.select(t_two_sided(F.col("t"), F.col("v"))).collect()]
+    assert normal == pytest.approx([0.05, 1 - 2e-6 / math.sqrt(2 * math.pi)], abs=1e-9)
+
+
+def test_welch_by_group_matches_each_group_alone(sample):
+    pdf, df = sample
+    keyed = df.withColumn("k", F.when(F.col("seq") % 3 != 2, F.col("seq") % 3))
+    found = {r.k: r for r in stats.welch_test(keyed, "flag", "y", keys=["k"]).collect()}
+    assert set(found) == {0, 1, None}
+    for key, row in found.items():
+        alone = keyed.where(F.col("k").eqNullSafe(F.lit(key)))
+        assert tuple(row)[1:] == pytest.approx(tuple(stats.welch_test(alone, "flag", "y").first()))
+        statistic = stats.welch_statistic(alone, "flag", "y").first()
+        expected = probability.t_two_sided(statistic.t_statistic, statistic.degrees_of_freedom)
+        assert row.p_value == pytest.approx(expected, abs=1e-9)
+
+
+def drawn_weights(key, replicates):
+    """How often a row is in each sample, by the digest of its key."""
+    shares = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+    bits = b"".join(hashlib.md5(f"{key}/{i}".encode()).digest() for i in range(-(-replicates // 8)))
+    draws = np.frombuffer(bits, ">u2")[:replicates]
+    return np.searchsorted(np.round(shares * 65_536), draws, "right")
+
+
+def test_bootstrap_lines_match_samples_drawn_one_by_one(sample):
+    pdf, df = sample
+    weights = np.array([drawn_weights(f"{r.seq}:{str(r.flag).lower()}", 20) for r in pdf.itertuples()])
+    assert weights.mean() == pytest.approx(1, abs=0.05) and weights.var() == pytest.approx(1, abs=0.1)
+    held = pdf["c"].notna().to_numpy()
+    lines = stats.bootstrap_lines(df, "c", "y", ["seq", "flag"], 20)
+    found = {r.replicate: r for r in lines.collect()}
+    again = {r.replicate: r for r in stats.bootstrap_lines(df.repartition(9), "c", "y", ["seq", "flag"], 20).collect()}
+    assert len(found) == 20
+    for b, row in found.items():
+        slope, intercept = np.polyfit(pdf["c"][held], pdf["y"][held], 1, w=np.sqrt(weights[held, b]))
+        assert (row.slope, row.intercept) == (pytest.approx(slope), pytest.approx(intercept))
+        assert again[b].slope == pytest.approx(row.slope, rel=1e-9)
+
+
+def test_the_band_holds_the_line(sample, spark):
+    _, df = sample
+    band = stats.regression_band(df, "a", "y", ["seq"], points=11, replicates=200).orderBy("x").collect()
+    low, high = stats.bounds(df, "a")["a"]
+    assert [band[0].x, band[-1].x] == pytest.approx([low, high]) and len(band) == 11
+    assert all(r.low < r.fitted < r.high for r in band)
+    widths = [r.high - r.low for r in band]
+    assert min(widths) < widths[0] and min(widths) < widths[-1]  # narrow in the middle
+    assert stats.regression_band(df.limit(0), "a", "y", ["seq"]).count() == 0
+    flat = spark.createDataFrame([(1.0, 2.0, 1), (1.0, 3.0, 2)], "x double, y double, k int")
+    assert all(r.fitted is None and r.low is None for r in stats.regression_band(flat, "x", "y", ["k"], 3, 8).collect())
