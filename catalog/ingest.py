@@ -149,6 +149,34 @@ def labelled_budgets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT o_orderkey, o_totalprice AS budget, o_orderpriority || ' < ' || o_orderstatus || ' & more' AS script,
+  '/title/tt' || o_orderkey AS href
+FROM orders
+""")
+def nested_page_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Values out of elements within their like, unclosed ones, and links in links."""
+    key = F.col("o_orderkey")
+    amount = F.format_number("o_totalprice", 2)
+    detail = F.concat(
+        F.lit("<div><span><b>Budget</b></span><p><span class='a>b'>$<span>"),
+        F.substring_index(amount, ".", 1), F.lit("</span><br>."), F.substring_index(amount, ".", -1),
+        F.lit("</div><span>9</span>"),
+    )
+    script = F.concat(
+        F.lit("<!-- <pre>no</pre> --><ul><li><PRE>"), F.col("o_orderpriority"), F.lit(" < <pre>"),
+        F.col("o_orderstatus"), F.lit(" &amp; <script>'</pre>'</script></pre>more</ul> after</pre>"),
+    )
+    search = F.concat(
+        F.lit("<a href='/x'>see <a href='/title/tt"), key, F.lit("'><i>order "), key, F.lit("</i></a></a>")
+    )
+    title = F.concat(F.lit("order "), key)
+    return table(spark, sf, "orders").select(
+        "o_orderkey", html.labelled_amount(detail).alias("budget"),
+        html.first_element_text(script).alias("script"), html.link_target(search, title).alias("href"),
+    )
+
+
 @query(r"""
 WITH inner_html AS (
   SELECT page_id, regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) AS body FROM pages),

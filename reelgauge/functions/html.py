@@ -57,33 +57,148 @@ def decode_entities(text: Column) -> Column:
     return once(text, weave)
 
 
+# One part of a page: a comment, a script or style as a whole, a tag, other markup, or text.
+# What is not closed goes on to the end. Of quoted values in one tag, 64 may hold a ">".
+_QUOTED = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+){0,64}+"""
+_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
+_PART = (
+    rf"{_UNSEEN}|</?[a-z](?:{_QUOTED}|[^>]*)>|<[!?/][^>]*>|[^<]+|<"
+)
+_TAG_NAME = r"(?is)^<(/?)([a-z][^\s/>]*)"
+
+# Elements without content, which have no end tag.
+_VOID = (
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
+    "source", "track", "wbr",
+)
+_OPEN, _CLOSE, _OTHER = 1, 2, 0
+
+
+def _parts(html: Column) -> Column:
+    """Array of (part, name, kind) in the page's order; no name for what opens or closes nothing."""
+
+    def described(part: Column) -> Column:
+        tag = F.startswith(part, F.lit("<"))
+        name = F.when(tag, F.lower(F.regexp_extract(part, _TAG_NAME, 2))).otherwise("")
+        alone = name.isin("script", "style", *_VOID) | F.endswith(part, F.lit("/>"))
+        kind = (
+            F.when(name == "", _OTHER).when(F.startswith(part, F.lit("</")), _CLOSE)
+            .when(alone, _OTHER).otherwise(_OPEN)
+        )
+        return F.struct(part.alias("part"), name.alias("name"), kind.alias("kind"))
+
+    found = F.regexp_extract_all(html, F.lit(_PART), F.lit(0))
+    return F.transform(found, lambda part: once(part, described))
+
+
+def _element(parts: Column, tag: str, after: Column | int = 0) -> Column:
+    """(start, end) of the first ``tag`` element that opens at part ``after`` or later.
+
+    A pass over the parts with a stack of the open elements: an end tag closes the latest
+    element of its name and all that opened in it, or nothing if there is none. Start is
+    -1 without such an element; one that is never closed ends with the page.
+    """
+    begun = F.struct(
+        F.array().cast("array<string>").alias("open"), F.lit(0).alias("at"),
+        F.lit(-1).alias("start"), F.lit(0).alias("depth"), F.lit(-1).alias("end"),
+    )
+    state_type = "struct<open:array<string>,at:int,start:int,depth:int,end:int>"
+
+    def state(open_: Column, now: Column, start: Column, depth: Column, end: Column) -> Column:
+        return F.struct(
+            open_.alias("open"), (now["at"] + 1).alias("at"), start.alias("start"), depth.alias("depth"), end.alias("end"),
+        ).cast(state_type)
+
+    def step(now: Column, part: Column) -> Column:
+        here = (part["name"] == tag) & (now["start"] < 0) & (now["at"] >= after)
+        # Elements that stay open: those before the latest of this name.
+        place = F.array_position(F.reverse(now["open"]), part["name"])
+        left = (F.size(now["open"]) - place).cast("int")
+        closes = (now["start"] >= 0) & (left < now["depth"])
+        opened = state(
+            F.concat(now["open"], F.array(part["name"])), now,
+            F.when(here, now["at"]).otherwise(now["start"]),
+            F.when(here, F.size(now["open"]) + 1).otherwise(now["depth"]), now["end"],
+        )
+        closed = state(
+            F.slice(now["open"], 1, left), now, now["start"], now["depth"],
+            F.when(closes, now["at"]).otherwise(now["end"]),
+        )
+        passed = state(
+            now["open"], now, F.when(here & (part["kind"] == _OTHER), now["at"]).otherwise(now["start"]), now["depth"],
+            F.when(here & (part["kind"] == _OTHER), now["at"]).otherwise(now["end"]),
+        )
+        return (
+            F.when(now["end"] >= 0, now)
+            .when(part["kind"] == _OPEN, opened)
+            .when((part["kind"] == _CLOSE) & (place > 0), closed)
+            .otherwise(passed)
+        )
+
+    def bounds(done: Column) -> Column:
+        end = F.when(done["end"] < 0, done["at"]).otherwise(done["end"])
+        return F.struct(done["start"].alias("start"), end.alias("end"))
+
+    return F.aggregate(parts, begun.cast(state_type), step, bounds)
+
+
+def _text_of(parts: Column, bounds: Column) -> Column:
+    """Text inside an element, its own and that of elements in it; NULL without the element."""
+    inside = F.slice(parts, bounds["start"] + 2, F.greatest(bounds["end"] - bounds["start"] - 1, F.lit(0)))
+    plain = F.filter(inside, lambda p: ~F.startswith(p["part"], F.lit("<")) | (p["part"] == "<"))
+    text = F.array_join(F.transform(plain, lambda p: p["part"]), "")
+    return F.when(bounds["start"] >= 0, text)
+
+
+def _held_text(parts: Column, tag: str, after: Column | int = 0) -> Column:
+    """Text of the first ``tag`` element from part ``after`` on."""
+    opens = F.transform(
+        parts, lambda p, i: F.when((p["name"] == tag) & (p["kind"] != _CLOSE) & (i >= after), i)
+    )
+
+    def held(first: Column) -> Column:
+        text, close = (F.get(parts, first + i) for i in (1, 2))
+        # One text and the end tag: no other element has a say.
+        alone = (F.get(parts, first)["kind"] == _OPEN) & (text["name"] == "")
+        alone &= (close["name"] == tag) & (close["kind"] == _CLOSE)
+        plain = alone & ~F.startswith(text["part"], F.lit("<"))
+        general = once(_element(parts, tag, after), lambda bounds: _text_of(parts, bounds))
+        return F.when(plain, text["part"]).otherwise(general)
+
+    return once(F.array_min(opens), held)
+
+
 def strip_tags(html: Column) -> Column:
     """Text inside markup; comments, scripts and styles carry none."""
-    unseen = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
-    return F.regexp_replace(F.regexp_replace(html, unseen, ""), r"<[a-zA-Z/!][^>]*>", "")
+    return F.regexp_replace(F.regexp_replace(html, _UNSEEN, ""), r"<[a-zA-Z/!][^>]*>", "")
 
 
 def first_element_text(html: Column, tag: str = "pre") -> Column:
     """Text of the first ``tag`` element, NULL when the page has none."""
-    pattern = rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"
-    inner = F.when(F.regexp_like(html, F.lit(pattern)), F.regexp_extract(html, pattern, 1))
-    return decode_entities(strip_tags(inner))
+    # Most pages of other kinds hold no such tag at all: they need no pass.
+    held = F.contains(F.lower(html), F.lit(f"<{tag.lower()}"))
+    text = once(_parts(html), lambda parts: _held_text(parts, tag.lower()))
+    return F.when(held, decode_entities(text))
+
+
+# Start tags, one text, and end tags: what an element holds that has a text of its own.
+_LONE_TEXT = r"(?:<[a-zA-Z][^>]*>){0,64}+([^<]*+)(?:</[^>]*>){0,64}?"
 
 
 def link_target(html: Column, title: Column) -> Column:
-    """``href`` of the first link whose text is exactly ``title``."""
-    link = F.lit(r"(?is)<a\b([^>]*\bhref\s*=[^>]*)>(.*?)</a\s*>")
-    links = F.arrays_zip(
-        F.regexp_extract_all(html, link, F.lit(1)).alias("attributes"),
-        F.regexp_extract_all(html, link, F.lit(2)).alias("text"),
-    )
-    # A text wrapped in one chain of tags counts; text beside other tags does not.
-    mixed = F.lit(r"[^>]<[a-zA-Z]|</[^>]*>(?:<[a-zA-Z]|[^<])")
-    matching = F.filter(
-        links,
-        lambda found: ~F.regexp_like(found["text"], mixed)
-        & (decode_entities(strip_tags(found["text"])) == title),
-    )
+    """``href`` of the first link whose text is exactly ``title``.
+
+    A text wrapped in one chain of tags counts; text beside other tags does not. A link
+    inside another one that does not match is looked at too.
+    """
+    link = F.lit(rf"(?is)<a\b([^>]*\bhref\s*=[^>]*)>{_LONE_TEXT}</a\s*>")
+    # Comments and scripts hold no links.
+    page = F.regexp_replace(html, _UNSEEN, "")
+    links = once(page, lambda seen: F.arrays_zip(
+        F.regexp_extract_all(seen, link, F.lit(1)).alias("attributes"),
+        F.regexp_extract_all(seen, link, F.lit(2)).alias("text"),
+    ))
+    matching = F.filter(links, lambda found: decode_entities(found["text"]) == title)
     attributes = F.get(matching, F.lit(0))["attributes"]
     href = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     value = F.concat(*[F.regexp_extract(attributes, href, group) for group in (1, 2, 3)])
@@ -98,8 +213,37 @@ def detail_url(href: Column, segment: int = 2) -> Column:
 
 def labelled_amount(html: Column, label: str = BUDGET_LABEL) -> Column:
     """Amount in the span after the span that reads exactly ``label``, in one chain of tags or none."""
-    span, end = r"<(?i:span)\b[^>]*>", r"</(?i:span)\s*>"
-    named = rf"(?:<[a-zA-Z][^>]*>)*{re.escape(label)}(?:</[^>]*>)*?"
-    pattern = rf"(?s){span}{named}{end}.*?{span}(.*?){end}"
-    text = decode_entities(strip_tags(F.regexp_extract(html, pattern, 1)))
-    return currency(text)
+
+    def labelled(parts: Column) -> Column:
+        # The label's own text, with nothing but start tags back to its span and nothing
+        # but end tags on to the end of that span.
+        texts = F.transform(
+            parts,
+            lambda part, i: F.when(
+                (part["part"] == label)
+                & (F.get(_names(parts, i, -1), F.lit(0)) == "span")
+                & F.array_contains(_names(parts, i, 1), "span"),
+                i,
+            ),
+        )
+        return once(
+            F.array_min(texts), lambda at: F.when(at.isNotNull(), _held_text(parts, "span", at))
+        )
+
+    held = F.contains(html, F.lit(label))
+    return F.when(held, currency(decode_entities(once(_parts(html), labelled))))
+
+
+def _names(parts: Column, at: Column, step: int) -> Column:
+    """Names of the tags that stand in one chain before (-1) or behind (1) a part.
+
+    Before it: of the start tags without anything between them, the farthest ``span``
+    first. Behind it: of the end tags.
+    """
+    kind = _OPEN if step < 0 else _CLOSE
+    window = F.slice(parts, F.greatest(at - 63, F.lit(1)), F.least(at, F.lit(64))) if step < 0 else F.slice(parts, at + 2, 64)
+    ordered = F.reverse(window) if step < 0 else window
+    other = F.array_min(F.transform(ordered, lambda p, i: F.when(p["kind"] != kind, i)))
+    chain = F.slice(ordered, 1, F.coalesce(other, F.size(ordered)))
+    names = F.transform(chain, lambda p: p["name"])
+    return F.filter(names, lambda name: name == "span") if step < 0 else names
