@@ -11,6 +11,7 @@ from reelgauge import schemas
 from reelgauge.constants import MISSING_TEXT, NA_TOKENS
 from reelgauge.functions.scores import currency, normal_title, number, percent
 from reelgauge.operators.titles import new_titles
+from reelgauge.sources.quoted_csv import read_quoted_csv
 
 
 def missing_to_null(text: Column) -> Column:
@@ -36,9 +37,8 @@ def coerce_films(raw: DataFrame) -> DataFrame:
 
 
 def read_film_csv(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(schemas.FILM_CSV).csv(
-        path, header=True, escape='"', multiLine=True
-    )
+    """Films from CSV files with the header row; a large file is read in many tasks."""
+    raw = read_quoted_csv(spark, path, schemas.FILM_CSV)
     return coerce_films(raw.withColumnsRenamed(schemas.FILM_COLUMN_OF_HEADER))
 
 
