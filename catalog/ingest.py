@@ -15,8 +15,9 @@ from reelgauge.operators.inflation import add_multiplier, yearly_multipliers
 from reelgauge.operators.titles import distinct_titles, new_titles
 from reelgauge.plans.ingest import one_payload_per_title
 from reelgauge.session import shared_folder
-from reelgauge.sources.films import append_films, clean_films, read_film_sink
+from reelgauge.sources.films import clean_films
 from reelgauge.sources.payloads import film_metadata, page_values
+from reelgauge.sources.sink import append_films, read_film_sink
 
 
 @query("SELECT DISTINCT p_name FROM part")

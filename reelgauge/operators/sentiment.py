@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 from reelgauge.constants import DEFAULT_LEXICON, SCORER_BATCH_SIZE
 from reelgauge.functions.scores import signed_score
 from reelgauge.functions.text import truncate_words, words
+from reelgauge.session import settle
 
-# A larger lexicon belongs in a table: see ``score_by_lexicon_table``.
+# A larger lexicon is matched as a table.
 MAX_INLINE_LEXICON = 10_000
 
 
@@ -40,11 +41,25 @@ def score_by_lexicon(
     line_col: str = "line",
     max_words: int | None = None,
 ) -> DataFrame:
-    """Count hits of positive and negative words inside each row: no shuffle."""
-    if len(lexicon) > MAX_INLINE_LEXICON:
-        raise ValueError("lexicon too large to inline, use score_by_lexicon_table")
+    """Count hits of positive and negative words inside each row: no shuffle.
+
+    A lexicon beyond ``MAX_INLINE_LEXICON`` words is joined by word instead, with the
+    same scores.
+    """
     text = F.col(line_col)
-    tokens = words(F.lower(text if max_words is None else truncate_words(text, max_words)))
+    scored = text if max_words is None else truncate_words(text, max_words)
+    if len(lexicon) > MAX_INLINE_LEXICON:
+        polarity = lines.sparkSession.createDataFrame(list(lexicon.items()), "word string, polarity int")
+        rows = lines.withColumns({"_row": F.monotonically_increasing_id(), "_text": scored})
+        # Settled, so that a row keeps its number.
+        found = score_by_lexicon_table(settle(rows.withColumn("_all", F.lit(0))), polarity, "_all", "_row", "_text")
+        # A missing line has no hits to count, as in the form below.
+        spoken = F.col("_text").isNotNull()
+        return found.withColumns({
+            "label": F.when(spoken, F.col("label")).otherwise("NEGATIVE"),
+            "confidence": F.when(spoken, F.col("confidence")), "score": F.when(spoken, F.col("score")),
+        }).drop("_all", "_row", "_text")
+    tokens = words(F.lower(scored))
 
     def hits(sign: int) -> Column:
         chosen = [word for word, polarity in lexicon.items() if polarity * sign > 0]

@@ -93,6 +93,8 @@ class TopicFit:
     vectorizer: CountVectorizerModel
     model: LDAModel
     corpus: DataFrame
+    #: Lines a word is in at least; more than asked for when the vocabulary was too large.
+    min_docs: int
 
     def words(self, count: int = C.WORDS_PER_TOPIC) -> DataFrame:
         """(topic, rank, word, weight): the heaviest words of every topic."""
@@ -117,6 +119,22 @@ class TopicFit:
         )
 
 
+def _vocabulary_within(counts: DataFrame, most: int, min_docs: int) -> tuple[int, int]:
+    """Size of the largest vocabulary of at most ``most`` words, and the lines its words are in.
+
+    ``counts`` is (docs, count): how many words are in so many lines.
+    """
+
+    def size_of(least: int) -> int:
+        return counts.where(F.col("docs") >= least).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+
+    size = size_of(min_docs)
+    while size > most:
+        min_docs *= 2  # as many steps as the count of lines has bits
+        size = size_of(min_docs)
+    return size, min_docs
+
+
 def fit_topics(
     lines: DataFrame,
     title_col: str = "title",
@@ -130,21 +148,23 @@ def fit_topics(
 ) -> TopicFit | None:
     """One model for all titles; None when no word passes the vocabulary bounds.
 
-    The model keeps ``topics`` weights per word on the driver. A vocabulary too
-    large for that is refused, not cut: raise ``min_docs``.
+    The model keeps ``topics`` weights per word on the driver. Of a vocabulary beyond
+    ``MAX_VOCABULARY`` the rarest words go: ``min_docs`` rises as far as it must, and the
+    fit tells its value.
     """
     stop_words = default_stop_words() if stop_words is None else list(stop_words)
     used = vocabulary_tokens(F.col(text_col), stop_words).alias("tokens")
     tokenised = settle(lines.where(F.trim(text_col) != "").select(title_col, used))
     docs = tokenised.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word")
     within = F.col("count").between(min_docs, max_share * tokenised.count())
-    size = docs.count().where(within).count()
+    counts = settle(docs.count().where(within).groupBy(F.col("count").alias("docs")).count())
+    size, min_docs = _vocabulary_within(counts, MAX_VOCABULARY, min_docs)
     if size == 0:
         return None
-    if size > MAX_VOCABULARY:
-        raise ValueError(f"{size} words for the topic model: raise min_docs")
+    # From 1 on it would be read as a count of lines.
+    most = max_share if max_share < 1 else float(1 << 62)
     vectorizer = CountVectorizer(
-        inputCol="tokens", outputCol="features", minDF=min_docs, maxDF=max_share, vocabSize=size
+        inputCol="tokens", outputCol="features", minDF=min_docs, maxDF=most, vocabSize=size
     ).fit(tokenised)
     corpus = settle(vectorizer.transform(tokenised).select(title_col, "features"))
     # By default a pass draws a twentieth of the lines. Here it draws as many as there are,
@@ -154,7 +174,7 @@ def fit_topics(
         k=topics, seed=seed, maxIter=iterations, featuresCol="features", subsamplingRate=1.0
     )
     model = lda.fit(corpus)
-    return TopicFit(lines.sparkSession, vectorizer, model, corpus)
+    return TopicFit(lines.sparkSession, vectorizer, model, corpus, min_docs)
 
 
 def theme_table(

@@ -10,11 +10,10 @@ from reelgauge.functions import scores
 from reelgauge.operators.cast import star_power_map, total_star_power
 from reelgauge.operators.inflation import add_multiplier, yearly_multipliers
 from reelgauge.operators.sentiment import score_by_lexicon
-from reelgauge.operators.titles import new_titles
 from reelgauge.plans.script_features import Scorer, script_features
 from reelgauge.session import settle
-from reelgauge.sources.films import append_films, read_film_sink
 from reelgauge.sources.payloads import film_metadata, page_values, usable
+from reelgauge.sources.sink import append_films, unstored_titles
 
 
 def one_payload_per_title(payloads: DataFrame) -> DataFrame:
@@ -79,5 +78,5 @@ def load_new_films(
 
     ``vectors`` (word, vector, log_prob) grows the themes by words close to theirs.
     """
-    fresh = new_titles(payloads, read_film_sink(payloads.sparkSession, sink))
+    fresh = unstored_titles(payloads, sink)
     append_films(film_rows(fresh, pages, index_series, scorer, themes, max_chars, vectors), sink)

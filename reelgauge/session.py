@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,13 +48,59 @@ def shared_folder(spark: SparkSession) -> str:
     return _single_machine_folder()
 
 
+class Settled:
+    """Folders settled while a scope was open, and the scope around it."""
+
+    def __init__(self, spark: SparkSession, outer: Settled | None):
+        self.spark, self.outer = spark, outer
+        self.folders: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Settle a result that outlives the scope."""
+        token = _scope.set(self.outer)
+        try:
+            return settle(df)
+        finally:
+            _scope.reset(token)
+
+    def clear(self) -> None:
+        """Remove the folders; no DataFrame may read them any more."""
+        context = self.spark.sparkContext
+        for folder in self.folders:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        self.folders.clear()
+
+
+_scope: ContextVar[Settled | None] = ContextVar("settled", default=None)
+
+
+@contextmanager
+def settling(spark: SparkSession, clear: bool = True) -> Iterator[Settled]:
+    """Inside, settled folders are noted; they are removed at the end, unless ``clear`` is off.
+
+    For steps that end in a settled result: ``keep`` it, and what it was made from goes.
+    """
+    scope = Settled(spark, _scope.get())
+    token = _scope.set(scope)
+    try:
+        yield scope
+    finally:
+        _scope.reset(token)
+        if clear:
+            scope.clear()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     For a result that several later jobs read: the work is done once, and a
-    lost executor costs a re-read, not a recomputation.
+    lost executor costs a re-read, not a recomputation. Within ``settling`` the folder
+    goes when the scope ends.
     """
-    spark = df.sparkSession
+    spark, scope = df.sparkSession, _scope.get()
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    if scope is not None:
+        scope.folders.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

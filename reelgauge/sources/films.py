@@ -1,8 +1,7 @@
-"""The film table: CSV in and out, and the parquet sink."""
+"""The film table: CSV in and out, declared types, one film a title."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +9,6 @@ from pyspark.sql import types as T
 from reelgauge import schemas
 from reelgauge.constants import MISSING_TEXT, NA_TOKENS
 from reelgauge.functions.scores import currency, normal_title, number, percent
-from reelgauge.operators.titles import new_titles
 from reelgauge.sources.quoted_csv import read_quoted_csv
 
 
@@ -42,16 +40,6 @@ def read_film_csv(spark: SparkSession, path: str) -> DataFrame:
     return coerce_films(raw.withColumnsRenamed(schemas.FILM_COLUMN_OF_HEADER))
 
 
-def read_film_sink(spark: SparkSession, path: str) -> DataFrame:
-    """Stored films; an absent sink is an empty table."""
-    try:
-        return spark.read.schema(schemas.FILM).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schemas.FILM)
-
-
 def one_film_per_title(films: DataFrame) -> DataFrame:
     """Of films with one title, whatever its case and outer space, the first by spelling.
 
@@ -65,13 +53,6 @@ def one_film_per_title(films: DataFrame) -> DataFrame:
     return first.unionByName(films.where(key.isNull()))
 
 
-def append_films(films: DataFrame, path: str) -> None:
-    """Append the films whose titles the sink does not hold yet, each title once."""
-    known = read_film_sink(films.sparkSession, path)
-    fresh = new_titles(films.select(*schemas.FILM_COLUMNS), known)
-    one_film_per_title(fresh).write.mode("append").parquet(path)
-
-
 def export_film_csv(films: DataFrame, path: str) -> None:
     """CSV with the original header, "N/A" for missing values."""
 

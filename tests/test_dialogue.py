@@ -1,10 +1,13 @@
 """Dialogue scores on a small hand-worked table."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from reelgauge.operators import dialogue as D
 from reelgauge.operators import sentiment as S
+from reelgauge.session import settle, settling
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +104,33 @@ def test_trained_scorer_learns_its_examples(spark):
         spark.createDataFrame([("joy",), ("pain",)], "text string"), model).collect()
     assert [row.label for row in found] == ["POSITIVE", "NEGATIVE"]
     assert found[0].score > 0.5 and found[1].score < -0.5
+
+
+def test_large_lexicons_score_like_small_ones(spark, monkeypatch):
+    rows = [("a", "Good good bad"), ("a", "Good good bad"), ("b", "nothing"), ("c", ""), (None, "BAD"), ("d", None)]
+    lines = spark.createDataFrame(rows, "title string, line string")
+    lexicon = {"good": 1, "bad": -1}
+    inline = S.score_by_lexicon(lines, lexicon, max_words=2).collect()
+    monkeypatch.setattr(S, "MAX_INLINE_LEXICON", 1)
+    joined = S.score_by_lexicon(lines, lexicon, max_words=2)
+    assert joined.columns == S.score_by_lexicon(lines, {}).columns
+    assert sorted(map(str, joined.collect())) == sorted(map(str, inline))
+
+
+def test_settled_folders_go_with_their_scope(spark):
+    inside = []
+    with settling(spark) as scope:
+        first = settle(spark.range(5))
+        inside += scope.folders
+        with settling(spark) as inner:
+            second = inner.keep(settle(first.where("id > 1")))
+            kept = inner.outer.folders[-1]
+        assert second.count() == 3 and os.path.isdir(kept) and not os.path.isdir(inner.folders[0] if inner.folders else "gone")
+        last = scope.keep(second.where("id > 2"))
+    assert last.count() == 2
+    assert not any(os.path.isdir(folder) for folder in [*inside, kept])
+    with settling(spark, clear=False) as scope:
+        held = settle(spark.range(3))
+    assert held.count() == 3
+    scope.clear()
+    assert scope.folders == []

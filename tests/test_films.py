@@ -15,6 +15,7 @@ from reelgauge.plans.film_analysis import analyse_films
 from reelgauge.plans.ingest import film_rows, load_new_films
 from reelgauge.sources import films as S
 from reelgauge.sources.payloads import film_metadata
+from reelgauge.sources.sink import read_film_sink
 from reelgauge.streaming.incremental import stream_new_films
 
 SCRIPT = (
@@ -138,11 +139,11 @@ def test_loading_twice_adds_nothing(spark, stored, tmp_path):
     pages, series = stored
     sink = str(tmp_path / "sink")
     payloads = spark.createDataFrame(PAYLOADS, "title string, body string")
-    assert S.read_film_sink(spark, sink).count() == 0
+    assert read_film_sink(spark, sink).count() == 0
     load_new_films(payloads.where("title = 'Alpha'"), pages, series, sink)
     load_new_films(payloads, pages, series, sink)
     load_new_films(payloads, pages, series, sink)
-    assert sorted(r.title for r in S.read_film_sink(spark, sink).collect()) == ["Alpha", "Beta"]
+    assert sorted(r.title for r in read_film_sink(spark, sink).collect()) == ["Alpha", "Beta"]
 
 
 def test_stream_loads_only_new_files(spark, stored, tmp_path):
@@ -159,7 +160,7 @@ def test_stream_loads_only_new_files(spark, stored, tmp_path):
 
     arrive("one.json", PAYLOADS[:1])
     arrive("two.json", PAYLOADS[:2] * 2)
-    assert sorted(r.title for r in S.read_film_sink(spark, sink).collect()) == ["Alpha", "Beta"]
+    assert sorted(r.title for r in read_film_sink(spark, sink).collect()) == ["Alpha", "Beta"]
 
 
 def test_analysis_tables(spark):

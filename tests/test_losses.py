@@ -6,8 +6,8 @@ from reelgauge import schemas
 from reelgauge.functions import html
 from reelgauge.operators import topics as T
 from reelgauge.plans.ingest import one_payload_per_title
-from reelgauge.sources.films import append_films, read_film_sink
 from reelgauge.sources.payloads import film_metadata, page_values
+from reelgauge.sources.sink import append_films, read_film_sink
 
 GOOD = '{"Response":"True","Title":"Alien"}'
 

@@ -160,3 +160,12 @@ def test_whole_number_titles_keep_their_type(spark):
     assert {(r.title, r.word) for r in found.collect()} == {(1, "red"), (1, "fox")}
     named = script_themes(lines, T.theme_table(spark, {"animals": ["fox"]})).collect()
     assert [(r.title, r.named_themes) for r in named] == [(1, "; ".join(["animals"] * 5))]
+
+
+def test_a_vocabulary_too_large_loses_its_rarest_words(spark, monkeypatch):
+    lines = spark.createDataFrame([("t", f"common half{i % 2} rare{i // 2}") for i in range(40)], "title string, line string")
+    whole = T.fit_topics(lines, topics=2, stop_words=[], iterations=1, max_share=1.0)
+    assert (len(whole.vectorizer.vocabulary), whole.min_docs) == (23, 2)
+    monkeypatch.setattr(T, "MAX_VOCABULARY", 5)
+    fit = T.fit_topics(lines, topics=2, stop_words=[], iterations=1, max_share=1.0)
+    assert (set(fit.vectorizer.vocabulary), fit.min_docs) == ({"common", "half0", "half1"}, 4)
