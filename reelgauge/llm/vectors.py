@@ -12,16 +12,20 @@ neither side probes the other's list.
 A task returns counts and a spanning forest of its links, never the pairs. Equal vectors
 are one class with a count; links to and within a class count all of its vectors.
 
-Defined results: a vector that is null, zero, of another length than the commonest, or
-with null or non-finite components links with nothing and is its own component; rows
-that repeat an id are vectors of their own with equal results; an empty table gives an
-empty result; other columns are ignored.
+Vectors of each length have an index of their own; only equal lengths can link.
+
+Defined results: a vector that is null, zero, or with null or non-finite components links
+with nothing and is its own component; rows that repeat an id are vectors of their own;
+a row without id links like any other, names no component and is never kept; very long
+vectors are taken whole; ties need no order; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,7 +41,10 @@ THRESHOLD = 0.9
 #: Vectors that the index is fitted on at most.
 SAMPLE = 32_768
 SUBSPACES, CODES = 16, 64
+#: Lists that a vector queries at least; half the square root of the lists if that is more.
 PROBES = 12
+#: Rows of the sample compared with the centroids at once.
+FIT_ROWS = 2048
 #: Members of a block; longer lists are dealt over several.
 BLOCK = 2048
 ROUNDS = 8
@@ -70,10 +77,16 @@ class Index:
         return codes, np.sqrt(left)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray, less: np.ndarray | float = 0.0) -> np.ndarray:
+    """For each row the centre of the greatest product, ``less`` taken off; in blocks of rows."""
+    blocks = [(x[i : i + FIT_ROWS] @ centres.T - less).argmax(1) for i in range(0, len(x), FIT_ROWS)]
+    return np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
+
+
 def _means(x: np.ndarray, k: int, random: np.random.Generator, unit: bool) -> np.ndarray:
     centres = x[random.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(ROUNDS):
-        own = (2 * x @ centres.T - (centres**2).sum(1)).argmax(1)
+        own = _nearest(x, centres, (centres**2).sum(1) / 2)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         n = np.bincount(own, minlength=k)
@@ -86,7 +99,7 @@ def _means(x: np.ndarray, k: int, random: np.random.Generator, unit: bool) -> np
 def fit_index(sample: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(20)
     centroids = _means(sample, lists, random, unit=True)
-    residuals = sample - centroids[(sample @ centroids.T).argmax(1)]
+    residuals = sample - centroids[_nearest(sample, centroids)]
     width = -(-sample.shape[1] // SUBSPACES)
     parts = _padded(residuals, width).reshape(len(sample), SUBSPACES, width)
     return centroids, np.stack([_means(parts[:, m], CODES, random, unit=False) for m in range(SUBSPACES)])
@@ -195,47 +208,18 @@ def _block(rows: pa.RecordBatch, own_list: int, index: Index, size: int, thresho
     )
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of (vec_id, embedding)."""
-    value = F.col("embedding").cast("array<double>")
-    usable = (
-        F.col("vec_id").isNotNull() & value.isNotNull()
-        & F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-        & F.exists(value, lambda v: v != 0)
-    )
-    rows = vectors.select(F.col("vec_id").cast("long"), F.when(usable, value).alias("embedding"))
-    lengths = rows.filter("embedding is not null").groupBy(F.size("embedding").alias("size")).count()
-    commonest = lengths.orderBy(F.col("count").desc(), F.col("size").desc()).first()
-    size = commonest["size"] if commonest else 0
-    usable_rows = F.col("embedding").isNotNull() & (F.size("embedding") == size)
-    keyed = rows.withColumn("embedding", F.when(usable_rows, F.col("embedding"))).withColumns(
-        {"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(3), "embedding")}
-    )
-
-    def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for own in batch["embedding"]:
-                own = np.asarray(own, float)
-                own = own / np.abs(own).max()
-                out.append((own / np.sqrt((own * own).sum())).astype("<f8").tobytes())
-            yield batch[["rep", "m", "k1", "k2"]].assign(unit=out)
-
-    reps = settle(
-        keyed.filter("embedding is not null").groupBy("k1", "k2")
-        .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("embedding").alias("embedding"))
-        .mapInPandas(unit, "rep long, m long, k1 long, k2 long, unit binary")
-    )
+def _links_of_length(reps: DataFrame, size: int, threshold: float, probes: int) -> DataFrame | None:
+    """rep, links, other: partial link counts and forest edges of the classes of one length."""
     count = reps.count()
     share = int(min(1.0, SAMPLE / max(count, 1)) * 1_000_000)
     sample = reps.filter(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < share).select("unit").collect()
-    result = keyed.select("vec_id", "embedding", "k1", "k2")
+    if not sample:  # of a few vectors a share of a millionth may be none
+        sample = reps.select("unit").limit(SAMPLE).collect()
     if not sample:
-        return result.select(
-            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
-        )
+        return None
     found = np.frombuffer(b"".join(bytes(r["unit"]) for r in sample), "<f8").reshape(-1, size)
     lists = int(np.clip(np.sqrt(count), 1, max(1, len(found) // 8)))
+    probes = max(probes, int(np.ceil(np.sqrt(lists) / 2)))
     centroids, books = fit_index(found, lists)
     index = Index(centroids, books, np.ones(lists, np.int64))
 
@@ -255,22 +239,66 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, probes: int =
         .mapInArrow(_routed(index, size, probes), "cell long, member boolean, rep long, m long, lists array<int>, unit binary")
         .repartition("cell").sortWithinPartitions("cell")
     )
-    parts = settle(cells.mapInArrow(_compared(index, size, threshold), "rep long, links long, other long"))
+    return settle(cells.mapInArrow(_compared(index, size, threshold), "rep long, links long, other long"))
+
+
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of (vec_id, embedding)."""
+    value = F.col("embedding").cast("array<double>")
+    usable = (
+        value.isNotNull() & F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+        & F.exists(value, lambda v: v != 0)
+    )
+    keyed = vectors.select(F.col("vec_id").cast("long"), F.when(usable, value).alias("embedding")).withColumns(
+        {"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(3), "embedding")}
+    )
+
+    def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for own in batch["embedding"]:
+                own = np.asarray(own, float)
+                own = own / np.abs(own).max()
+                out.append((own / np.sqrt((own * own).sum())).astype("<f8").tobytes())
+            yield batch[["vec", "has_id", "m", "k1", "k2", "size"]].assign(unit=out)
+
+    # Equal vectors are a class, numbered once it is written down: no id of theirs is a key.
+    classes = (
+        keyed.filter("embedding is not null").groupBy("k1", "k2")
+        .agg(
+            F.coalesce(F.min("vec_id"), F.lit(0)).alias("vec"), (F.count("vec_id") > 0).alias("has_id"),
+            F.count(F.lit(1)).alias("m"), F.first("embedding").alias("embedding"),
+        )
+        .withColumn("size", F.size("embedding"))
+        .mapInPandas(unit, "vec long, has_id boolean, m long, k1 long, k2 long, size int, unit binary")
+    )
+    reps = settle(classes.withColumn("rep", F.monotonically_increasing_id()))
+    result = keyed.select("vec_id", "embedding", "k1", "k2")
+    sizes = [row["size"] for row in reps.select("size").distinct().collect()]
+    found = [_links_of_length(reps.filter(F.col("size") == size), size, threshold, probes) for size in sorted(sizes)]
+    if not found:
+        return result.select(
+            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
+            F.col("vec_id").isNotNull().alias("kept"),
+        )
+    parts = reduce(DataFrame.unionByName, found)
     links = parts.groupBy("rep").agg(F.sum("links").alias("links"))
     forest = components(parts.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct())
-    classes = (
-        reps.select("rep", "m", "k1", "k2")
+    joined = (
+        reps.select("rep", "vec", "has_id", "m", "k1", "k2")
         .join(links.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep"), "left")
         .join(forest, F.col("rep") == F.col("id"), "left")
         .select(
-            F.col("k1").alias("_k1"), F.col("k2").alias("_k2"),
+            F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.when(F.col("has_id"), F.col("vec")).alias("_vec"),
             (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("component", "rep").alias("_component"),
         )
     )
+    named = joined.groupBy(F.col("_component").alias("_part")).agg(F.min("_vec").alias("component_id"))
+    joined = joined.join(named, F.col("_component") == F.col("_part"))
     matched = F.col("embedding").isNotNull() & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
-    component = F.coalesce("component_id", "vec_id")
-    return result.join(classes, matched, "left").select(
+    own = F.when(F.col("_component").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return result.join(joined, matched, "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), (F.col("vec_id") == component).alias("kept"),
+        own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"),
     )
