@@ -186,6 +186,6 @@ def labelled_statistics(measured: DataFrame, labels: DataFrame, learn_from) -> D
     return measured.join(known, "doc_id").select("label", "x")
 
 
-def held_out(doc_id) :
+def held_out(doc_id):
     """Documents whose labels are never learnt from."""
-    return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(4)) == 2, F.lit(False))
