@@ -4,14 +4,23 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is writ
 Parquet and read again as the next stage's documents. All but the last return the
 columns of the documents.
 
-Defined results: null and empty texts pass every stage (the classifier may reject them);
-repeated rows stay repeated until mixing, where rows of one doc_id get the copies of the
-one that gets most; an empty table gives an empty result at every stage.
+A stage decides by row, not by doc_id: rows of one doc_id, or without one, each have a key
+of their own while the stage lasts. Keys rise with the place in the table, and are written
+down, as a place may change when executors are lost.
+
+Folders that a stage settles are removed when the next one begins, for by then its output
+is written; ``run`` leaves its result only.
+
+Defined results: the classifier may reject null and empty texts, line dedup and the join
+keep them, and mixing takes none of them, as they have no words; of repeated rows and near
+copies the join keeps the first row of the table; an empty table gives an empty result at
+every stage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,60 +29,97 @@ from reelgauge.llm import jaccard_join, line_dedup, mixing, packing, quality
 from reelgauge.llm.queries import QUALITY_BAR, word_tokenizer
 from reelgauge.llm.shipping import ship
 from reelgauge.llm.tables import read
-from reelgauge.session import settle
+from reelgauge.session import Settled, settle, settling
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Edits within which a line counts as a copy of an earlier one.
 LINE_EDITS = 2
 
 
+#: What the last stage settled, until the next one begins.
+_left: list[Settled] = []
+
+
+def _release(spark: SparkSession) -> None:
+    while _left:
+        scope = _left.pop()
+        if scope.spark is spark:
+            scope.clear()
+
+
+def _stage(function: Stage) -> Stage:
+    @wraps(function)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _release(spark)
+        ship(spark)
+        with settling(spark, clear=False) as scope:
+            _left.append(scope)
+            return function(spark, docs, sf_dir)
+
+    return begun
+
+
+def _by_row(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with a key ``_key``, and the same with the key in place of doc_id."""
+    keyed = settle(docs.withColumn("_key", F.monotonically_increasing_id()))
+    return keyed, keyed.withColumn("doc_id", F.col("_key")).drop("_key")
+
+
+@_stage
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant, learnt from the labels outside its held-out part, accepts."""
-    ship(spark)
-    measured = settle(quality.document_statistics(docs))
-    known = quality.labelled_statistics(measured, read(spark, sf_dir, "labels"), lambda doc: ~quality.held_out(doc))
+    keyed, rows = _by_row(docs)
+    measured = settle(quality.document_statistics(rows))
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality").filter(~quality.held_out(F.col("doc_id")))
+    labelled = keyed.select("_key", "doc_id").join(labels, "doc_id").select(F.col("_key").alias("doc_id"), "quality")
+    known = quality.labelled_statistics(measured, labelled, lambda doc: F.lit(True))
     scored = quality.score_statistics(measured, quality.fit_discriminant(known))
-    rejected = scored.filter(F.col("score") < QUALITY_BAR).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    rejected = scored.filter(F.col("score") < QUALITY_BAR).select(F.col("doc_id").alias("_key"))
+    return keyed.join(rejected, "_key", "left_anti").select(*docs.columns)
 
 
+@_stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that came earlier, up to two edits; a document left blank by that goes."""
-    ship(spark)
+    keyed, _ = _by_row(docs)
     others = [c for c in docs.columns if c != "text"]
-    carried = docs.select("doc_id", "text", F.struct(*others).alias("_row"))
+    carried = keyed.select(F.col("_key").alias("doc_id"), "text", F.struct(*others).alias("_row"))
     deduped = line_dedup.dedup_lines(carried, max_edits=LINE_EDITS)
     blank = (F.col("n_removed") > 0) & F.col("text").rlike(r"^[\x20\x09-\x0D]*$")
     kept = deduped.filter(~F.coalesce(blank, F.lit(False)))
     return kept.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
+@_stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one with the smallest doc_id."""
-    ship(spark)
-    classes = jaccard_join.ngram_classes(docs)
-    rest = classes.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicate documents the first row."""
+    keyed, rows = _by_row(docs)
+    classes = jaccard_join.ngram_classes(rows)
+    rest = classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_key"))
+    return keyed.join(rest, "_key", "left_anti").select(*docs.columns)
 
 
+@_stage
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: never, once or twice."""
-    ship(spark)
-    copies = mixing.mix_sources(mixing.word_sizes(docs)).filter("copies > 0")
-    copies = copies.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("copies").alias("_copies"))
-    carried = docs.select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_row"))
-    joined = carried.join(copies, F.col("_id").eqNullSafe(F.col("_doc")))
+    keyed, rows = _by_row(docs)
+    taken = mixing.mix_sources(mixing.word_sizes(rows)).filter("copies > 0")
+    copies = taken.select(F.col("doc_id").alias("_row_key"), F.col("copies").alias("_copies"))
+    carried = keyed.select("_key", F.struct(*docs.columns).alias("_row"))
+    joined = carried.join(copies, F.col("_key") == F.col("_row_key"))
     repeated = joined.select("_row", F.explode(F.sequence(F.lit(1), "_copies")))
     return repeated.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every copy in sequences of at most 4096 tokens."""
-    ship(spark)
     pieces = packing.token_pieces(docs, word_tokenizer())
     return packing.pack_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", keep_good_documents),
     ("line dedup", drop_repeated_lines),
     ("n-gram Jaccard join", keep_one_of_each_group),
@@ -87,7 +133,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    docs, written = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
+        with settling(spark, clear=False) as scope:
+            docs = settle(stage(spark, docs, sf_dir))
+        if written is not None:
+            written.clear()
+        written = scope
+    _release(spark)
     return docs
