@@ -48,6 +48,11 @@ def _bag(spark: SparkSession, sf: str) -> DataFrame:
     return T.bag_of_words(documents, ["doc_id", "lang", "source"], "text", STOP_WORDS)
 
 
+def _uses(spark: SparkSession, sf: str) -> DataFrame:
+    """Uses of each word by language and source: all that the themes below sum up."""
+    return _bag(spark, sf).groupBy("lang", "source", "word").agg(F.sum("uses").alias("uses"))
+
+
 def _source_words(bag: DataFrame) -> DataFrame:
     weights = bag.groupBy("source", "word").agg(F.sum("uses").alias("weight"))
     return T.top_words(weights, ["source"], "weight", 10)
@@ -77,12 +82,12 @@ def document_bag_of_words(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_VOCABULARY_SQL + " SELECT source, word, weight, rank FROM topic_words")
 def source_top_words(spark: SparkSession, sf: str) -> DataFrame:
-    return _source_words(_bag(spark, sf))
+    return _source_words(_uses(spark, sf))
 
 
 @query(_VOCABULARY_SQL + " SELECT source, theme, theme_order, matches FROM matches")
 def source_theme_matches(spark: SparkSession, sf: str) -> DataFrame:
-    bag = settle(_bag(spark, sf))
+    bag = settle(_uses(spark, sf))
     return T.theme_matches(_source_words(bag), _lang_themes(bag), ["source"])
 
 
@@ -94,7 +99,7 @@ FROM (SELECT DISTINCT source FROM topic_words) LEFT JOIN (
 ) USING (source)
 """)
 def source_themes(spark: SparkSession, sf: str) -> DataFrame:
-    bag = settle(_bag(spark, sf))
+    bag = settle(_uses(spark, sf))
     return T.name_topics(_source_words(bag), _lang_themes(bag), ["source"])
 
 
