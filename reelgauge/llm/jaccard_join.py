@@ -218,13 +218,19 @@ def _passes(percent: int):
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, n_a, n_b, bits_a, bits_b = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for own_n, other_n, own, other in zip(n_a, n_b, bits_a, bits_b, strict=True):
-                x, y = np.frombuffer(own, "<u8"), np.frombuffer(other, "<u8")
-                words = min(len(x), len(y))
-                x, y = folded(x, words), folded(y, words)
-                keep.append(bool(may_link(own_n, other_n, int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum()), percent)))
+            n_a, n_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            bits = [batch.column(i).to_pylist() for i in (4, 5)]
+            widths = np.array([[len(x) // 8 for x in side] for side in bits], np.int64).reshape(2, -1)
+            keep = np.zeros(batch.num_rows, bool)
+            # Bitmaps of one pair of widths are compared as matrices.
+            for wide in np.unique(widths, axis=1).T:
+                at = np.flatnonzero((widths == wide[:, None]).all(axis=0))
+                x, y = (
+                    folded(np.frombuffer(b"".join([side[i] for i in at]), "<u8").reshape(len(at), width), int(wide.min()))
+                    for side, width in zip(bits, wide, strict=True)
+                )
+                only_x, only_y = (np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64) for p, q in ((x, y), (y, x)))
+                keep[at] = may_link(n_a[at], n_b[at], only_x, only_y, percent)
             kept = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             yield kept
 
@@ -269,10 +275,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
 
 def _tiles(percent: int):
-    """Pairs across components whose bitmaps allow a link, tile by tile.
-
-    A pair is given out in the least of the groups that hold both of its sets only.
-    """
+    """Pairs (a < b) across components whose bitmaps allow a link, tile by tile."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
@@ -282,14 +285,6 @@ def _tiles(percent: int):
                 rows = table.slice(start, count).sort_by("n")
                 rep, n, part = (rows.column(i).to_numpy() for i in (1, 2, 3))
                 bits = [np.frombuffer(x, "<u8") for x in rows.column(4).to_pylist()]
-                groups: dict[int, set[int]] = {}
-
-                def least(i: int, j: int, rows=rows, groups=groups) -> int:
-                    for k in (i, j):
-                        if k not in groups:
-                            groups[k] = set(rows.column(5)[k].as_py())
-                    return min(groups[i] & groups[j])
-
                 tiles = _bands([len(x) for x in bits])
                 for at, own in enumerate(tiles):
                     for other in tiles[at:]:
@@ -297,9 +292,9 @@ def _tiles(percent: int):
                         if smallest > largest and not in_band(largest, smallest, percent):
                             break
                         a, b = _tile(n, part, bits, own, other, own is other, percent)
-                        here = [least(x, y) == token[start] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                        if any(here):
-                            yield pa.RecordBatch.from_arrays([pa.array(rep[a[here]]), pa.array(rep[b[here]])], names=["a", "b"])
+                        if len(a):
+                            ends = np.sort([rep[a], rep[b]], axis=0)
+                            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], names=["a", "b"])
 
     return compare
 
@@ -387,11 +382,11 @@ def ngram_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     links = _linked(pass_bitmaps(pivots), docs, size, percent)
     parts = settle(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)))
     left = divided(left.drop("part"))
-    groups = left.groupBy("rep").agg(F.collect_list("token").alias("tokens"))
+    # Sets that meet in several groups are given out in each; 16 bytes a pair, once here.
     tiled = (
-        left.join(groups, "rep").join(bits, "rep").select("token", "rep", "n", "part", "bits", "tokens")
+        left.join(bits, "rep").select("token", "rep", "n", "part", "bits")
         .repartition("token").sortWithinPartitions("token")
-        .mapInArrow(_tiles(percent), "a long, b long")
+        .mapInArrow(_tiles(percent), "a long, b long").distinct()
     )
     more = _linked(settle(tiled), docs, size, percent)
     final = settle(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
