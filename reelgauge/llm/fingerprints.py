@@ -106,18 +106,21 @@ def _sampled(terms: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fingerprint_text(slots_filled: str, slots: int = SLOTS) -> Column:
-    """Eight hexadecimal digits a slot, dots where it is empty."""
-    shown = F.transform(
-        slots_filled,
-        lambda x: F.struct(
-            F.shiftrightunsigned(x, 32).cast("int").alias("slot"),
-            F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit(2**32 - 1))), 8, "0")).alias("value"),
-        ),
-    )
-    by_slot = F.map_from_entries(shown)
-    return F.array_join(
-        F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: F.coalesce(F.try_element_at(by_slot, s), F.lit(_EMPTY))), ""
-    )
+    """Eight hexadecimal digits a slot, dots where it is empty.
+
+    Filled slots are in order, so what is missing before each and after the last is known
+    from its neighbour: one pass, whatever is empty.
+    """
+    number = lambda x: F.shiftrightunsigned(x, 32).cast("int")
+    held = F.col(slots_filled)
+
+    def shown(x: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(-1)).otherwise(number(F.get(held, i - 1)))
+        empty = F.repeat(F.lit(_EMPTY), number(x) - before - 1)
+        return F.concat(empty, F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit(2**32 - 1))), 8, "0")))
+
+    last = F.coalesce(number(F.try_element_at(held, F.lit(-1))), F.lit(-1))
+    return F.concat(F.array_join(F.transform(held, shown), ""), F.repeat(F.lit(_EMPTY), F.lit(slots - 1) - last))
 
 
 def likeness(a: Column, b: Column) -> Column:
