@@ -108,6 +108,18 @@ def trained_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     return S.score_by_model(lines, model).drop("text")
 
 
+@query("SELECT conv_id, turn, true AS signed, true AS likelier FROM conversations")
+def trained_sentiment_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds for every trained score: its sign is the label's, its size the winning chance."""
+    found = trained_sentiment(spark, sf)
+    positive = F.col("label") == "POSITIVE"
+    return found.select(
+        "conv_id", "turn",
+        ((F.col("score") > 0) == positive).alias("signed"),
+        (F.col("confidence").between(0.5, 1.0) & (F.abs("score") == F.col("confidence"))).alias("likelier"),
+    )
+
+
 @query(THIRDS_SQL + " SELECT conv_id, turn, CAST(third AS INTEGER) AS third FROM thirds")
 def conversation_thirds(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "conversations").select("conv_id", "turn")

@@ -125,10 +125,13 @@ def perfect_prediction_line(valued: DataFrame) -> DataFrame:
     return ends.select(F.inline(points))
 
 
-def analyse_films(films: DataFrame, award: Column | None = None) -> dict[str, DataFrame]:
+def analyse_films(
+    films: DataFrame, award: Column | None = None, order_col: str | None = None
+) -> dict[str, DataFrame]:
     """Every table of the analysis, by name, from a film table.
 
-    ``award`` flags award titles otherwise than by the fixed list.
+    ``award`` flags award titles otherwise than by the fixed list. ``order_col``, a number,
+    orders the films for the Durbin-Watson statistic of each regression.
     """
     adjusted = settle(adjusted_scores(films))
     trimmed = stats.trim_outliers(adjusted, "rt_pct")
@@ -153,14 +156,14 @@ def analyse_films(films: DataFrame, award: Column | None = None) -> dict[str, Da
             binning.equal_width_edges(features, "lexical_adjusted"),
         ),
         "box_office_coefficients": box_office.coefficients(),
-        "box_office_summary": box_office.summary(),
+        "box_office_summary": box_office.summary(order_col),
         "predictor_correlations": stats.correlation_matrix(
             features, ["weighted_iq", "total_star_power", "budget"]
         ),
         "arc_test": stats.welch_test(features, "award_winner", "avg_arc"),
         "arc_boxes": stats.box_summary(features, "award_winner", "avg_arc"),
         "commercial_coefficients": commercial.coefficients(),
-        "commercial_summary": commercial.summary(),
+        "commercial_summary": commercial.summary(order_col),
         "valued": valued,
         "top_report": top_report(valued),
         "scaled_scores": scaled_scores(valued),
@@ -172,5 +175,5 @@ def analyse_films(films: DataFrame, award: Column | None = None) -> dict[str, Da
         "sentiment_line": stats.regression_line(features, "sentiment_adjusted", "rt_pct"),
         "lexical_line": stats.regression_line(features, "lexical_adjusted", "rt_pct"),
         "rating_coefficients": rating.coefficients(),
-        "rating_summary": rating.summary(),
+        "rating_summary": rating.summary(order_col),
     }

@@ -11,6 +11,7 @@ from reelgauge import constants as C
 from reelgauge import schemas
 from reelgauge.operators.inflation import add_multiplier, yearly_multipliers
 from reelgauge.operators.titles import new_titles
+from reelgauge.operators.topics import theme_table
 from reelgauge.plans.film_analysis import analyse_films
 from reelgauge.plans.ingest import film_rows, load_new_films
 from reelgauge.sources import films as S
@@ -135,6 +136,19 @@ def test_film_rows(spark, stored):
     assert alpha.indie_quality_score is not None
 
 
+def test_themes_grow_by_vectors_inside_the_load(spark, stored, tmp_path):
+    pages, series = stored
+    payloads = spark.createDataFrame(PAYLOADS[:1], "title string, body string")
+    themes = theme_table(spark, {"fighting": ["combat"]})
+    close = [("combat", [1.0, 0.1], -9.0), ("battle", [1.0, 0.2], -9.0), ("war", [0.9, 0.2], -9.0), ("love", [-1.0, 0.4], -9.0)]
+    vectors = spark.createDataFrame(close, "word string, vector array<double>, log_prob double")
+    load_new_films(payloads, pages, series, str(tmp_path / "plain"), themes=themes)
+    load_new_films(payloads, pages, series, str(tmp_path / "grown"), themes=themes, vectors=vectors)
+    plain, grown = (read_film_sink(spark, str(tmp_path / name)).first() for name in ("plain", "grown"))
+    assert set(plain.named_themes.split("; ")) == {C.NO_THEME}
+    assert "fighting" in grown.named_themes.split("; ")
+
+
 def test_loading_twice_adds_nothing(spark, stored, tmp_path):
     pages, series = stored
     sink = str(tmp_path / "sink")
@@ -180,7 +194,11 @@ def test_analysis_tables(spark):
         for f in schemas.FILM.fields
     ])
     award = F.col("title").endswith("3")
-    found = analyse_films(films, award)
+    placed = films.withColumn("place", F.regexp_extract("title", "[0-9]+", 0).cast("int"))
+    found = analyse_films(placed, award, "place")
+    for name in ("box_office_summary", "commercial_summary", "rating_summary"):
+        assert 0 < found[name].first().durbin_watson < 4
+    assert analyse_films(films.limit(30), award)["rating_summary"].first().durbin_watson is None
     kept = found["features"].count()
     assert 45 < kept < 60
     for name, table in found.items():
