@@ -328,6 +328,17 @@ def _tile(n, part, bits, rows: slice, columns: slice, same: bool, percent: int):
     return a + rows.start, b + columns.start
 
 
+def _one_of_equal_groups(rows: DataFrame) -> DataFrame:
+    """Rows of groups, of those with the same sets only one: near copies share most shingles.
+
+    Groups are told apart by their size and 128 bits of their members' hashes.
+    """
+    members = [F.bit_xor(F.xxhash64("rep", F.lit(seed))) for seed in (1, 2)]
+    groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), members[0].alias("_x"), members[1].alias("_y"))
+    kept = groups.groupBy("_n", "_x", "_y").agg(F.min("token").alias("token")).select("token")
+    return rows.join(kept, "token", "left_semi")
+
+
 def ngram_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark: SparkSession = docs.sparkSession
@@ -372,7 +383,7 @@ def ngram_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
         several = named.groupBy("token").agg(F.min("part").alias("_low"), F.max("part").alias("_high"))
         return settle(named.join(several.filter("_low <> _high").select("token"), "token", "left_semi"))
 
-    left = divided(met.filter("more"))
+    left = divided(_one_of_equal_groups(met.filter("more")))
     degrees = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     pivots = (
         left.join(degrees, "rep", "left").select("token", "rep", "n", "part", F.coalesce("links", F.lit(0)).alias("links"))
