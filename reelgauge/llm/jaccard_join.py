@@ -42,6 +42,8 @@ PERCENT = 80
 FREQUENT = 100_000
 #: Members of a tile's side.
 TILE = 256
+#: Groups of a set that go along with it at most, so that its pairs are given out once.
+LISTED = 128
 
 
 @cache
@@ -275,7 +277,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
 
 def _tiles(percent: int):
-    """Pairs (a < b) across components whose bitmaps allow a link, tile by tile."""
+    """Pairs (a < b) across components whose bitmaps allow a link, tile by tile.
+
+    A pair of sets that both list their groups is given out in the least common one only.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
@@ -285,6 +290,16 @@ def _tiles(percent: int):
                 rows = table.slice(start, count).sort_by("n")
                 rep, n, part = (rows.column(i).to_numpy() for i in (1, 2, 3))
                 bits = [np.frombuffer(x, "<u8") for x in rows.column(4).to_pylist()]
+                listed = rows.column(5)
+                known: dict[int, set[int] | None] = {}
+
+                def here(i: int, j: int, listed=listed, known=known, own=int(token[start])) -> bool:
+                    for k in (i, j):
+                        if k not in known:
+                            groups = listed[k].as_py()
+                            known[k] = None if groups is None else set(groups)
+                    return known[i] is None or known[j] is None or min(known[i] & known[j]) == own
+
                 tiles = _bands([len(x) for x in bits])
                 for at, own in enumerate(tiles):
                     for other in tiles[at:]:
@@ -292,6 +307,8 @@ def _tiles(percent: int):
                         if smallest > largest and not in_band(largest, smallest, percent):
                             break
                         a, b = _tile(n, part, bits, own, other, own is other, percent)
+                        first = [here(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                        a, b = a[first], b[first]
                         if len(a):
                             ends = np.sort([rep[a], rep[b]], axis=0)
                             yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], names=["a", "b"])
@@ -393,9 +410,12 @@ def ngram_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     links = _linked(pass_bitmaps(pivots), docs, size, percent)
     parts = settle(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)))
     left = divided(left.drop("part"))
-    # Sets that meet in several groups are given out in each; 16 bytes a pair, once here.
+    # Long lists stay behind, as they would be as many as they are long: pairs of such sets
+    # are given out in each group they meet in, 16 bytes a pair, and made one here.
+    groups = left.groupBy("rep").agg(F.collect_list("token").alias("tokens"))
+    groups = groups.withColumn("tokens", F.when(F.size("tokens") <= LISTED, F.col("tokens")))
     tiled = (
-        left.join(bits, "rep").select("token", "rep", "n", "part", "bits")
+        left.join(groups, "rep").join(bits, "rep").select("token", "rep", "n", "part", "bits", "tokens")
         .repartition("token").sortWithinPartitions("token")
         .mapInArrow(_tiles(percent), "a long, b long").distinct()
     )
