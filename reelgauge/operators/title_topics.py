@@ -1,7 +1,8 @@
 """One topic model a title: many small variational fits, several to a task.
 
 A title's lines are brought together by key and its model is fitted by batch variational
-Bayes, title after title in a stream, so a task holds one title at a time. Titles with
+Bayes, side by side with those of its neighbours in a stream, so a task holds one batch of
+rows and the title that goes on from it. Titles with
 more than ``max_tokens`` tokens, of which there can only be few, are fitted one by one
 with the distributed model instead, which splits a title's lines over all tasks.
 """
@@ -9,9 +10,11 @@ with the distributed model instead, which splits a title's lines over all tasks.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +23,8 @@ from reelgauge.operators.topics import default_stop_words, fit_topics, vocabular
 from reelgauge.session import settle
 from reelgauge.shipping import ship_package
 
-#: Tokens of a title that one task fits.
-MAX_TITLE_TOKENS = 2_000_000
+#: Tokens of a title that one task fits, and of the titles it fits side by side.
+MAX_TITLE_TOKENS, TOKENS_AT_ONCE = 2_000_000, 1 << 16
 _COLUMNS = "topic int, rank int, word string, weight double, vocabulary int"
 
 
@@ -35,65 +38,113 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return np.log(y) - 0.5 / y - series - low
 
 
-def _expected_log(weights: np.ndarray, axis: int) -> np.ndarray:
-    """exp of the expected log of a Dirichlet's shares."""
-    return np.exp(digamma(weights) - digamma(weights.sum(axis=axis, keepdims=True)))
+def _expected_log(weights: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """exp of the expected log of a Dirichlet's shares: of each row, or down each run of rows."""
+    if starts is None:
+        total = weights.sum(axis=1, keepdims=True)
+    else:
+        total = np.repeat(digamma(np.add.reduceat(weights, starts)), np.diff(np.r_[starts, len(weights)]), axis=0)
+        return np.exp(digamma(weights) - total)
+    return np.exp(digamma(weights) - digamma(total))
 
 
-def fit_counts(
-    line: np.ndarray, word: np.ndarray, uses: np.ndarray, words: int, topics: int, iterations: int, seed: int
+def _starts(groups: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else np.zeros(0, np.int64)
+
+
+def _mixtures(
+    place: np.ndarray, uses: np.ndarray, by_word: np.ndarray, owner: np.ndarray, prior: float
+) -> np.ndarray:
+    """Topic mixture of every line; a title's lines stop together once they hardly change.
+
+    ``place`` is each count's line, ``owner`` each line's title, both rising.
+    """
+    done = np.ones((len(owner), by_word.shape[1]))
+    lines, mixture = np.arange(len(owner)), done
+    for _ in range(100):
+        starts, titles = _starts(place), _starts(owner)
+        by_line = _expected_log(mixture)
+        scaled = uses / (np.einsum("ek,ek->e", by_line[place], by_word) + 1e-100)
+        before = mixture
+        mixture = prior + by_line * np.add.reduceat(by_word * scaled[:, None], starts)
+        changes = np.add.reduceat(np.abs(mixture - before).sum(axis=1), titles)
+        sizes = np.diff(np.r_[titles, len(owner)])
+        moving = np.repeat(changes >= 1e-3 * sizes * mixture.shape[1], sizes)
+        if moving.all():
+            continue
+        done[lines[~moving]] = mixture[~moving]
+        if not moving.any():
+            return done
+        held = moving[place]
+        place = (np.cumsum(moving) - 1)[place[held]]
+        uses, by_word = uses[held], by_word[held]
+        lines, mixture, owner = lines[moving], mixture[moving], owner[moving]
+    done[lines] = mixture
+    return done
+
+
+def fit_titles(
+    line: np.ndarray, word: np.ndarray, uses: np.ndarray, title: np.ndarray, topics: int, iterations: int, seed: int
 ) -> np.ndarray:
-    """topics x words weights from counts by (line, word), lines rising from 0.
+    """words x topics weights of the models of many titles, fitted side by side.
 
-    Batch variational Bayes with symmetric priors of 1 / topics.
+    Counts by (line, word), lines rising; ``title`` is the title of each word, rising, and
+    words belong to one title. Batch variational Bayes with symmetric priors of 1 / topics;
+    every title's model starts from the seed and stops as it would alone.
     """
-    rng = np.random.default_rng(seed)
     prior = 1 / topics
-    weights = rng.gamma(100.0, 0.01, (topics, words))
-    starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-    place = np.cumsum(np.r_[True, line[1:] != line[:-1]]) - 1
+    starts = _starts(title)
+    sizes = np.diff(np.r_[starts, len(title)])
+    begun = {size: np.random.default_rng(seed).gamma(100.0, 0.01, (topics, size)).T for size in np.unique(sizes).tolist()}
+    weights = np.concatenate([begun[size] for size in sizes.tolist()])
+    first = _starts(line)
+    place = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(line)]))
+    owner = title[word[first]]
     for _ in range(iterations):
-        by_word = _expected_log(weights, 1).T[word]
-        mixture = np.ones((len(starts), topics))
-        for _ in range(100):
-            by_line = _expected_log(mixture, 1)
-            scaled = uses / ((by_line[place] * by_word).sum(axis=1) + 1e-100)
-            before, mixture = mixture, prior + by_line * np.add.reduceat(by_word * scaled[:, None], starts)
-            if np.abs(mixture - before).mean() < 1e-3:
-                break
-        by_line = _expected_log(mixture, 1)[place]
-        scaled = uses / ((by_line * by_word).sum(axis=1) + 1e-100)
-        shares = by_line * by_word * scaled[:, None]
-        weights = prior + np.stack([np.bincount(word, shares[:, k], words) for k in range(topics)])
+        by_word = _expected_log(weights, starts)[word]
+        by_line = _expected_log(_mixtures(place, uses, by_word, owner, prior))[place]
+        shares = by_line * by_word
+        shares *= (uses / (shares.sum(axis=1) + 1e-100))[:, None]
+        weights = prior + np.stack([np.bincount(word, shares[:, k], len(title)) for k in range(topics)], axis=1)
     return weights
 
 
+def fit_counts(
+    line: np.ndarray, word: np.ndarray, uses: np.ndarray, words: int, topics: int, iterations: int, seed: int
+) -> np.ndarray:
+    """topics x words weights of one title's model from counts by (line, word), lines rising from 0."""
+    return fit_titles(line, word, uses, np.zeros(words, np.int64), topics, iterations, seed).T
+
+
 def bounded_counts(
-    lines: list[np.ndarray], min_docs: int, max_share: float
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Vocabulary within its bounds, and (line, word, uses) over it."""
-    sizes = [len(tokens) for tokens in lines]
-    if not sum(sizes):
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, object), none, none, none
-    names, word = np.unique(np.concatenate([t for t in lines if len(t)]).astype(str), return_inverse=True)
-    line = np.repeat(np.arange(len(lines)), sizes)
-    pairs, uses = np.unique(line * len(names) + word, return_counts=True)
-    line, word = np.divmod(pairs, len(names))
-    docs = np.bincount(word, minlength=len(names))
-    kept = (docs >= min_docs) & (docs <= max_share * len(lines))
-    held = kept[word]
-    return names[kept], line[held], (np.cumsum(kept) - 1)[word[held]], uses[held]
-
-
-def _top(names: np.ndarray, weights: np.ndarray, count: int) -> list[tuple]:
-    """(topic, rank, word, weight): a word's share of its topic, word order breaking ties."""
-    shares = weights / weights.sum(axis=1, keepdims=True)
-    order = np.argsort(-shares, axis=1, kind="stable")[:, :count]
-    return [
-        (topic, rank, str(names[at]), float(shares[topic, at]), len(names))
-        for topic, row in enumerate(order) for rank, at in enumerate(row, start=1)
-    ]
+    title: np.ndarray, line: np.ndarray, word: np.ndarray, min_docs: int, max_share: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(title, word) within the bounds of its title, and (line, place in these, uses).
+
+    ``title`` is each line's title, rising; ``line`` and ``word`` are each token's.
+    """
+    size = int(word.max(initial=0)) + 1
+    pairs, uses = np.unique(line * size + word, return_counts=True)
+    line, word = np.divmod(pairs, size)
+    known, place, docs = np.unique(title[line] * size + word, return_inverse=True, return_counts=True)
+    owner, name = np.divmod(known, size)
+    kept = (docs >= min_docs) & (docs <= max_share * np.bincount(title)[owner])
+    held = kept[place]
+    return owner[kept], name[kept], line[held], (np.cumsum(kept) - 1)[place[held]], uses[held]
+
+
+def _top(owner: np.ndarray, weights: np.ndarray, count: int) -> list[np.ndarray]:
+    """(word, topic, rank, share) of the heaviest words of each title and topic, earlier words first among equals."""
+    starts = _starts(owner)
+    sizes = np.diff(np.r_[starts, len(owner)])
+    shares = weights / np.repeat(np.add.reduceat(weights, starts), sizes, axis=0)
+    rank = np.arange(len(owner)) - np.repeat(starts, sizes)
+    listed = rank < count
+    orders = [np.lexsort((-shares[:, topic], owner))[listed] for topic in range(shares.shape[1])]
+    topic = np.repeat(np.arange(len(orders)), listed.sum())
+    word = np.concatenate(orders)
+    return [word, topic, np.tile(rank[listed] + 1, len(orders)), shares[word, topic]]
 
 
 def topics_by_title(
@@ -127,37 +178,59 @@ def topics_by_title(
     large = [row.title for row in sizes.where(F.col("tokens") > max_tokens).select("title").collect()]
     is_large = F.coalesce(F.col("title").isin([t for t in large if t is not None]), F.lit(None in large))
     title_type = tokenised.schema["title"].dataType.simpleString()
+    names = ["title", "topic", "rank", "word", "weight", "vocabulary"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        title, begun = None, False
-
-        def fitted() -> pd.DataFrame:
-            names, line, word, uses = bounded_counts(held, min_docs, max_share)
-            rows = []
-            if len(names):
-                rows = _top(names, fit_counts(line, word, uses, len(names), topics, iterations, seed), count)
-            found = pd.DataFrame(rows, columns=["topic", "rank", "word", "weight", "vocabulary"])
-            found.insert(0, "title", pd.Series([title] * len(rows), dtype=object))
-            return found
+    def fitted(lines: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Models of whole titles, as many at once as hold some ``TOKENS_AT_ONCE`` tokens."""
+        titles, tokens = (lines.column(name).combine_chunks() for name in ("title", "tokens"))
+        ends = tokens.offsets.to_numpy().astype(np.int64)
+        codes = titles.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        starts = np.r_[_starts(codes), len(codes)]
+        part = (ends[starts[:-1]] - ends[0]) // TOKENS_AT_ONCE
+        for first, last in pairwise(starts[np.r_[_starts(part), len(part)]].tolist()):
+            flat = tokens.slice(first, last - first).flatten().dictionary_encode()
+            # Numbers of words that rise with the words.
+            order = pc.sort_indices(flat.dictionary)
+            number = np.empty(len(order), np.int64)
+            number[order.to_numpy()] = np.arange(len(order))
+            own = np.cumsum(np.r_[True, codes[first + 1 : last] != codes[first : last - 1]]) - 1
+            of_line = np.repeat(np.arange(last - first), np.diff(ends[first : last + 1]))
+            owner, name, line, word, uses = bounded_counts(
+                own, of_line, number[flat.indices.to_numpy()], min_docs, max_share
+            )
+            if not len(owner):
+                continue
+            weights = fit_titles(line, word, uses, owner, topics, iterations, seed)
+            at, topic, rank, share = _top(owner, weights, count)
+            place = first + _starts(own)[owner[at]]
+            words = flat.dictionary.take(order).take(pa.array(name[at]))
+            sizes = np.bincount(owner)[owner[at]]
+            yield pa.RecordBatch.from_arrays([
+                titles.take(pa.array(place)), pa.array(topic, pa.int32()), pa.array(rank, pa.int32()),
+                words, pa.array(share), pa.array(sizes, pa.int32()),
+            ], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            done = []
-            for own, tokens in zip(batch["title"].tolist(), batch["tokens"].tolist(), strict=True):
-                own = None if own != own else own
-                if begun and own != title:
-                    done.append(fitted())
-                    held.clear()
-                title, begun = own, True
-                held.append(tokens)
-            yield from filter(len, done)
-        if begun:
-            yield fitted()
-
-    small = tokenised.where(~is_large).repartition("title").sortWithinPartitions("title", "tokens")
-    # As text, so that a missing title does not turn whole numbers into fractions.
+            if not batch.num_rows:
+                continue
+            title = batch.column("title")
+            # The rows from ``tail`` on are of the batch's last title, which may go on.
+            tail = int(_starts(title.dictionary_encode(null_encoding="encode").indices.to_numpy())[-1])
+            if tail or (held and held[-1].column("title")[-1].as_py() != title[0].as_py()):
+                yield from fitted(pa.Table.from_batches([*held, batch.slice(0, tail)]))
+                held = []
+            held.append(batch.slice(tail))
+        if held:
+            yield from fitted(pa.Table.from_batches(held))
+
+    # A fit costs far more than its few bytes tell, so tasks are not merged by their size.
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = tokenised.where(~is_large).repartition(parts, "title").sortWithinPartitions("title", "tokens")
+    # As text, for the comparison of neighbours.
     named = small.select(F.col("title").cast("string").alias("title"), "tokens")
-    found = named.mapInPandas(run, f"title string, {_COLUMNS}")
+    found = named.mapInArrow(run, f"title string, {_COLUMNS}")
     found = found.withColumn("title", F.col("title").cast(title_type))
     for title in large:
         own = lines.where(F.col(title_col).eqNullSafe(F.lit(title).cast(title_type)))

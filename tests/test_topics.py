@@ -1,7 +1,10 @@
 """Vocabulary bounds, theme naming, theme growth, topic models."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelgauge import constants as C
 from reelgauge.operators import similarity as S
@@ -169,3 +172,52 @@ def test_a_vocabulary_too_large_loses_its_rarest_words(spark, monkeypatch):
     monkeypatch.setattr(T, "MAX_VOCABULARY", 5)
     fit = T.fit_topics(lines, topics=2, stop_words=[], iterations=1, max_share=1.0)
     assert (set(fit.vectorizer.vocabulary), fit.min_docs) == ({"common", "half0", "half1"}, 4)
+
+
+def plain_fit(line, word, uses, words, topics, iterations, seed):
+    """One title's model alone, line by line."""
+    prior, weights = 1 / topics, np.random.default_rng(seed).gamma(100.0, 0.01, (topics, words))
+    log_share = lambda w: np.exp(O.digamma(w) - O.digamma(w.sum(axis=1, keepdims=True)))
+    place = np.unique(line, return_inverse=True)[1]
+    for _ in range(iterations):
+        by_word, mixture = log_share(weights).T[word], np.ones((place.max() + 1, topics))
+        for step in range(101):
+            shares = log_share(mixture)[place] * by_word
+            shares *= (uses / (shares.sum(axis=1) + 1e-100))[:, None]
+            if step == 100 or (step and np.abs(mixture - before).mean() < 1e-3):
+                break
+            before, mixture = mixture, prior + np.stack([np.bincount(place, s) for s in shares.T], axis=1)
+        weights = prior + np.stack([np.bincount(word, s, words) for s in shares.T])
+    return weights
+
+
+def test_titles_fitted_side_by_side_are_as_alone():
+    rng = np.random.default_rng(3)
+    parts, lines, words = [], 0, 0
+    for title in range(40):
+        size = rng.integers(1, 12)
+        pairs = np.unique(rng.integers(0, [rng.integers(1, 9), size], (40, 2)), axis=0)
+        known, word = np.unique(pairs[:, 1], return_inverse=True)
+        parts.append((pairs[:, 0], word, rng.integers(1, 5, len(pairs)), len(known), lines, words))
+        lines, words = lines + 9, words + len(known)
+    joined = [np.concatenate(c) for c in zip(*((p[0] + p[4], p[1] + p[5], p[2], ) for p in parts))]
+    title = np.repeat(np.arange(40), [p[3] for p in parts])
+    found = O.fit_titles(*joined, title, 5, 10, 42)
+    for i, (line, word, uses, size, _, start) in enumerate(parts):
+        alone = plain_fit(line, word, uses, size, 5, 10, 42)
+        assert found[title == i].T == pytest.approx(alone, rel=1e-6)
+        assert O.fit_counts(line, word, uses, size, 5, 10, 42) == pytest.approx(alone, rel=1e-6)
+
+
+def test_many_short_titles_take_little_time(spark):
+    """Titles that go on over several batches of rows, with lone lines between them."""
+    rows = [(f"t{i}", f"wave{i % 7} sail{j % 3} storm{(i + j) % 5} deck") for i in range(2_000) for j in range(6)]
+    lines = spark.createDataFrame(rows + [(f"lone{i}", "one line") for i in range(20_000)], "title string, line string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        begun = time.time()
+        found = O.topics_by_title(lines).groupBy("title").agg(F.count_distinct("topic").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 2_000 and {r.n for r in found} == {5}
+    assert time.time() - begun < 25
