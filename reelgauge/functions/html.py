@@ -62,7 +62,7 @@ def decode_entities(text: Column) -> Column:
 _QUOTED = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+){0,64}+"""
 _UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
 _PART = (
-    rf"{_UNSEEN}|</?[a-z](?:{_QUOTED}|[^>]*)>|<[!?/][^>]*>|[^<]+|<"
+    rf"[^<]+|{_UNSEEN}|</?[a-z](?:{_QUOTED}|[^>]*)>|<[!?/][^>]*>|<"
 )
 _TAG_NAME = r"(?is)^<(/?)([a-z][^\s/>]*)"
 
@@ -75,71 +75,68 @@ _OPEN, _CLOSE, _OTHER = 1, 2, 0
 
 
 def _parts(html: Column) -> Column:
-    """Array of (part, name, kind) in the page's order; no name for what opens or closes nothing."""
-
-    def described(part: Column) -> Column:
-        tag = F.startswith(part, F.lit("<"))
-        name = F.when(tag, F.lower(F.regexp_extract(part, _TAG_NAME, 2))).otherwise("")
-        alone = name.isin("script", "style", *_VOID) | F.endswith(part, F.lit("/>"))
-        kind = (
-            F.when(name == "", _OTHER).when(F.startswith(part, F.lit("</")), _CLOSE)
-            .when(alone, _OTHER).otherwise(_OPEN)
-        )
-        return F.struct(part.alias("part"), name.alias("name"), kind.alias("kind"))
+    """Array of (part, name, kind, at) in the page's order; no name for what opens or closes nothing."""
+
+    def described(part: Column, at: Column) -> Column:
+        def named(name: Column) -> Column:
+            alone = name.isin("script", "style", *_VOID) | F.endswith(part, F.lit("/>"))
+            kind = (
+                F.when(name == "", _OTHER).when(F.startswith(part, F.lit("</")), _CLOSE)
+                .when(alone, _OTHER).otherwise(_OPEN)
+            )
+            return F.struct(part.alias("part"), name.alias("name"), kind.alias("kind"), at.alias("at"))
+
+        text = F.struct(part.alias("part"), F.lit("").alias("name"), F.lit(_OTHER).alias("kind"), at.alias("at"))
+        tag = once(F.lower(F.regexp_extract(part, _TAG_NAME, 2)), named)
+        return F.when(F.startswith(part, F.lit("<")), tag).otherwise(text)
 
     found = F.regexp_extract_all(html, F.lit(_PART), F.lit(0))
-    return F.transform(found, lambda part: once(part, described))
+    return F.transform(found, described)
 
 
-def _element(parts: Column, tag: str, after: Column | int = 0) -> Column:
-    """(start, end) of the first ``tag`` element that opens at part ``after`` or later.
+def _element(parts: Column, first: Column) -> Column:
+    """(start, end) of the element that opens at part ``first``.
 
     A pass over the parts with a stack of the open elements: an end tag closes the latest
-    element of its name and all that opened in it, or nothing if there is none. Start is
-    -1 without such an element; one that is never closed ends with the page.
+    element of its name and all that opened in it, or nothing if there is none. An
+    element that is never closed ends with the page.
     """
-    begun = F.struct(
-        F.array().cast("array<string>").alias("open"), F.lit(0).alias("at"),
-        F.lit(-1).alias("start"), F.lit(0).alias("depth"), F.lit(-1).alias("end"),
-    )
-    state_type = "struct<open:array<string>,at:int,start:int,depth:int,end:int>"
+    # Only tags have a say.
+    tags = F.filter(parts, lambda part: part["name"] != "")
 
-    def state(open_: Column, now: Column, start: Column, depth: Column, end: Column) -> Column:
-        return F.struct(
-            open_.alias("open"), (now["at"] + 1).alias("at"), start.alias("start"), depth.alias("depth"), end.alias("end"),
-        ).cast(state_type)
+    def state(open_: Column, start: Column, depth: Column, end: Column) -> Column:
+        return F.struct(open_.alias("open"), start.alias("start"), depth.alias("depth"), end.alias("end"))
 
     def step(now: Column, part: Column) -> Column:
-        here = (part["name"] == tag) & (now["start"] < 0) & (now["at"] >= after)
-        # Elements that stay open: those before the latest of this name.
-        place = F.array_position(F.reverse(now["open"]), part["name"])
-        left = (F.size(now["open"]) - place).cast("int")
-        closes = (now["start"] >= 0) & (left < now["depth"])
-        opened = state(
-            F.concat(now["open"], F.array(part["name"])), now,
-            F.when(here, now["at"]).otherwise(now["start"]),
-            F.when(here, F.size(now["open"]) + 1).otherwise(now["depth"]), now["end"],
-        )
-        closed = state(
-            F.slice(now["open"], 1, left), now, now["start"], now["depth"],
-            F.when(closes, now["at"]).otherwise(now["end"]),
-        )
-        passed = state(
-            now["open"], now, F.when(here & (part["kind"] == _OTHER), now["at"]).otherwise(now["start"]), now["depth"],
-            F.when(here & (part["kind"] == _OTHER), now["at"]).otherwise(now["end"]),
+        here = part["at"] == first
+        names = F.concat(now["open"], F.array(part["name"]))
+        opened = F.when(here, state(names, part["at"], F.size(now["open"]) + 1, now["end"])).otherwise(
+            state(names, now["start"], now["depth"], now["end"])
         )
+
+        def closed(place: Column) -> Column:
+            # Elements that stay open: those before the latest of this name.
+            def kept(left: Column) -> Column:
+                closes = (now["start"] >= 0) & (left < now["depth"])
+                end = F.when(closes, part["at"]).otherwise(now["end"])
+                return state(F.slice(now["open"], 1, left), now["start"], now["depth"], end)
+
+            return F.when(place > 0, once((F.size(now["open"]) - place).cast("int"), kept)).otherwise(now)
+
         return (
             F.when(now["end"] >= 0, now)
             .when(part["kind"] == _OPEN, opened)
-            .when((part["kind"] == _CLOSE) & (place > 0), closed)
-            .otherwise(passed)
+            .when(part["kind"] == _CLOSE, once(F.array_position(F.reverse(now["open"]), part["name"]), closed))
+            .when(here, state(now["open"], part["at"], now["depth"], part["at"]))
+            .otherwise(now)
         )
 
     def bounds(done: Column) -> Column:
-        end = F.when(done["end"] < 0, done["at"]).otherwise(done["end"])
+        end = F.when(done["end"] < 0, F.size(parts)).otherwise(done["end"])
         return F.struct(done["start"].alias("start"), end.alias("end"))
 
-    return F.aggregate(parts, begun.cast(state_type), step, bounds)
+    begun = state(F.array().cast("array<string>"), F.lit(-1), F.lit(0), F.lit(-1))
+    return F.aggregate(tags, begun, step, bounds)
 
 
 def _text_of(parts: Column, bounds: Column) -> Column:
@@ -152,9 +149,7 @@ def _text_of(parts: Column, bounds: Column) -> Column:
 
 def _held_text(parts: Column, tag: str, after: Column | int = 0) -> Column:
     """Text of the first ``tag`` element from part ``after`` on."""
-    opens = F.transform(
-        parts, lambda p, i: F.when((p["name"] == tag) & (p["kind"] != _CLOSE) & (i >= after), i)
-    )
+    opens = F.filter(parts, lambda p: (p["name"] == tag) & (p["kind"] != _CLOSE) & (p["at"] >= after))
 
     def held(first: Column) -> Column:
         text, close = (F.get(parts, first + i) for i in (1, 2))
@@ -162,10 +157,10 @@ def _held_text(parts: Column, tag: str, after: Column | int = 0) -> Column:
         alone = (F.get(parts, first)["kind"] == _OPEN) & (text["name"] == "")
         alone &= (close["name"] == tag) & (close["kind"] == _CLOSE)
         plain = alone & ~F.startswith(text["part"], F.lit("<"))
-        general = once(_element(parts, tag, after), lambda bounds: _text_of(parts, bounds))
+        general = F.when(first.isNotNull(), once(_element(parts, first), lambda bounds: _text_of(parts, bounds)))
         return F.when(plain, text["part"]).otherwise(general)
 
-    return once(F.array_min(opens), held)
+    return once(F.get(opens, F.lit(0))["at"], held)
 
 
 def strip_tags(html: Column) -> Column:
@@ -199,9 +194,11 @@ def link_target(html: Column, title: Column) -> Column:
         F.regexp_extract_all(seen, link, F.lit(2)).alias("text"),
     ))
     matching = F.filter(links, lambda found: decode_entities(found["text"]) == title)
-    attributes = F.get(matching, F.lit(0))["attributes"]
     href = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*[F.regexp_extract(attributes, href, group) for group in (1, 2, 3)])
+    value = once(
+        F.get(matching, F.lit(0))["attributes"],
+        lambda attributes: F.concat(*[F.regexp_extract(attributes, href, group) for group in (1, 2, 3)]),
+    )
     return decode_entities(value)
 
 
@@ -217,21 +214,18 @@ def labelled_amount(html: Column, label: str = BUDGET_LABEL) -> Column:
     def labelled(parts: Column) -> Column:
         # The label's own text, with nothing but start tags back to its span and nothing
         # but end tags on to the end of that span.
-        texts = F.transform(
+        texts = F.filter(
             parts,
-            lambda part, i: F.when(
-                (part["part"] == label)
-                & (F.get(_names(parts, i, -1), F.lit(0)) == "span")
-                & F.array_contains(_names(parts, i, 1), "span"),
-                i,
-            ),
+            lambda part: (part["part"] == label)
+            & (F.get(_names(parts, part["at"], -1), F.lit(0)) == "span")
+            & F.array_contains(_names(parts, part["at"], 1), "span"),
         )
         return once(
-            F.array_min(texts), lambda at: F.when(at.isNotNull(), _held_text(parts, "span", at))
+            F.get(texts, F.lit(0))["at"], lambda at: F.when(at.isNotNull(), _held_text(parts, "span", at))
         )
 
     held = F.contains(html, F.lit(label))
-    return F.when(held, currency(decode_entities(once(_parts(html), labelled))))
+    return F.when(held, once(decode_entities(once(_parts(html), labelled)), currency))
 
 
 def _names(parts: Column, at: Column, step: int) -> Column:

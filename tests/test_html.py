@@ -102,3 +102,15 @@ def test_large_pages_take_one_pass(spark):
     found = df.select(H.first_element_text(F.col("page")).alias("t"), H.labelled_amount(F.col("page")), H.link_target(F.col("page"), F.lit("T"))).collect()
     assert [r.t for r in found] == ["found"] * len(pages)
     assert time.time() - start < 30
+
+
+def test_each_value_of_a_page_is_worked_out_once(spark):
+    """The patterns that read a page run once for a value: not again for each use of what they find."""
+    page = spark.createDataFrame([("<span>Budget</span><span>1</span>",)], "page string")
+
+    def runs(column, pattern):
+        plan = page.select(column.alias("value"))._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count(pattern)
+
+    assert runs(H.labelled_amount(F.col("page")), "(?is)<!--") == 1
+    assert runs(H.link_target(F.col("page"), F.lit("T")), "(?is)<!--") == 1
