@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgauge import constants as C
-from reelgauge.functions.text import tokens
+from reelgauge.functions.text import once, tokens
 from reelgauge.operators.ordering import null_safe_join
 from reelgauge.operators.similarity import similar_pairs
 from reelgauge.session import settle
 
 MAX_VOCABULARY = 5_000_000
+#: Most words that are sent to every task.
+COMMON_WORDS = 1 << 17
 
 
 def vocabulary_tokens(text: Column, stop_words: Iterable[str]) -> Column:
@@ -27,6 +29,21 @@ def vocabulary_tokens(text: Column, stop_words: Iterable[str]) -> Column:
     return F.filter(found, lambda token: ~token.isin(skipped)) if skipped else found
 
 
+def word_counts(words: Column) -> Column:
+    """Array of (word, uses) of an array of words: runs of equal ones, once in order."""
+
+    def runs(ordered: Column) -> Column:
+        ends = F.filter(
+            F.transform(ordered, lambda word, i: F.struct(word.alias("word"), (i + 1).cast("long").alias("end"))),
+            lambda e: ~F.get(ordered, e["end"].cast("int")).eqNullSafe(e["word"]),
+        )
+        return once(ends, lambda found: F.transform(found, lambda e, i: F.struct(
+            e["word"].alias("word"), (e["end"] - F.coalesce(F.get(found, i - 1)["end"], F.lit(0))).alias("uses"),
+        )))
+
+    return once(F.sort_array(words), runs)
+
+
 def default_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
@@ -62,19 +79,41 @@ def bag_of_words(
 ) -> DataFrame:
     """Term counts per line, in long form, over the bounded vocabulary.
 
-    ``id_cols`` name a line. Both sides of the join start from the same counted
-    shuffle, so each text is tokenised once.
+    ``id_cols`` name a line; rows of the same ones are one line. Words are counted inside
+    their row, so what is shuffled are distinct words of a task with their lines, and lines
+    whose ids come more than once. The most frequent words, of which there are
+    ``COMMON_WORDS`` at most, meet the vocabulary without a shuffle; only uses of rarer
+    ones are brought together by word.
     """
-    used = vocabulary_tokens(F.col(text_col), stop_words)
-    counted = (
-        lines.select(*id_cols, F.explode(used).alias("word"))
-        .groupBy(*id_cols, "word")
-        .agg(F.count("*").alias("uses"))
-    )
-    # Reading "uses" keeps this branch's shuffle the same as the other's.
-    docs = counted.groupBy("word").agg(F.count_if(F.col("uses") > 0).alias("docs"))
+    ids = [F.col(name) for name in id_cols]
+    rows = settle(lines.select(*ids, word_counts(vocabulary_tokens(F.col(text_col), stop_words)).alias("_counts")))
+    repeated = settle(rows.groupBy(*id_cols).agg(F.count("*").alias("_rows")).where("_rows > 1").select(*id_cols))
+    counted = rows.select(*ids, F.inline("_counts"))
+    if not repeated.isEmpty():
+        again, alone = (null_safe_join(rows, repeated, id_cols, how) for how in ("left_semi", "left_anti"))
+        merged = again.select(*ids, F.inline("_counts")).groupBy(*id_cols, "word").agg(F.sum("uses").alias("uses"))
+        counted = alone.select(*ids, F.inline("_counts")).unionByName(merged)
+    docs = settle(counted.groupBy("word").agg(F.count("*").alias("docs")))
     kept = _within_bounds(docs, lines, text_col, min_docs, max_share)
-    return counted.join(kept.select("word"), "word")
+    least = _common_from(docs)
+    # At most COMMON_WORDS of them, whatever the vocabulary.
+    within = kept.select("word", F.lit(True).alias("_kept"))
+    marked = docs.where(F.col("docs") >= least).select("word").join(within, "word", "left")
+    common = settle(marked.select("word", F.coalesce("_kept", F.lit(False)).alias("_kept")))
+    found = counted.join(F.broadcast(common), "word", "left")
+    often = found.where("_kept").drop("_kept")
+    rare = kept.where(F.col("docs") < least).select("word")
+    if rare.isEmpty():
+        return often.select("word", *ids, "uses")
+    seldom = found.where(F.col("_kept").isNull()).drop("_kept").join(rare, "word")
+    return often.select("word", *ids, "uses").unionByName(seldom.select("word", *ids, "uses"))
+
+
+def _common_from(docs: DataFrame) -> int:
+    """The least number of lines of a word from which on there are at most ``COMMON_WORDS``."""
+    counts = settle(docs.groupBy("docs").count())
+    _, least = _vocabulary_within(counts, COMMON_WORDS, 1)
+    return least
 
 
 def top_words(

@@ -221,3 +221,23 @@ def test_many_short_titles_take_little_time(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(found) == 2_000 and {r.n for r in found} == {5}
     assert time.time() - begun < 25
+
+
+def test_rare_and_common_words_meet_the_vocabulary(spark, monkeypatch):
+    """Lines in several rows, lines without ids, and more words than are sent to every task."""
+    rows = [(1, "a1 war war peace"), (1, "war love"), (None, "war peace"), (None, "peace"), (2, "love rare"), (3, None), (4, "war")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    expected = {
+        (1, "war", 3), (1, "peace", 1), (1, "love", 1), (None, "war", 1), (None, "peace", 2), (2, "love", 1), (4, "war", 1)}
+    for most in (1, 2, 100):
+        monkeypatch.setattr(T, "COMMON_WORDS", most)
+        bag = T.bag_of_words(df, ["id"], "text", [], 2, 0.95)
+        assert bag.columns == ["word", "id", "uses"]
+        found = bag.collect()
+        assert len(found) == len(expected) and {(r.id, r.word, r.uses) for r in found} == expected
+
+
+def test_words_are_not_shuffled_with_their_lines(spark):
+    df = spark.createDataFrame([(i, f"wave{i % 7} sail{i % 3} deck") for i in range(100)], "id int, text string")
+    plan = T.bag_of_words(df, ["id"], "text")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(" not in plan
