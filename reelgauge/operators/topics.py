@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgauge import constants as C
-from reelgauge.functions.text import once, tokens
+from reelgauge.functions.text import tokens
 from reelgauge.operators.ordering import null_safe_join
 from reelgauge.operators.similarity import similar_pairs
+from reelgauge.operators.word_counts import counted_words
 from reelgauge.session import settle
 
 MAX_VOCABULARY = 5_000_000
@@ -29,21 +30,6 @@ def vocabulary_tokens(text: Column, stop_words: Iterable[str]) -> Column:
     return F.filter(found, lambda token: ~token.isin(skipped)) if skipped else found
 
 
-def word_counts(words: Column) -> Column:
-    """Array of (word, uses) of an array of words: runs of equal ones, once in order."""
-
-    def runs(ordered: Column) -> Column:
-        ends = F.filter(
-            F.transform(ordered, lambda word, i: F.struct(word.alias("word"), (i + 1).cast("long").alias("end"))),
-            lambda e: ~F.get(ordered, e["end"].cast("int")).eqNullSafe(e["word"]),
-        )
-        return once(ends, lambda found: F.transform(found, lambda e, i: F.struct(
-            e["word"].alias("word"), (e["end"] - F.coalesce(F.get(found, i - 1)["end"], F.lit(0))).alias("uses"),
-        )))
-
-    return once(F.sort_array(words), runs)
-
-
 def default_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
@@ -86,7 +72,7 @@ def bag_of_words(
     ones are brought together by word.
     """
     ids = [F.col(name) for name in id_cols]
-    rows = settle(lines.select(*ids, word_counts(vocabulary_tokens(F.col(text_col), stop_words)).alias("_counts")))
+    rows = settle(counted_words(lines, id_cols, text_col, stop_words))
     repeated = settle(rows.groupBy(*id_cols).agg(F.count("*").alias("_rows")).where("_rows > 1").select(*id_cols))
     counted = rows.select(*ids, F.inline("_counts"))
     if not repeated.isEmpty():
