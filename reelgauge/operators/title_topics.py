@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from reelgauge import constants as C
 from reelgauge.operators.topics import default_stop_words, fit_topics, vocabulary_tokens
+from reelgauge.operators.variational import digamma, expected_log, run_starts  # noqa: F401
 from reelgauge.session import settle
 from reelgauge.shipping import ship_package
 
@@ -28,31 +29,6 @@ MAX_TITLE_TOKENS, TOKENS_AT_ONCE = 2_000_000, 1 << 16
 _COLUMNS = "topic int, rank int, word string, weight double, vocabulary int"
 
 
-def digamma(x: np.ndarray) -> np.ndarray:
-    """Derivative of log gamma for positive ``x``: moved up past 6, then its series."""
-    x = np.asarray(x, np.float64)
-    low = sum(1 / (x + i) for i in range(6))
-    y = x + 6
-    inverse = 1 / (y * y)
-    series = inverse * (1 / 12 - inverse * (1 / 120 - inverse * (1 / 252 - inverse / 240)))
-    return np.log(y) - 0.5 / y - series - low
-
-
-def _expected_log(weights: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
-    """exp of the expected log of a Dirichlet's shares: of each row, or down each run of rows."""
-    if starts is None:
-        total = weights.sum(axis=1, keepdims=True)
-    else:
-        total = np.repeat(digamma(np.add.reduceat(weights, starts)), np.diff(np.r_[starts, len(weights)]), axis=0)
-        return np.exp(digamma(weights) - total)
-    return np.exp(digamma(weights) - digamma(total))
-
-
-def _starts(groups: np.ndarray) -> np.ndarray:
-    """Where each run of equal values begins."""
-    return np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else np.zeros(0, np.int64)
-
-
 def _mixtures(
     place: np.ndarray, uses: np.ndarray, by_word: np.ndarray, owner: np.ndarray, prior: float
 ) -> np.ndarray:
@@ -63,8 +39,8 @@ def _mixtures(
     done = np.ones((len(owner), by_word.shape[1]))
     lines, mixture = np.arange(len(owner)), done
     for _ in range(100):
-        starts, titles = _starts(place), _starts(owner)
-        by_line = _expected_log(mixture)
+        starts, titles = run_starts(place), run_starts(owner)
+        by_line = expected_log(mixture)
         scaled = uses / (np.einsum("ek,ek->e", by_line[place], by_word) + 1e-100)
         before = mixture
         mixture = prior + by_line * np.add.reduceat(by_word * scaled[:, None], starts)
@@ -94,16 +70,16 @@ def fit_titles(
     every title's model starts from the seed and stops as it would alone.
     """
     prior = 1 / topics
-    starts = _starts(title)
+    starts = run_starts(title)
     sizes = np.diff(np.r_[starts, len(title)])
     begun = {size: np.random.default_rng(seed).gamma(100.0, 0.01, (topics, size)).T for size in np.unique(sizes).tolist()}
     weights = np.concatenate([begun[size] for size in sizes.tolist()])
-    first = _starts(line)
+    first = run_starts(line)
     place = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(line)]))
     owner = title[word[first]]
     for _ in range(iterations):
-        by_word = _expected_log(weights, starts)[word]
-        by_line = _expected_log(_mixtures(place, uses, by_word, owner, prior))[place]
+        by_word = expected_log(weights, starts)[word]
+        by_line = expected_log(_mixtures(place, uses, by_word, owner, prior))[place]
         shares = by_line * by_word
         shares *= (uses / (shares.sum(axis=1) + 1e-100))[:, None]
         weights = prior + np.stack([np.bincount(word, shares[:, k], len(title)) for k in range(topics)], axis=1)
@@ -136,7 +112,7 @@ def bounded_counts(
 
 def _top(owner: np.ndarray, weights: np.ndarray, count: int) -> list[np.ndarray]:
     """(word, topic, rank, share) of the heaviest words of each title and topic, earlier words first among equals."""
-    starts = _starts(owner)
+    starts = run_starts(owner)
     sizes = np.diff(np.r_[starts, len(owner)])
     shares = weights / np.repeat(np.add.reduceat(weights, starts), sizes, axis=0)
     rank = np.arange(len(owner)) - np.repeat(starts, sizes)
@@ -185,9 +161,9 @@ def topics_by_title(
         titles, tokens = (lines.column(name).combine_chunks() for name in ("title", "tokens"))
         ends = tokens.offsets.to_numpy().astype(np.int64)
         codes = titles.dictionary_encode(null_encoding="encode").indices.to_numpy()
-        starts = np.r_[_starts(codes), len(codes)]
+        starts = np.r_[run_starts(codes), len(codes)]
         part = (ends[starts[:-1]] - ends[0]) // TOKENS_AT_ONCE
-        for first, last in pairwise(starts[np.r_[_starts(part), len(part)]].tolist()):
+        for first, last in pairwise(starts[np.r_[run_starts(part), len(part)]].tolist()):
             flat = tokens.slice(first, last - first).flatten().dictionary_encode()
             # Numbers of words that rise with the words.
             order = pc.sort_indices(flat.dictionary)
@@ -202,7 +178,7 @@ def topics_by_title(
                 continue
             weights = fit_titles(line, word, uses, owner, topics, iterations, seed)
             at, topic, rank, share = _top(owner, weights, count)
-            place = first + _starts(own)[owner[at]]
+            place = first + run_starts(own)[owner[at]]
             words = flat.dictionary.take(order).take(pa.array(name[at]))
             sizes = np.bincount(owner)[owner[at]]
             yield pa.RecordBatch.from_arrays([
@@ -217,7 +193,7 @@ def topics_by_title(
                 continue
             title = batch.column("title")
             # The rows from ``tail`` on are of the batch's last title, which may go on.
-            tail = int(_starts(title.dictionary_encode(null_encoding="encode").indices.to_numpy())[-1])
+            tail = int(run_starts(title.dictionary_encode(null_encoding="encode").indices.to_numpy())[-1])
             if tail or (held and held[-1].column("title")[-1].as_py() != title[0].as_py()):
                 yield from fitted(pa.Table.from_batches([*held, batch.slice(0, tail)]))
                 held = []

@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from reelgauge import constants as C
 from reelgauge.functions.text import tokens
 from reelgauge.operators.ordering import null_safe_join
 from reelgauge.operators.similarity import similar_pairs
+from reelgauge.operators.variational import expected_log, line_mixtures
 from reelgauge.operators.word_counts import counted_words
 from reelgauge.session import settle
+from reelgauge.shipping import ship_package
 
 MAX_VOCABULARY = 5_000_000
 #: Most words that are sent to every task.
 COMMON_WORDS = 1 << 17
+#: Counts that a task of the topic model holds at once, and rows it gives out at once.
+_COUNTS_HELD, _ROWS_OUT = 1 << 22, 1 << 16
 
 
 def vocabulary_tokens(text: Column, stop_words: Iterable[str]) -> Column:
@@ -110,38 +115,158 @@ def top_words(
     return weights.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
 
 
+@dataclass
+class WordList:
+    """The words a model knows, rising."""
+
+    words: pa.Array
+
+    @property
+    def vocabulary(self) -> list[str]:
+        return self.words.to_pylist()
+
+
+@dataclass
+class TopicModel:
+    """Weights of a model, words x topics, and the prior of a line's mixture."""
+
+    weights: np.ndarray
+    prior: float
+
+    def by_word(self) -> np.ndarray:
+        """exp of the expected log share of each word; a last row of zeros for no word."""
+        return np.r_[expected_log(self.weights.T).T, np.zeros((1, self.weights.shape[1]))]
+
+    def getSubsamplingRate(self) -> float:
+        """Share of the lines that each pass reads, under the name it has in Spark's models."""
+        return 1.0
+
+
 @dataclass
 class TopicFit:
     """A topic model over a corpus of lines."""
 
     spark: SparkSession
-    vectorizer: CountVectorizerModel
-    model: LDAModel
+    vectorizer: WordList
+    model: TopicModel
+    #: Title of each line, its words and their uses.
     corpus: DataFrame
     #: Lines a word is in at least; more than asked for when the vocabulary was too large.
     min_docs: int
 
     def words(self, count: int = C.WORDS_PER_TOPIC) -> DataFrame:
         """(topic, rank, word, weight): the heaviest words of every topic."""
-        vocab = self.vectorizer.vocabulary
+        shares = self.model.weights / self.model.weights.sum(axis=0)
         rows = [
-            (topic.topic, rank, vocab[index], float(weight))
-            for topic in self.model.describeTopics(count).toLocalIterator()
-            for rank, (index, weight) in enumerate(
-                zip(topic.termIndices, topic.termWeights, strict=True), start=1
-            )
+            (topic, rank, self.vectorizer.words[index].as_py(), float(share[index]))
+            for topic, share in enumerate(shares.T)
+            for rank, index in enumerate(np.argsort(-share, kind="stable")[:count].tolist(), start=1)
         ]
         return self.spark.createDataFrame(rows, "topic int, rank int, word string, weight double")
 
     def title_topics(self, title_col: str = "title") -> DataFrame:
-        """(title, topic, share): mean topic mixture over a title's lines."""
-        mixed = self.model.transform(self.corpus)
-        mean = mixed.groupBy(title_col).agg(
-            Summarizer.mean(F.col("topicDistribution")).alias("mixture")
-        )
-        return mean.select(
-            title_col, F.posexplode(vector_to_array("mixture")).alias("topic", "share")
-        )
+        """(title, topic, share): mean topic mixture over a title's lines; 0 for lines without known words."""
+        prior, by_word = self.model.prior, self.spark.sparkContext.broadcast(self.model.by_word())
+        topics = by_word.value.shape[1]
+        names = [f"_share{topic}" for topic in range(topics)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for some in _gathered(batches, "_words"):
+                shares = np.zeros((some.num_rows, topics))
+                for lines, mixture, _, _ in line_mixtures(*_corpus_counts(some), by_word.value, prior):
+                    shares[lines] = mixture / mixture.sum(axis=1, keepdims=True)
+                columns = [some.column(title_col), *map(pa.array, shares.T.copy())]
+                yield from pa.table(columns, [title_col, *names]).to_batches(_ROWS_OUT)
+
+        kept = self.corpus.schema[title_col]
+        schema = S.StructType([kept, *[S.StructField(name, S.DoubleType()) for name in names]])
+        mean = self.corpus.mapInArrow(run, schema).groupBy(title_col).agg(F.array(*map(F.avg, names)).alias("_mixture"))
+        return mean.select(title_col, F.posexplode("_mixture").alias("topic", "share"))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], col: str) -> Iterator[pa.Table]:
+    """Rows of several batches together, as many as hold some ``_COUNTS_HELD`` counts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        ends = _ends(batch.column(col))
+        size += (ends[-1] - ends[0]) // (4 if pa.types.is_binary(batch.column(col).type) else 1)
+        if size >= _COUNTS_HELD:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if size or held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _ends(lists: pa.Array) -> np.ndarray:
+    """Where the lists, or byte strings, of an array begin and end in its values."""
+    return np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
+
+
+def _joined(rows: pa.Table, col: str) -> pa.Array:
+    return pa.concat_arrays(rows.column(col).chunks)
+
+
+def _packed(ends: np.ndarray, values: pa.Array) -> pa.BinaryArray:
+    """A byte string of 32-bit numbers for each line."""
+    places = pa.py_buffer((ends * 4).astype(np.int32))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, places, values.cast(pa.int32()).buffers()[1]])
+
+
+def _corpus_counts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the lines of a corpus, their words and uses."""
+    words, uses = (_joined(rows, name) for name in ("_words", "_uses"))
+    ends = _ends(words) // 4
+    word, times = (np.frombuffer(c.buffers()[2] or b"", np.int32)[_ends(c)[0] // 4 : _ends(c)[-1] // 4] for c in (words, uses))
+    return ends - ends[0], word, times
+
+
+def _encoded(counted: DataFrame, title_col: str, words: pa.Array) -> DataFrame:
+    """``_words``, places of known words, and ``_uses`` of each line, as 32-bit numbers in bytes."""
+    known = counted.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _gathered(batches, "_counts"):
+            counts = _joined(some, "_counts")
+            flat = counts.flatten()
+            word = flat.field("word").dictionary_encode()
+            place = pc.index_in(word.dictionary, value_set=known.value).take(word.indices)
+            held = place.is_valid()
+            ends = _ends(counts)
+            ends = np.r_[0, np.cumsum(held.to_numpy(zero_copy_only=False))][ends - ends[0]]
+            packed = [_packed(ends, values.filter(held)) for values in (place, flat.field("uses"))]
+            yield from pa.table([some.column(title_col), *packed], [title_col, "_words", "_uses"]).to_batches(_ROWS_OUT)
+
+    packed = [S.StructField(name, S.BinaryType()) for name in ("_words", "_uses")]
+    return counted.mapInArrow(run, S.StructType([counted.schema[title_col], *packed]))
+
+
+def _topic_uses(corpus: DataFrame, model: TopicModel) -> np.ndarray:
+    """Expected uses, words x topics, of all lines under a model."""
+    session, prior, shares = corpus.sparkSession, model.prior, model.by_word()
+    by_word = session.sparkContext.broadcast(shares)
+    names = [f"_uses{topic}" for topic in range(shares.shape[1])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(by_word.value.shape[::-1])
+        for some in _gathered(batches, "_words"):
+            for _, _, word, uses in line_mixtures(*_corpus_counts(some), by_word.value, prior):
+                for row, part in zip(total, uses, strict=True):
+                    np.add.at(row, word, part)
+        seen = np.flatnonzero(total.any(axis=0))
+        for first in range(0, len(seen), _ROWS_OUT):
+            some = seen[first : first + _ROWS_OUT]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *map(pa.array, total[:, some])], ["_word", *names])
+
+    # One task a core: each gives out its words, so more tasks of fewer lines give out more rows.
+    dealt = corpus.select("_words", "_uses").coalesce(session.sparkContext.defaultParallelism)
+    parts = dealt.mapInArrow(run, f"_word int, {', '.join(f'{n} double' for n in names)}")
+    # A row for each word of the model, which the driver holds anyway.
+    found = parts.groupBy("_word").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    by_word.destroy()
+    uses = np.zeros((len(shares) - 1, len(names)))
+    uses[found.column("_word").to_numpy()] = np.stack([found.column(n).to_numpy() for n in names], axis=1)
+    return uses * shares[:-1]
 
 
 def _vocabulary_within(counts: DataFrame, most: int, min_docs: int) -> tuple[int, int]:
@@ -173,33 +298,35 @@ def fit_topics(
 ) -> TopicFit | None:
     """One model for all titles; None when no word passes the vocabulary bounds.
 
-    The model keeps ``topics`` weights per word on the driver. Of a vocabulary beyond
-    ``MAX_VOCABULARY`` the rarest words go: ``min_docs`` rises as far as it must, and the
+    Batch variational Bayes with symmetric priors of 1 / ``topics``: each pass finds the
+    mixture of every line under the weights of the pass before, and sums its uses by word.
+    A task gives a row for each word it has met, and there is one task a core, so a pass
+    shuffles no more than the model's words times the cores. The model keeps ``topics`` weights per word on the driver
+    and in every task. Of a vocabulary beyond ``MAX_VOCABULARY`` the rarest words go: ``min_docs`` rises as far as it must, and the
     fit tells its value.
     """
+    ship_package(lines.sparkSession)
     stop_words = default_stop_words() if stop_words is None else list(stop_words)
-    used = vocabulary_tokens(F.col(text_col), stop_words).alias("tokens")
-    tokenised = settle(lines.where(F.trim(text_col) != "").select(title_col, used))
-    docs = tokenised.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word")
-    within = F.col("count").between(min_docs, max_share * tokenised.count())
-    counts = settle(docs.count().where(within).groupBy(F.col("count").alias("docs")).count())
+    counted = settle(counted_words(lines.where(F.trim(text_col) != ""), [title_col], text_col, stop_words))
+    docs = counted.select(F.explode("_counts.word").alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
+    within = settle(docs.where(F.col("docs").between(min_docs, max_share * counted.count())))
+    counts = settle(within.groupBy("docs").count())
     size, min_docs = _vocabulary_within(counts, MAX_VOCABULARY, min_docs)
     if size == 0:
         return None
-    # From 1 on it would be read as a count of lines.
-    most = max_share if max_share < 1 else float(1 << 62)
-    vectorizer = CountVectorizer(
-        inputCol="tokens", outputCol="features", minDF=min_docs, maxDF=most, vocabSize=size
-    ).fit(tokenised)
-    corpus = settle(vectorizer.transform(tokenised).select(title_col, "features"))
-    # By default a pass draws a twentieth of the lines. Here it draws as many as there are,
-    # with replacement, so ten passes leave out a line in some 22,000 (e to the minus 10).
-    # The other optimizer reads all, but holds a graph of all lines and words in memory.
-    lda = LDA(
-        k=topics, seed=seed, maxIter=iterations, featuresCol="features", subsamplingRate=1.0
-    )
-    model = lda.fit(corpus)
-    return TopicFit(lines.sparkSession, vectorizer, model, corpus, min_docs)
+    words = within.where(F.col("docs") >= min_docs).select("word").toArrow().column("word").combine_chunks()
+    words = words.take(pc.sort_indices(words))
+    encoded = _encoded(counted, title_col, words)
+    # A line costs far more than its bytes tell, so a small table is dealt to all cores.
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    if counted.rdd.getNumPartitions() < cores:
+        encoded = encoded.repartition(cores)
+    corpus = settle(encoded)
+    prior = 1 / topics
+    model = TopicModel(np.random.default_rng(seed).gamma(100.0, 0.01, (len(words), topics)), prior)
+    for _ in range(iterations):
+        model = TopicModel(prior + _topic_uses(corpus, model), prior)
+    return TopicFit(lines.sparkSession, WordList(words), model, corpus, min_docs)
 
 
 def theme_table(

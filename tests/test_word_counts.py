@@ -1,11 +1,14 @@
-"""Words counted in numpy against the pattern."""
+"""Words counted in numpy, and the shared topic model, against plain versions."""
 
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
 from reelgauge.operators import topics as T
+from reelgauge.operators import variational as V
 from reelgauge.operators import word_counts as W
 
 TEXTS = [
@@ -27,3 +30,46 @@ def test_words_are_those_of_the_pattern(spark, monkeypatch):
     texts = pa.array([lower[i] for i in range(len(TEXTS))])
     counts = W.count_words(texts.slice(3), pa.array(["the"])).to_pylist()
     assert [{e["word"]: e["uses"] for e in line} for line in counts] == [found[i] for i in range(3, len(TEXTS))]
+
+
+def planted(lines=300):
+    rng = np.random.default_rng(5)
+    kinds = [[f"k{k}w{i}" for i in range(12)] for k in range(3)]
+    drawn = [(int(k), " ".join(rng.choice(kinds[k], 8))) for k in rng.integers(0, 3, lines)]
+    return [(k, line) for k, line in drawn] + [(7, "unknown"), (7, " "), (8, None)]
+
+
+def test_the_shared_model_does_not_depend_on_how_lines_are_dealt(spark):
+    lines = spark.createDataFrame(planted(), "title int, line string")
+    fits = [T.fit_topics(lines.repartition(parts), topics=3, stop_words=[]) for parts in (1, 5)]
+    words = [{(r.topic, r["rank"], r.word): r.weight for r in fit.words(5).collect()} for fit in fits]
+    assert words[0].keys() == words[1].keys()
+    assert all(words[0][key] == pytest.approx(weight, rel=1e-3) for key, weight in words[1].items())
+    shares = {(r.title, r.topic): r.share for r in fits[0].title_topics().collect()}
+    # A title without known words has no share of any topic.
+    assert [shares[7, topic] for topic in range(3)] == [0, 0, 0] and not any(title == 8 for title, _ in shares)
+    for title in range(3):
+        assert sum(shares[title, topic] for topic in range(3)) == pytest.approx(1)
+
+
+def test_a_pass_sums_the_uses_of_every_line(spark):
+    lines = spark.createDataFrame(planted(), "title int, line string").repartition(4)
+    fit = T.fit_topics(lines, topics=3, stop_words=[], iterations=4)
+    place = {word: i for i, word in enumerate(fit.vectorizer.vocabulary)}
+    assert list(place) == sorted(place)
+    by_word, expected, total = V.expected_log(fit.model.weights.T).T, np.zeros((len(place), 3)), 0
+    for _, line in planted():
+        uses = Counter(w for w in (line or "").split() if w in place)
+        if uses:
+            known, times = by_word[[place[w] for w in uses]], np.array(list(uses.values()))
+            mixture = np.ones(3)
+            for _ in range(300):
+                shares = V.expected_log(mixture[None])[0] * known
+                shares *= (times / shares.sum(axis=1))[:, None]
+                mixture = 1 / 3 + shares.sum(axis=0)
+            expected[[place[w] for w in uses]] += shares
+            total += times.sum()
+    found = T._topic_uses(fit.corpus, fit.model)
+    assert found.sum() == pytest.approx(total, rel=1e-5) and found.sum(axis=1) == pytest.approx(expected.sum(axis=1), rel=1e-4)
+    # Mixtures stop at a change of a thousandth.
+    assert np.abs(found - expected).sum() < 0.01 * total
