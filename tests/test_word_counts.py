@@ -10,6 +10,7 @@ import pytest
 from reelgauge.operators import topics as T
 from reelgauge.operators import variational as V
 from reelgauge.operators import word_counts as W
+from reelgauge.plans.script_features import shared_themes
 
 TEXTS = [
     "The war, the WAR! a _b x_1 42", "", None, "é9 ée É ÉÉ straße ß", "ab", "ba", "ends", " starts ab\tab",
@@ -73,3 +74,11 @@ def test_a_pass_sums_the_uses_of_every_line(spark):
     assert found.sum() == pytest.approx(total, rel=1e-5) and found.sum(axis=1) == pytest.approx(expected.sum(axis=1), rel=1e-4)
     # Mixtures stop at a change of a thousandth.
     assert np.abs(found - expected).sum() < 0.01 * total
+
+
+def test_every_title_is_led_by_the_theme_of_its_lines(spark):
+    lines = spark.createDataFrame(planted(), "title int, line string").repartition(4)
+    themes = T.theme_table(spark, {f"kind{k}": [f"k{k}w{i}" for i in range(12)] for k in range(3)})
+    found = {r.title: r.named_themes.split("; ") for r in shared_themes(lines, themes).collect()}
+    assert found.keys() == {0, 1, 2, 7} and all(len(names) == 5 for names in found.values())
+    assert [found[title][0] for title in range(3)] == ["kind0", "kind1", "kind2"]
