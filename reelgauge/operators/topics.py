@@ -27,6 +27,11 @@ MAX_VOCABULARY = 5_000_000
 COMMON_WORDS = 1 << 17
 #: Counts that a task of the topic model holds at once, and rows it gives out at once.
 _COUNTS_HELD, _ROWS_OUT = 1 << 22, 1 << 16
+#: Words whose sums a row holds, and tasks a core that make such rows.
+_WORDS_A_BLOCK, _TASKS_A_CORE = 1 << 12, 3
+_BLOCK = "_first int, _block binary"
+#: Bytes of a row group of the corpus: files are cut between groups, so small ones give tasks even shares.
+_CORPUS_GROUP = 4 << 20
 
 
 def vocabulary_tokens(text: Column, stop_words: Iterable[str]) -> Column:
@@ -166,14 +171,14 @@ class TopicFit:
 
     def title_topics(self, title_col: str = "title") -> DataFrame:
         """(title, topic, share): mean topic mixture over a title's lines; 0 for lines without known words."""
-        prior, by_word = self.model.prior, self.spark.sparkContext.broadcast(self.model.by_word())
+        prior, by_word = self.model.prior, self.spark.sparkContext.broadcast(self.model.by_word().astype(np.float32))
         topics = by_word.value.shape[1]
         names = [f"_share{topic}" for topic in range(topics)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for some in _gathered(batches, "_words"):
                 shares = np.zeros((some.num_rows, topics))
-                for lines, mixture, _, _ in line_mixtures(*_corpus_counts(some), by_word.value, prior):
+                for lines, mixture, _ in line_mixtures(*_corpus_counts(some), by_word.value, prior):
                     shares[lines] = mixture / mixture.sum(axis=1, keepdims=True)
                 columns = [some.column(title_col), *map(pa.array, shares.T.copy())]
                 yield from pa.table(columns, [title_col, *names]).to_batches(_ROWS_OUT)
@@ -241,31 +246,49 @@ def _encoded(counted: DataFrame, title_col: str, words: pa.Array) -> DataFrame:
     return counted.mapInArrow(run, S.StructType([counted.schema[title_col], *packed]))
 
 
+def _blocks(found: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """A row for each (first word, topics x words) block."""
+    for first, block in found:
+        yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["_first", "_block"])
+
+
+def _read_blocks(rows: pa.RecordBatch | pa.Table, topics: int) -> Iterator[tuple[int, np.ndarray]]:
+    for first, block in zip(rows.column("_first").to_pylist(), rows.column("_block"), strict=True):
+        yield first, np.frombuffer(block.as_buffer(), np.float64).reshape(topics, -1)
+
+
 def _topic_uses(corpus: DataFrame, model: TopicModel) -> np.ndarray:
     """Expected uses, words x topics, of all lines under a model."""
     session, prior, shares = corpus.sparkSession, model.prior, model.by_word()
-    by_word = session.sparkContext.broadcast(shares)
-    names = [f"_uses{topic}" for topic in range(shares.shape[1])]
+    by_word = session.sparkContext.broadcast(shares.astype(np.float32))
+    words, topics = len(shares) - 1, shares.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(by_word.value.shape[::-1])
+        total = np.zeros((topics, words))
         for some in _gathered(batches, "_words"):
-            for _, _, word, uses in line_mixtures(*_corpus_counts(some), by_word.value, prior):
+            for _, _, expected in line_mixtures(*_corpus_counts(some), by_word.value, prior):
+                word, uses = expected()
                 for row, part in zip(total, uses, strict=True):
                     np.add.at(row, word, part)
-        seen = np.flatnonzero(total.any(axis=0))
-        for first in range(0, len(seen), _ROWS_OUT):
-            some = seen[first : first + _ROWS_OUT]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *map(pa.array, total[:, some])], ["_word", *names])
-
-    # One task a core: each gives out its words, so more tasks of fewer lines give out more rows.
-    dealt = corpus.select("_words", "_uses").coalesce(session.sparkContext.defaultParallelism)
-    parts = dealt.mapInArrow(run, f"_word int, {', '.join(f'{n} double' for n in names)}")
-    # A row for each word of the model, which the driver holds anyway.
-    found = parts.groupBy("_word").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+        parts = ((first, total[:, first : first + _WORDS_A_BLOCK]) for first in range(0, words, _WORDS_A_BLOCK))
+        yield from _blocks((first, block) for first, block in parts if block.any())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for first, block in _read_blocks(batch, topics):
+                total[first] = total[first] + block if first in total else block.copy()
+        yield from _blocks(total.items())
+
+    # Each task gives out its words, so there are but a few tasks a core, as many as keep all cores busy to the end.
+    tasks = _TASKS_A_CORE * session.sparkContext.defaultParallelism
+    parts = corpus.select("_words", "_uses").coalesce(tasks).mapInArrow(run, _BLOCK)
+    # A block for each run of words of the model, which the driver holds anyway.
+    found = parts.repartition(tasks, "_first").mapInArrow(add, _BLOCK).toArrow()
     by_word.destroy()
-    uses = np.zeros((len(shares) - 1, len(names)))
-    uses[found.column("_word").to_numpy()] = np.stack([found.column(n).to_numpy() for n in names], axis=1)
+    uses = np.zeros((words, topics))
+    for first, block in _read_blocks(found, topics):
+        uses[first : first + block.shape[1]] = block.T
     return uses * shares[:-1]
 
 
@@ -300,8 +323,8 @@ def fit_topics(
 
     Batch variational Bayes with symmetric priors of 1 / ``topics``: each pass finds the
     mixture of every line under the weights of the pass before, and sums its uses by word.
-    A task gives a row for each word it has met, and there is one task a core, so a pass
-    shuffles no more than the model's words times the cores. The model keeps ``topics`` weights per word on the driver
+    A task sums the words it has met in blocks of words, and there are three tasks a core at most,
+    so a pass shuffles no more than the model's words times that. The model keeps ``topics`` weights per word on the driver
     and in every task. Of a vocabulary beyond ``MAX_VOCABULARY`` the rarest words go: ``min_docs`` rises as far as it must, and the
     fit tells its value.
     """
@@ -321,7 +344,7 @@ def fit_topics(
     cores = lines.sparkSession.sparkContext.defaultParallelism
     if counted.rdd.getNumPartitions() < cores:
         encoded = encoded.repartition(cores)
-    corpus = settle(encoded)
+    corpus = settle(encoded, _CORPUS_GROUP)
     prior = 1 / topics
     model = TopicModel(np.random.default_rng(seed).gamma(100.0, 0.01, (len(words), topics)), prior)
     for _ in range(iterations):

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
 #: Counts, padding included, of the lines whose mixtures are found side by side.
-COUNTS_AT_ONCE = 1 << 17
+COUNTS_AT_ONCE = 1 << 18
 #: Rounds for a line's mixture, and the mean change of its weights below which it stops.
 ROUNDS, STILL = 100, 1e-3
 #: Keeps places without a word from division by zero; single precision holds it.
 _LEAST = np.float32(1e-37)
+#: Bound of what a leap may try; its powers fit single precision.
+_MOST = 1e12
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -35,6 +37,19 @@ def expected_log(weights: np.ndarray, starts: np.ndarray | None = None) -> np.nd
     return np.exp(digamma(weights) - total)
 
 
+def _line_factors(mixture: np.ndarray) -> np.ndarray:
+    """exp of digamma, in single precision: the expected shares of lines but for a factor a line.
+
+    That factor cancels wherever a line's uses are shared out among its topics.
+    """
+    x = np.minimum(mixture, _MOST).astype(np.float32)
+    ends = x * (x + 5)
+    low = (2 * x + 5) * (1 / ends + 1 / (ends + 4) + 1 / (ends + 6))
+    y = x + 6
+    inverse = 1 / (y * y)
+    return y * np.exp(-(0.5 / y + inverse * (1 / 12 - inverse * (1 / 120 - inverse / 252)) + low))
+
+
 def run_starts(groups: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
     return np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else np.zeros(0, np.int64)
@@ -64,7 +79,7 @@ def _settled_mixtures(uses: np.ndarray, by_word: np.ndarray, prior: float) -> np
     line, mixture, moving = np.arange(len(done)), done.copy(), np.ones(len(done), bool)
     older = None
     for _ in range(ROUNDS):
-        by_line = expected_log(mixture).astype(np.float32)
+        by_line = _line_factors(mixture)
         scaled = uses / (np.matmul(by_line[:, None, :], by_word)[:, 0] + _LEAST)
         found = prior + by_line * np.matmul(by_word, scaled[:, :, None])[:, :, 0]
         step = found - mixture
@@ -95,13 +110,13 @@ def _settled_mixtures(uses: np.ndarray, by_word: np.ndarray, prior: float) -> np
 
 def line_mixtures(
     ends: np.ndarray, word: np.ndarray, uses: np.ndarray, by_word: np.ndarray, prior: float
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(lines, their mixture weights, words, expected uses by topic) of lines with words.
+) -> Iterator[tuple[np.ndarray, np.ndarray, Callable[[], tuple[np.ndarray, np.ndarray]]]]:
+    """(lines, their mixture weights, what finds their words and expected uses) of lines with words.
 
     Line i has the counts from ``ends[i]`` to ``ends[i + 1]``. ``by_word`` is words x topics,
     and a last row of zeros. The uses, (topic, count), still lack the factor ``by_word``.
     """
-    sizes, by_word = np.diff(ends), by_word.astype(np.float32)
+    sizes, by_word = np.diff(ends), by_word.astype(np.float32, copy=False)
     for lines, width in _alike(sizes):
         held = np.arange(width) < sizes[lines][:, None]
         at = np.where(held, ends[lines][:, None] + np.arange(width), 0)
@@ -109,7 +124,11 @@ def line_mixtures(
         times = np.where(held, uses[at], 0).astype(np.float32)
         shares = np.ascontiguousarray(by_word[known].transpose(0, 2, 1))
         mixture = _settled_mixtures(times, shares, prior)
-        by_line = expected_log(mixture).astype(np.float32)
-        scaled = times / (np.matmul(by_line[:, None, :], shares)[:, 0] + _LEAST)
-        expected = np.stack([(weight[:, None] * scaled)[held] for weight in by_line.T])
-        yield lines, mixture, known[held], expected.astype(np.float64)
+
+        def expected(mixture=mixture, times=times, shares=shares, known=known, held=held):
+            by_line = _line_factors(mixture)
+            scaled = times / (np.matmul(by_line[:, None, :], shares)[:, 0] + _LEAST)
+            uses = [(weight[:, None] * scaled)[held] for weight in by_line.T]
+            return known[held], np.stack(uses).astype(np.float64)
+
+        yield lines, mixture, expected

@@ -91,16 +91,16 @@ def settling(spark: SparkSession, clear: bool = True) -> Iterator[Settled]:
             scope.clear()
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, row_group: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     For a result that several later jobs read: the work is done once, and a
     lost executor costs a re-read, not a recomputation. Within ``settling`` the folder
-    goes when the scope ends.
+    goes when the scope ends. ``row_group`` bounds the bytes of a row group.
     """
     spark, scope = df.sparkSession, _scope.get()
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     if scope is not None:
         scope.folders.append(path)
-    df.write.parquet(path)
+    df.write.options(**{"parquet.block.size": row_group} if row_group else {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

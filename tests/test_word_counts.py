@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from reelgauge.operators import topics as T
@@ -76,6 +77,26 @@ def test_a_pass_sums_the_uses_of_every_line(spark):
     assert np.abs(found - expected).sum() < 0.01 * total
 
 
+def test_tasks_get_even_shares_and_give_blocks_of_words(spark, monkeypatch):
+    """A file of the corpus can be cut in many places; words of several blocks get their own sums."""
+    monkeypatch.setattr(T, "_CORPUS_GROUP", 1 << 12, raising=False)
+    lines = spark.createDataFrame(planted(8_000), "title int, line string").coalesce(2)
+    fit = T.fit_topics(lines, topics=3, stop_words=[], iterations=1)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in fit.corpus.inputFiles()]
+    rows = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(rows) == 8_001 and max(rows) < 1_000
+    whole = T._topic_uses(fit.corpus, fit.model)
+    monkeypatch.setattr(T, "_WORDS_A_BLOCK", 5, raising=False)
+    assert np.allclose(T._topic_uses(fit.corpus, fit.model), whole, rtol=1e-9)
+
+
+def test_factors_of_lines_are_their_expected_shares():
+    weights = np.random.default_rng(2).gamma(0.5, 40.0, (500, 5)) + 0.2
+    found, expected = V._line_factors(weights), V.expected_log(weights)
+    assert np.allclose(found / found.sum(axis=1, keepdims=True), expected / expected.sum(axis=1, keepdims=True), rtol=1e-5)
+    assert np.isfinite(V._line_factors(np.array([[1e300, np.inf, 0.2]]))).all()
+
+
 def test_every_title_is_led_by_the_theme_of_its_lines(spark):
     lines = spark.createDataFrame(planted(), "title int, line string").repartition(4)
     themes = T.theme_table(spark, {f"kind{k}": [f"k{k}w{i}" for i in range(12)] for k in range(3)})
