@@ -18,7 +18,7 @@ from reelgauge.functions.text import tokens
 from reelgauge.operators.ordering import null_safe_join
 from reelgauge.operators.similarity import similar_pairs
 from reelgauge.operators.variational import expected_log, line_mixtures
-from reelgauge.operators.word_counts import counted_words
+from reelgauge.operators.word_counts import counted_blocks, counted_words
 from reelgauge.session import settle
 from reelgauge.shipping import ship_package
 
@@ -30,8 +30,8 @@ _COUNTS_HELD, _ROWS_OUT = 1 << 22, 1 << 16
 #: Words whose sums a row holds, and tasks a core that make such rows.
 _WORDS_A_BLOCK, _TASKS_A_CORE = 1 << 12, 3
 _BLOCK = "_first int, _block binary"
-#: Bytes of a row group of the corpus: files are cut between groups, so small ones give tasks even shares.
-_CORPUS_GROUP = 4 << 20
+#: Bytes of a row group of blocks of lines and of the corpus: files are cut between groups, so small ones give even tasks.
+_BLOCK_GROUP, _CORPUS_GROUP = 1 << 24, 1 << 22
 
 
 def vocabulary_tokens(text: Column, stop_words: Iterable[str]) -> Column:
@@ -226,24 +226,36 @@ def _corpus_counts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ends - ends[0], word, times
 
 
-def _encoded(counted: DataFrame, title_col: str, words: pa.Array) -> DataFrame:
+def _numbers(bytes_: pa.Array) -> np.ndarray:
+    """The 32-bit numbers of all byte strings of an array."""
+    ends = _ends(bytes_) // 4
+    return np.frombuffer(bytes_.buffers()[2] or b"", np.int32)[ends[0] : ends[-1]]
+
+
+def _encoded(blocks: DataFrame, title_col: str, words: pa.Array) -> DataFrame:
     """``_words``, places of known words, and ``_uses`` of each line, as 32-bit numbers in bytes."""
-    known = counted.sparkSession.sparkContext.broadcast(words)
+    known = blocks.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _gathered(batches, "_counts"):
-            counts = _joined(some, "_counts")
-            flat = counts.flatten()
-            word = flat.field("word").dictionary_encode()
-            place = pc.index_in(word.dictionary, value_set=known.value).take(word.indices)
-            held = place.is_valid()
-            ends = _ends(counts)
-            ends = np.r_[0, np.cumsum(held.to_numpy(zero_copy_only=False))][ends - ends[0]]
-            packed = [_packed(ends, values.filter(held)) for values in (place, flat.field("uses"))]
-            yield from pa.table([some.column(title_col), *packed], [title_col, "_words", "_uses"]).to_batches(_ROWS_OUT)
+        for some in _gathered(batches, "_words"):
+            lists, titles = _joined(some, "_known"), _joined(some, "_titles")
+            place = pc.index_in(lists.flatten().field("word"), value_set=known.value)
+            place = pc.fill_null(place, -1).to_numpy().astype(np.int32)
+            packed = [_joined(some, name) for name in ("_words", "_uses", "_ends")]
+            sizes = np.diff(_ends(packed[0]) // 4)
+            word, uses, ends = map(_numbers, packed)
+            word = place[word + np.repeat(_ends(lists)[:-1] - _ends(lists)[0], sizes)]
+            # The ends of a block begin with 0, which is the last end of the block before.
+            firsts = np.cumsum(sizes) - sizes
+            ends = ends + np.repeat(firsts, np.diff(_ends(packed[2]) // 4))
+            ends = np.r_[0, np.delete(ends, _ends(packed[2])[:-1] // 4 - _ends(packed[2])[0] // 4)]
+            held = word >= 0
+            ends = np.r_[0, np.cumsum(held)][ends]
+            columns = [titles.flatten(), *[_packed(ends, pa.array(numbers[held])) for numbers in (word, uses)]]
+            yield from pa.table(columns, [title_col, "_words", "_uses"]).to_batches(_ROWS_OUT)
 
     packed = [S.StructField(name, S.BinaryType()) for name in ("_words", "_uses")]
-    return counted.mapInArrow(run, S.StructType([counted.schema[title_col], *packed]))
+    return blocks.mapInArrow(run, S.StructType([S.StructField(title_col, blocks.schema["_titles"].dataType.elementType), *packed]))
 
 
 def _blocks(found: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -330,9 +342,10 @@ def fit_topics(
     """
     ship_package(lines.sparkSession)
     stop_words = default_stop_words() if stop_words is None else list(stop_words)
-    counted = settle(counted_words(lines.where(F.trim(text_col) != ""), [title_col], text_col, stop_words))
-    docs = counted.select(F.explode("_counts.word").alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
-    within = settle(docs.where(F.col("docs").between(min_docs, max_share * counted.count())))
+    counted = settle(counted_blocks(lines.where(F.trim(text_col) != ""), title_col, text_col, stop_words), _BLOCK_GROUP)
+    docs = counted.select(F.inline("_known")).groupBy("word").agg(F.sum("docs").alias("docs"))
+    line_count = counted.agg(F.coalesce(F.sum("_lines"), F.lit(0))).first()[0]
+    within = settle(docs.where(F.col("docs").between(min_docs, max_share * line_count)))
     counts = settle(within.groupBy("docs").count())
     size, min_docs = _vocabulary_within(counts, MAX_VOCABULARY, min_docs)
     if size == 0:

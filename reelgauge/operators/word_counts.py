@@ -21,6 +21,7 @@ from reelgauge.shipping import ship_package
 
 #: Bytes of text counted at once; a longer text is counted alone.
 BYTES_AT_ONCE = 1 << 23
+_KNOWN = S.ArrayType(S.StructType([S.StructField("word", S.StringType()), S.StructField("docs", S.LongType())]))
 _COUNTS = S.ArrayType(S.StructType([S.StructField("word", S.StringType()), S.StructField("uses", S.LongType())]))
 
 
@@ -52,8 +53,8 @@ def _inside(data: np.ndarray) -> np.ndarray:
     return inside
 
 
-def count_words(texts: pa.Array, skipped: pa.Array) -> pa.ListArray:
-    """(word, uses) of each of some lower-case texts, without the skipped words."""
+def _word_uses(texts: pa.Array, skipped: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, and by text and word, rising: the text, the place of the word, its uses."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     held = texts.buffers()[2]
@@ -74,11 +75,28 @@ def count_words(texts: pa.Array, skipped: pa.Array) -> pa.ListArray:
     row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, edges)))
     counted = kept[word]
     pairs, uses = np.unique(row[counted] * max(len(words), 1) + word[counted], return_counts=True)
-    row, word = np.divmod(pairs, max(len(words), 1))
+    return words, *np.divmod(pairs, max(len(words), 1)), uses
+
+
+def count_words(texts: pa.Array, skipped: pa.Array) -> pa.ListArray:
+    """(word, uses) of each of some lower-case texts, without the skipped words."""
+    words, row, word, uses = _word_uses(texts, skipped)
     entries = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(uses, pa.int64())], ["word", "uses"])
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32()), entries)
 
 
+def _at_once(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Slices with some ``BYTES_AT_ONCE`` bytes of text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes.astype(np.int64)) // BYTES_AT_ONCE
+        ends = np.r_[np.flatnonzero(np.diff(part)) + 1, len(part)] if len(part) else []
+        first = 0
+        for last in map(int, ends):
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def counted_words(lines: DataFrame, cols: Sequence[str], text_col: str, stop_words: Iterable[str] = ()) -> DataFrame:
     """``cols`` of each line with ``_counts``, an array of (word, uses); empty for NULL."""
     ship_package(lines.sparkSession)
@@ -87,15 +105,43 @@ def counted_words(lines: DataFrame, cols: Sequence[str], text_col: str, stop_wor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left_out = pa.array(skipped, pa.string())
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(width)), 0).to_numpy(zero_copy_only=False)
-            part = np.cumsum(sizes.astype(np.int64)) // BYTES_AT_ONCE
-            ends = np.r_[np.flatnonzero(np.diff(part)) + 1, len(part)] if len(part) else []
-            first = 0
-            for last in map(int, ends):
-                some = batch.slice(first, last - first)
-                counts = count_words(some.column(width), left_out)
-                yield pa.RecordBatch.from_arrays([*some.columns[:width], counts], [*batch.schema.names[:width], "_counts"])
-                first = last
+        for some in _at_once(batches, width):
+            counts = count_words(some.column(width), left_out)
+            yield pa.RecordBatch.from_arrays([*some.columns[:width], counts], [*some.schema.names[:width], "_counts"])
 
     return rows.mapInArrow(run, S.StructType([*rows.schema.fields[:width], S.StructField("_counts", _COUNTS)]))
+
+
+def counted_blocks(lines: DataFrame, title_col: str, text_col: str, stop_words: Iterable[str] = ()) -> DataFrame:
+    """Counts of words in blocks of lines, each with its own list of words.
+
+    A row is a block: ``_titles`` of its lines, ``_lines`` their number, ``_known`` its words
+    with the lines they are in. ``_words``, places in ``_known``, and ``_uses`` are 32-bit
+    numbers in bytes, those of a line from one of ``_ends`` to the next. So words are
+    written, and counted over all lines, once a block instead of once a line.
+    """
+    ship_package(lines.sparkSession)
+    skipped = list(stop_words)
+    rows = lines.select(title_col, F.lower(text_col).alias("_text"))
+    schema = S.StructType([
+        S.StructField("_titles", S.ArrayType(rows.schema[title_col].dataType)), S.StructField("_lines", S.LongType()),
+        S.StructField("_known", _KNOWN), *[S.StructField(name, S.BinaryType()) for name in ("_ends", "_words", "_uses")],
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left_out = pa.array(skipped, pa.string())
+        for some in _at_once(batches, 1):
+            words, row, word, uses = _word_uses(some.column(1), left_out)
+            docs = np.bincount(word, minlength=len(words))
+            used = np.flatnonzero(docs)
+            place = np.cumsum(docs > 0) - 1
+            known = pa.StructArray.from_arrays([words.take(pa.array(used)), pa.array(docs[used], pa.int64())], ["word", "docs"])
+            ends = np.searchsorted(row, np.arange(some.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([
+                pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(0)),
+                pa.array([some.num_rows], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), known),
+                *[pa.array([numbers.astype(np.int32).tobytes()], pa.binary()) for numbers in (ends, place[word], uses)],
+            ], schema.names)
+
+    return rows.mapInArrow(run, schema)

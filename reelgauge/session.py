@@ -102,5 +102,10 @@ def settle(df: DataFrame, row_group: int | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     if scope is not None:
         scope.folders.append(path)
-    df.write.options(**{"parquet.block.size": row_group} if row_group else {}).parquet(path)
+    writer = df.write
+    if row_group:
+        # Else sizes are looked at after a hundred rows, which may be large ones.
+        looks = {f"parquet.{part}.size.row.check.min": 1 for part in ("block", "page")}
+        writer = writer.options(**{"parquet.block.size": row_group, **looks})
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

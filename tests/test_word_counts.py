@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from reelgauge.operators import topics as T
 from reelgauge.operators import variational as V
@@ -34,6 +35,26 @@ def test_words_are_those_of_the_pattern(spark, monkeypatch):
     assert [{e["word"]: e["uses"] for e in line} for line in counts] == [found[i] for i in range(3, len(TEXTS))]
 
 
+def test_blocks_hold_the_counts_of_their_lines(spark):
+    """Each block lists a word once; encoded lines keep their title and known words only."""
+    rows = [(i if i % 5 else None, text) for i, text in enumerate(TEXTS * 3)] + [(100, None)]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    blocks = W.counted_blocks(df, "id", "text", ["the"])
+    plain = [(r.id, {e.word: e.uses for e in r._counts}) for r in W.counted_words(df, ["id"], "text", ["the"]).collect()]
+    docs = Counter(word for _, uses in plain for word in uses)
+    assert {r.word: r.docs for r in blocks.selectExpr("inline(_known)").groupBy("word").agg(F.sum("docs").alias("docs")).collect()} == docs
+    found = blocks.collect()
+    assert sum(r._lines for r in found) == len(rows) and all(len({e.word for e in r._known}) == len(r._known) for r in found)
+    words = sorted(docs)[1::2]
+    # Three partitions, and two of them with blocks to gather.
+    encoded = T._encoded(blocks.coalesce(2), "id", pa.array(words))
+    numbers = lambda data: np.frombuffer(bytes(data), np.int32).tolist()
+    lines = [(r.id, {words[w]: n for w, n in zip(numbers(r._words), numbers(r._uses), strict=True)}) for r in encoded.collect()]
+    kept = [(i, {w: n for w, n in uses.items() if w in words}) for i, uses in plain]
+    order = lambda line: (str(line[0]), sorted(line[1].items()))
+    assert sorted(lines, key=order) == sorted(kept, key=order)
+
+
 def planted(lines=300):
     rng = np.random.default_rng(5)
     kinds = [[f"k{k}w{i}" for i in range(12)] for k in range(3)]
