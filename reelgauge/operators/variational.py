@@ -72,8 +72,8 @@ def _settled_mixtures(uses: np.ndarray, by_word: np.ndarray, prior: float) -> np
 
     After each two rounds a line leaps to where their steps lead if they go on shrinking
     as they do (SQUAREM), so it stops sooner, and nearer to the end of plain rounds. It
-    stops by a plain round's change only. Products by word are taken in single precision,
-    weights and what is summed over lines in double.
+    stops by a plain round's change only. Rounds are taken in single precision, what is
+    summed over lines in double.
     """
     done = np.ones(by_word.shape[:2])
     line, mixture, moving = np.arange(len(done)), done.copy(), np.ones(len(done), bool)
