@@ -13,6 +13,9 @@ import numpy as np
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 #: Place of the r-th set bit of a byte.
 _SELECT = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.uint8)
+#: Masks to count the set bits of 64 at once.
+_PAIRS, _NIBBLES, _LOW_NIBBLES = (np.uint64(m * 0x0101010101010101) for m in (0x55, 0x33, 0x0F))
+_ONES, _TOPS, _BYTE = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080), np.uint64(0xFF)
 
 
 def encode_monotone(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -36,27 +39,57 @@ def encode_monotone(values: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def decode_at(parts: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
-    """The values at the places ``at``."""
-    word = np.searchsorted(parts["ranks"], at, side="right") - 1
-    left = at - parts["ranks"][word].astype(np.int64)
-    own = parts["high"].reshape(-1, 8)[word]
-    upto = np.cumsum(np.bitwise_count(own), axis=1, dtype=np.int64)
-    byte = (upto <= left[:, None]).sum(axis=1)
-    row = np.arange(len(at))
-    left -= np.where(byte > 0, upto[row, np.maximum(byte - 1, 0)], 0)
-    place = word * 64 + byte * 8 + _SELECT[own[row, byte], left]
-    width = int(parts["width"][0])
-    value = (place - at) << width
-    if width:
+def gather(arrays: list[np.ndarray], at: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Items of several arrays: of array i those at the places ``at[edges[i] : edges[i + 1]]``."""
+    out = np.empty(len(at), np.result_type(*{a.dtype for a in arrays}) if arrays else np.int64)
+    edges = edges.tolist()
+    for own, i, j in zip(arrays, edges, edges[1:]):
+        if i < j:
+            out[i:j] = own[at[i:j]]
+    return out
+
+
+def decode_all(parts: list[dict[str, np.ndarray]], at: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The values of several sequences, with ``edges`` as for ``gather``.
+
+    Sequences are many and each is asked for little, so only reading goes one by one.
+    """
+    word = np.empty(len(at), np.int64)
+    ranks = [p["ranks"] for p in parts]
+    # In the type of the ranks, else all of them would be converted for each call.
+    own_at = at.astype(np.uint32)
+    for own, i, j in zip(ranks, edges.tolist(), edges[1:].tolist()):
+        word[i:j] = own.searchsorted(own_at[i:j], "right")
+    word -= 1
+    left = (at - gather(ranks, word, edges)).astype(np.uint64)
+    own = gather([p["high"].view("<u8") for p in parts], word, edges)
+    # Each byte of ``upto`` counts the set bits up to and with that byte.
+    upto = own - ((own >> np.uint64(1)) & _PAIRS)
+    upto = (upto & _NIBBLES) + ((upto >> np.uint64(2)) & _NIBBLES)
+    upto = ((upto + (upto >> np.uint64(4))) & _LOW_NIBBLES) * _ONES
+    # The top bit of a byte stays where no more bits than ``left`` are set up to it.
+    byte = np.bitwise_count(((left * _ONES) | _TOPS) - upto & _TOPS).astype(np.uint64) << np.uint64(3)
+    left -= ((upto << np.uint64(8)) >> byte) & _BYTE
+    place = word * 64 + byte.astype(np.int64) + _SELECT[(own >> byte) & _BYTE, left]
+    value = place - at
+    widths = np.array([int(p["width"][0]) for p in parts], np.int64)
+    if widths.any():
+        width = np.repeat(widths, np.diff(edges))
         start = at * width
         eight = np.zeros(len(at), np.uint64)
-        for k in range(8):
-            eight |= parts["low"][(start >> 3) + k].astype(np.uint64) << np.uint64(8 * k)
-        value |= ((eight >> (start & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        lows = [p["low"] for p in parts]
+        for k in range(min(8, (int(widths.max()) + 14) // 8)):
+            eight |= gather(lows, (start >> 3) + k, edges).astype(np.uint64) << np.uint64(8 * k)
+        rest = (eight >> (start & 7).astype(np.uint64)) & ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1))
+        value = (value << width) | rest.astype(np.int64)
     return value
 
 
+def decode_at(parts: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """The values at the places ``at``."""
+    return decode_all([parts], at, np.array([0, len(at)]))
+
+
 def _file_system(uri: str):
     from pyarrow.fs import FileSystem
 
@@ -89,14 +122,14 @@ def open_arrays(uri: str) -> dict[str, np.ndarray]:
 
     files, path = _file_system(uri)
     if isinstance(files, LocalFileSystem):
-        data = np.memmap(path, np.uint8, "r")
+        data = np.asarray(np.memmap(path, np.uint8, "r"))
     else:
         with tempfile.NamedTemporaryFile() as copy:
             with files.open_input_stream(path) as stream:
                 while block := stream.read(1 << 24):
                     copy.write(block)
             copy.flush()
-            data = np.memmap(copy.name, np.uint8, "r")
+            data = np.asarray(np.memmap(copy.name, np.uint8, "r"))
     size = int(data[:8].view("<i8")[0])
     found = {}
     for name, (kind, n, at) in json.loads(data[8 : 8 + size].tobytes()).items():

@@ -27,19 +27,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache, lru_cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgauge.llm.chunks import Numbered, releasing, slices
-from reelgauge.llm.elias_fano import decode_at, encode_monotone, open_arrays, save_arrays
+from reelgauge.llm.chunks import SLICE_CHARS
+from reelgauge.llm.elias_fano import decode_all, encode_monotone, gather, open_arrays, save_arrays
 from reelgauge.llm.tables import whole_text
-from reelgauge.llm.word_ngrams import words_of
+from reelgauge.llm.word_ngrams import numbered_words
 from reelgauge.session import settle, shared_folder
 
 ORDER = 3
@@ -50,6 +51,8 @@ RANGE_TOKENS = 4_000_000
 VOCABULARY_RANGE = 1_000_000
 #: Tokens that a task counts at a time.
 BLOCK_TOKENS = 4_000_000
+#: Words wanted of one context from which they are searched on their own.
+MANY_WORDS = 32
 _END = int(np.uint64(xxhash.xxh3_64_intdigest(b" end ")).view(np.int64))
 #: Steps of a log probability to one decade; the same at every size of input.
 _STEPS = 255 / 7
@@ -95,50 +98,57 @@ def _vocabulary_range(hashes: np.ndarray, ranges: int) -> np.ndarray:
 
 
 class Words:
-    """Id (-1 if unknown) and training count of each word, found once while it is held."""
+    """Id (-1 if unknown) and training count of each word of a vocabulary."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.numbered = Numbered(self.learn, self.forget)
-        self.forget()
-        self.end = int(self.find(np.array([_END], np.int64))[0][0])
-
-    def forget(self) -> None:
-        self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        ids, counts = self.find(hashes.view(np.int64))
-        self.ids, self.counts = np.r_[self.ids, ids], np.r_[self.counts, counts]
+        (self.end,), (self.end_count,) = self.find(np.array([_END], np.int64).view(np.uint64))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
-        where = _vocabulary_range(hashes, len(self.model.words))
-        for r in np.unique(where).tolist():
+        # In the order of the files, so reads stay near each other.
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        ranges = len(self.model.words)
+        edges = np.searchsorted(_vocabulary_range(hashes, ranges), np.arange(ranges + 1))
+        for r in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
             held = open_arrays(self.model.words[r]) if self.model.words[r] else None
             if held is None or not len(held["hash"]):
                 continue
-            own = np.flatnonzero(where == r)
-            at = np.minimum(np.searchsorted(held["hash"], hashes[own].view(np.uint64)), len(held["hash"]) - 1)
-            hit = held["hash"][at] == hashes[own].view(np.uint64)
-            ids[own[hit]] = at[hit] + self.model.word_first[r]
-            counts[own[hit]] = held["count"][at[hit]]
+            own = slice(edges[r], edges[r + 1])
+            at = np.minimum(np.searchsorted(held["hash"], hashes[own]), len(held["hash"]) - 1)
+            hit = held["hash"][at] == hashes[own]
+            ids[order[own][hit]] = at[hit] + self.model.word_first[r]
+            counts[order[own][hit]] = held["count"][at[hit]]
         return ids, counts
 
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and counts of the words and ends of ``texts``, and where each text ends."""
-        cut = [words_of(t) for t in texts]
-        numbers = self.numbered.number(cut)
-        sizes = np.array([len(ws) for ws in cut], np.int64)
+        numbers, words, sizes = numbered_words(texts)
+        own_ids, own_counts = self.find(_hashes(words))
         ends = np.cumsum(sizes + 1)
         is_word = np.ones(ends[-1], bool)
         is_word[ends - 1] = False
-        ids, counts = np.full(ends[-1], self.end), np.zeros(ends[-1], np.int64)
-        ids[is_word], counts[is_word] = self.ids[numbers], self.counts[numbers]
-        counts[~is_word] = self.find(np.array([_END], np.int64))[1][0]
+        ids, counts = np.full(ends[-1], self.end), np.full(ends[-1], self.end_count)
+        ids[is_word], counts[is_word] = own_ids[numbers], own_counts[numbers]
         return ids, counts, ends
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of texts that end where SLICE_CHARS more bytes are reached."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = int(upto[start - 1]) if start else 0
+        end = min(int(np.searchsorted(upto, before + SLICE_CHARS)) + 1, len(texts))
+        yield start, end
+        start = end
+
+
 @lru_cache(maxsize=1)
 def _held_words(paths: tuple[str, ...], first: tuple[int, ...]) -> Words:
     return Words(Model(paths, first, 0))
@@ -154,42 +164,87 @@ def _find(level: Level, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarr
     node = np.full(len(context), -1)
     p, mass = np.zeros(len(context)), np.ones(len(context))
     valid = np.flatnonzero(context >= 0)
-    # Each pair is looked up once, in the order of the level, so reads stay near each other.
-    keys, back = np.unique((context[valid] << 32) | (word[valid] & 0xFFFFFFFF), return_inverse=True)
-    contexts, wanted = keys >> 32, keys & 0xFFFFFFFF
-    found, own_p, own_mass = np.full(len(keys), -1), np.zeros(len(keys)), np.ones(len(keys))
-    where = contexts // level.span
-    edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else np.zeros(0, int)
-    for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(where)]):
-        r = int(where[i])
-        if not level.paths[r]:
-            continue
-        held = open_arrays(level.paths[r])
-        starts = np.flatnonzero(np.r_[True, contexts[i + 1 : j] != contexts[i : j - 1]])
-        repeats = np.diff(np.r_[starts, j - i])
-        local = contexts[i:j][starts] - r * level.span
-        begin, end = decode_at(held, local), decode_at(held, local + 1)
-        own_mass[i:j] = np.repeat(np.where(end > begin, _VALUES[held["mass"][local]], 1.0), repeats)
-        at = _successor(held["words"], np.repeat(begin, repeats), np.repeat(end, repeats), wanted[i:j])
-        hit = np.flatnonzero(at >= 0)
-        found[i + hit] = at[hit] + level.first[r]
-        own_p[i + hit] = _VALUES[held["p"][at[hit]]]
+    found, own_p, own_mass, back = _find_pairs(level, context[valid], word[valid], True)
     node[valid], p[valid], mass[valid] = found[back], own_p[back], own_mass[back]
     return node, p, mass
 
 
-def _successor(words: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each word is among its context's successors ``low`` to ``high``; -1 if it is not."""
-    out = np.full(len(low), -1)
+def _nodes(level: Level, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Only the node (-1 if none)."""
+    node = np.full(len(context), -1)
+    valid = np.flatnonzero((context >= 0) & (word >= 0))
+    found, _, _, back = _find_pairs(level, context[valid], word[valid], False)
+    node[valid] = found[back]
+    return node
+
+
+def _find_pairs(level: Level, context: np.ndarray, word: np.ndarray, shares: bool) -> tuple[np.ndarray, ...]:
+    """Node, probability and mass (if ``shares``) of each distinct pair, and each row's pair."""
+    # Each pair is looked up once, in the order of the level, so reads stay near each other.
+    keys, back = np.unique((context << 32) | (word & 0xFFFFFFFF), return_inverse=True)
+    found, p, mass = np.full(len(keys), -1), np.zeros(len(keys)), np.ones(len(keys))
+    stored = np.array([path != "" for path in level.paths], bool)
+    rows = slice(None) if stored.all() else np.flatnonzero(stored[(keys >> 32) // level.span])
+    contexts, wanted = keys[rows] >> 32, keys[rows].astype(np.uint32)
+    if not len(wanted):
+        return found, p, mass, back
+    starts = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]])
+    repeats = np.diff(np.r_[starts, len(wanted)])
+    contexts = contexts[starts]
+    where = contexts // level.span
+    edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
+    ranges = where[edges[:-1]]
+    files = [open_arrays(level.paths[r]) for r in ranges.tolist()]
+    local = contexts - where * level.span
+    begin, end = decode_all(files, local, edges), decode_all(files, local + 1, edges)
+    pair_edges = np.r_[starts, len(wanted)][edges]
+    at = _successor([f["words"] for f in files], begin, end, wanted, repeats, edges, pair_edges)
+    hit = np.flatnonzero(at >= 0)
+    own = np.full(len(wanted), -1)
+    own[hit] = at[hit] + np.repeat(np.array(level.first)[ranges], np.diff(pair_edges))[hit]
+    found[rows] = own
+    if shares:
+        share = np.zeros(len(wanted))
+        share[hit] = _VALUES[gather([f["p"] for f in files], at[hit], np.searchsorted(hit, pair_edges))]
+        p[rows] = share
+        left = np.where(end > begin, _VALUES[gather([f["mass"] for f in files], local, edges)], 1.0)
+        mass[rows] = np.repeat(left, repeats)
+    return found, p, mass, back
+
+
+def _successor(words: list[np.ndarray], low: np.ndarray, high: np.ndarray, wanted: np.ndarray, repeats: np.ndarray, edges: np.ndarray, pair_edges: np.ndarray) -> np.ndarray:
+    """Where each word is among its context's successors ``low`` to ``high``; -1 if it is not.
+
+    Context i has the next ``repeats[i]`` words of ``wanted``, file i the contexts from
+    ``edges[i]`` and the words wanted from ``pair_edges[i]`` on. Contexts with many are
+    searched one by one, all others at once.
+    """
+    at = np.full(len(wanted), -1)
+    many = repeats >= MANY_WORDS
+    file, first = np.repeat(np.arange(len(words)), np.diff(edges)), np.cumsum(repeats) - repeats
+    for i, begin, end, start, n in zip(*(x[many].tolist() for x in (file, low, high, first, repeats))):
+        at[start : start + n] = words[i][begin:end].searchsorted(wanted[start : start + n]) + begin
+    above = np.repeat(high, repeats)
+    few = np.flatnonzero(np.repeat(~many, repeats))
+    at[few] = _at_once(words, np.repeat(low, repeats)[few], above[few], wanted[few], np.searchsorted(few, pair_edges))
+    inside = np.flatnonzero(at < above)
+    out = np.full(len(wanted), -1)
+    hit = inside[gather(words, at[inside], np.searchsorted(inside, pair_edges)) == wanted[inside]]
+    out[hit] = at[hit]
+    return out
+
+
+def _at_once(words: list[np.ndarray], low: np.ndarray, high: np.ndarray, wanted: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The first place from ``low`` to ``high`` that holds no smaller word, else ``high``."""
+    out = low.copy()
     left = np.flatnonzero(low < high)
     low, high, wanted = low[left], high[left], wanted[left]
     while len(left):
         middle = (low + high) >> 1
-        seen = words[middle]
-        hit = seen == wanted
-        out[left[hit]] = middle[hit]
-        low, high = np.where(seen < wanted, middle + 1, low), np.where(seen < wanted, high, middle)
-        keep = np.flatnonzero(~hit & (low < high))
+        smaller = gather(words, middle, np.searchsorted(left, edges)) < wanted
+        low, high = np.where(smaller, middle + 1, low), np.where(smaller, high, middle)
+        done, keep = np.flatnonzero(low >= high), np.flatnonzero(low < high)
+        out[left[done]] = low[done]
         left, low, high, wanted = left[keep], low[keep], high[keep], wanted[keep]
     return out
 
@@ -209,12 +264,12 @@ def _counting(model: Model, ranges: int, span: int):
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for start, end in slices(texts):
+            texts = batch.column(0)
+            for start, end in _pieces(texts):
                 ids, _, ends = words.tokens(texts[start:end])
                 nodes = ids
                 for level in model.levels:
-                    nodes = _find(level, _shifted(nodes, ends), ids)[0]
+                    nodes = _nodes(level, _shifted(nodes, ends), ids)
                 context = _shifted(nodes, ends)
                 known = (context >= 0) & (ids >= 0)
                 held.append((context[known].astype(np.uint64) << np.uint64(32)) | ids[known].astype(np.uint64))
@@ -296,21 +351,21 @@ def _write_words(folder: str):
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = _plain_hashes()
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        found = [np.full(len(texts), _END, np.int64).view(np.uint64)]
-        for start, end in slices(texts):
-            found.append(seen.hashes_of([words_of(t) for t in texts[start:end]]))
-        words, n = np.unique(np.concatenate(found), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
-
-
-@cache
-def _plain_hashes():
-    from reelgauge.llm.word_ngrams import WordHashes
-
-    return WordHashes()
+        texts = batch.column(0)
+        hashes, counts = [np.array([_END], np.int64).view(np.uint64)], [np.array([len(texts)])]
+        for start, end in _pieces(texts):
+            numbers, words, _ = numbered_words(texts[start:end])
+            n = np.bincount(numbers, minlength=len(words))
+            hashes.append(_hashes(words)[n > 0])
+            counts.append(n[n > 0])
+        hashes, counts = np.concatenate(hashes), np.concatenate(counts)
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], counts[order]
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hashes[first].view(np.int64)), pa.array(np.add.reduceat(counts, first))], names=["word", "n"]
+        )
 
 
 def _manifest(written: DataFrame, ranges: int) -> tuple[tuple[str, ...], tuple[int, ...]]:
@@ -326,7 +381,7 @@ def learn(texts: DataFrame, order: int = ORDER) -> Model:
     spark = texts.sparkSession
     folder = f"{shared_folder(spark)}/ngrams-{uuid.uuid4().hex}"
     texts = texts.select("text")
-    counted = settle(texts.mapInArrow(releasing(_count_words, lambda: _plain_hashes().numbered), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counted = settle(texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     sums = counted.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
     tokens = int(sums["n"] or 0)
     ranges = max(1, -(-sums["v"] // VOCABULARY_RANGE))
@@ -340,8 +395,7 @@ def learn(texts: DataFrame, order: int = ORDER) -> Model:
         ranges = max(1, min(contexts, -(-tokens // RANGE_TOKENS)))
         span = max(1, -(-contexts // ranges))
         ranges = max(1, -(-contexts // span))
-        count = releasing(_counting(model, ranges, span), lambda model=model: _words(model).numbered)
-        blocks = texts.mapInArrow(count, "range int, steps binary, words binary, n binary")
+        blocks = texts.mapInArrow(_counting(model, ranges, span), "range int, steps binary, words binary, n binary")
         written = blocks.groupBy("range").applyInPandas(_writing(folder, k, span, contexts), schema)
         paths, first = _manifest(written, ranges)
         level = Level(paths, span, first)
@@ -350,11 +404,13 @@ def learn(texts: DataFrame, order: int = ORDER) -> Model:
     return model
 
 
-def score_texts(model: Model, texts: list[str]) -> dict[str, np.ndarray]:
+def score_texts(model: Model, texts: list[str] | pa.Array) -> dict[str, np.ndarray]:
     """n_tokens, n_known, base_score and score of each text."""
     words = _words(model)
+    if not isinstance(texts, pa.Array):
+        texts = pa.array([t.encode("utf-8", "replace") for t in texts], pa.large_binary()).cast(pa.large_string())
     out = {k: np.zeros(len(texts), t) for k, t in (("n_tokens", int), ("n_known", int), ("base_score", float), ("score", float))}
-    for start, end in slices(texts):
+    for start, end in _pieces(texts):
         ids, counts, ends = words.tokens(texts[start:end])
         base = (counts + ADD) / model.base_denominator
         p, nodes = base, ids
@@ -380,11 +436,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = score_texts(model, batch.column(1).to_pylist())
+            found = score_texts(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.values())], names=["doc_id", *found])
 
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text(docs).alias("text"))
-    return narrow.mapInArrow(releasing(score, lambda: _words(model).numbered), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return narrow.mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def training_texts(docs: DataFrame) -> DataFrame:

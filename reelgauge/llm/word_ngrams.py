@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from reelgauge.llm.chunks import Numbered, slices
@@ -17,6 +19,28 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
+def _bytes_of(words: pa.Array) -> list[bytes]:
+    """As ``to_pylist`` gives them, cut from one copy of all (none is null)."""
+    _, places, held = words.cast(pa.large_binary()).buffers()
+    at = np.frombuffer(places, np.int64)[words.offset : words.offset + len(words) + 1].tolist() if len(words) else []
+    whole = held.to_pybytes() if held else b""
+    return [whole[i:j] for i, j in zip(at, at[1:])]
+
+
+def numbered_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Numbers of the words (as ``words_of``) of all texts, the distinct words, and each text's count."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = cut.flatten().dictionary_encode()
+    numbers, words = coded.indices.to_numpy(), _bytes_of(coded.dictionary)
+    ends = cut.offsets.to_numpy()
+    ends = ends - ends[0]
+    # White space at either end of a text cuts off an empty word.
+    if b"" in words:
+        kept = numbers != words.index(b"")
+        numbers, ends = numbers[kept], np.r_[0, np.cumsum(kept)][ends]
+    return numbers, words, np.diff(ends).astype(np.int64)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection)."""
     x = x ^ (x >> np.uint64(30))
